@@ -52,13 +52,3 @@ def change(col, n: int = 1) -> Column:
 def nonzero(col) -> Column:
     c = _c(col)
     return F.when(c != 0, c)
-
-
-def unbiased_skew(col, n: int) -> Column:
-    g1 = rolling(F.skewness, col, n)
-    return F.nanvl(g1, F.lit(0.0)) * ((n * (n - 1)) ** 0.5 / (n - 2))
-
-
-def unbiased_kurtosis(col, n: int) -> Column:
-    g2 = rolling(F.kurtosis, col, n)
-    return ((n + 1) * F.nanvl(g2, F.lit(0.0)) + 6) * ((n - 1) / ((n - 2) * (n - 3)))

@@ -79,8 +79,8 @@ def _(t):
 # -- merge policies -----------------------------------------------------------------
 _OLD, _NEW = "l_returnflag IN ('A', 'N')", "l_returnflag = 'R'"
 _BARS_OF = (
-    "SELECT ts_code, trade_date, arg_min(px, tag) / 1e6 AS open, max(px) / 1e6 AS high, min(px) / 1e6 AS low,"
-    " arg_max(px, tag) / 1e6 AS close, sum(l_quantity) AS vol, CAST(sum(cents) AS BIGINT) / 100 AS amount FROM ticks WHERE {} GROUP BY 1, 2"
+    "SELECT ts_code, trade_date, arg_min(px, tag) / 1e2 AS open, max(px) / 1e2 AS high, min(px) / 1e2 AS low,"
+    " arg_max(px, tag) / 1e2 AS close, sum(l_quantity) AS vol, CAST(sum(cents) AS BIGINT) / 100 AS amount FROM ticks WHERE {} GROUP BY 1, 2"
 )
 _TWO = {"stored": _BARS_OF.format(_OLD), "arriving": _BARS_OF.format(_NEW)}
 
@@ -144,14 +144,14 @@ def _(t):
 
 @query(
     "w30_newest_version",
-    "SELECT ts_code, trade_date, max(tag) AS version, arg_max(px, tag) / 1e6 AS price, arg_max(l_quantity, tag) AS vol FROM ticks GROUP BY 1, 2",
+    "SELECT ts_code, trade_date, max(tag) AS version, arg_max(px, tag) / 1e2 AS price, arg_max(l_quantity, tag) AS vol FROM ticks GROUP BY 1, 2",
 )
 def _(t):
     from barspan.sources.adapter import code_of
 
     rows = t.lines().select(
         code_of("l_suppkey").alias("ts_code"), "trade_date", F.col("tag").alias("version"),
-        (F.col("px") / 1e6).alias("price"), F.col("l_quantity").alias("vol"),
+        (F.col("px") / 1e2).alias("price"), F.col("l_quantity").alias("vol"),
     )
     return P.newest_version(rows)
 
@@ -159,9 +159,9 @@ def _(t):
 # -- cleaning -----------------------------------------------------------------------
 _FEED = """SELECT CASE WHEN l_linenumber = 7 THEN left(ts_code, 6) ELSE ts_code END AS ts_code,
     CASE WHEN l_linenumber = 6 AND l_returnflag = 'N' THEN NULL ELSE trade_date END AS trade_date,
-    CASE WHEN l_linenumber = 5 AND l_returnflag = 'A' THEN NULL ELSE px / 1e6 END AS open,
-    CASE WHEN l_linenumber = 4 AND l_returnflag = 'R' THEN px / 1e6 * 0.99::DOUBLE * 0.9::DOUBLE ELSE px / 1e6 * 1.01::DOUBLE END AS high,
-    px / 1e6 * 0.99::DOUBLE AS low, px / 1e6 * (1 + (l_discount - l_tax) / 100) AS close,
+    CASE WHEN l_linenumber = 5 AND l_returnflag = 'A' THEN NULL ELSE px / 1e2 END AS open,
+    CASE WHEN l_linenumber = 4 AND l_returnflag = 'R' THEN px / 1e2 * 0.99::DOUBLE * 0.9::DOUBLE ELSE px / 1e2 * 1.01::DOUBLE END AS high,
+    px / 1e2 * 0.99::DOUBLE AS low, px / 1e2 * (1 + (l_discount - l_tax) / 100) AS close,
     CASE WHEN l_linenumber = 3 AND l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS vol, tag FROM ticks"""
 _TAGGED = r"""SELECT *, CASE WHEN NOT regexp_full_match(ts_code, '[0-9]{6}\.(SZ|SH|BJ)') THEN 'BAD_CODE'
     WHEN trade_date IS NULL THEN 'BAD_DATE' WHEN open IS NULL THEN 'NULL_VALUE' END AS reason FROM feed"""

@@ -28,16 +28,16 @@ def R(expr: str, alias: str, dp: int = 6) -> str:
 
 
 _BAR_COLS = (
-    "arg_min(px, tag) / 1e6 AS open, max(px) / 1e6 AS high, min(px) / 1e6 AS low, "
-    "arg_max(px, tag) / 1e6 AS close, sum(l_quantity) AS vol, CAST(sum(cents) AS BIGINT) / 100 AS amount"
+    "arg_min(px, tag) / 1e2 AS open, max(px) / 1e2 AS high, min(px) / 1e2 AS low, "
+    "arg_max(px, tag) / 1e2 AS close, sum(l_quantity) AS vol, CAST(sum(cents) AS BIGINT) / 100 AS amount"
 )
 
 CTES: dict[str, str] = {
     "ticks": f"""SELECT *, {code_sql('l_suppkey')} AS ts_code, {day_sql('l_shipdate')} AS trade_date,
-        CAST(floor(l_extendedprice / l_quantity * 1000000 + 0.5) AS BIGINT) AS px,
+        CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT) AS px,
         CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents,
         CAST(l_orderkey * 8 + l_linenumber AS HUGEINT) * 1000000000000
-          + CAST(floor(l_extendedprice / l_quantity * 1000000 + 0.5) AS BIGINT) AS tag
+          + CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT) AS tag
         FROM lineitem""",
     "geo": """SELECT s_suppkey, s_name, s_acctbal, n_name, r_name FROM supplier
         JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
@@ -56,8 +56,8 @@ CTES: dict[str, str] = {
         FROM (SELECT min(trade_date) AS a, max(trade_date) AS b FROM ticks))""",
     "sessions": "SELECT cal_date AS trade_date, row_number() OVER (ORDER BY cal_date) AS ordinal FROM calendar WHERE is_open = 1",
     "valuation": """SELECT ts_code, trade_date, sum(l_quantity) / 10 AS turnover_rate,
-        CASE WHEN max(l_tax) > 0 THEN min(px) / 1e6 / (1 + max(l_tax) * 100) END AS pe,
-        min(px) / 1e6 / 1000 AS pb, CAST(sum(cents) AS BIGINT) / 100 * 12 AS total_mv
+        CASE WHEN max(l_tax) > 0 THEN min(px) / 1e2 / (1 + max(l_tax) * 100) END AS pe,
+        min(px) / 1e2 / 1000 AS pb, CAST(sum(cents) AS BIGINT) / 100 * 12 AS total_mv
         FROM ticks WHERE l_linestatus = 'F' GROUP BY 1, 2""",
     "factors": "SELECT ts_code, trade_date, 1 + max(l_discount) AS adj_factor FROM ticks WHERE l_discount > 0 GROUP BY 1, 2",
     "constituents": """SELECT 'INDEX' AS group_type, r_name AS group_code, ts_code,
@@ -93,4 +93,4 @@ def sql(body: str, **extra: str) -> str:
     if not order:
         return body
     recursive = "RECURSIVE " if any(re.search(rf"\b{n}\b", pool[n]) and "UNION ALL" in pool[n] for n in order) else ""
-    return "WITH " + recursive + ",\n".join(f"{n} AS ({pool[n]})" for n in order) + "\n" + body
+    return "WITH " + recursive + ",\n".join(f"{n} AS MATERIALIZED ({pool[n]})" for n in order) + "\n" + body

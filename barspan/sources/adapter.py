@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from barspan.functions.scalars import normalize_code
 
-_MICRO = 1_000_000
+_MILLION = 1_000_000
+_TICK = 100  # prices are quoted in hundredths
 _WIDE = T.DecimalType(38, 0)
 
 
@@ -29,8 +30,8 @@ def trade_date(ts) -> Column:
 def code_of(key) -> Column:
     """Unique code for a supplier key; multiplying spreads keys over the exchanges."""
     k = F.col(key) if isinstance(key, str) else key
-    high = F.when(k >= _MICRO, F.floor(k / _MICRO).cast("string")).otherwise("")
-    return normalize_code(F.concat(high, F.lpad((k * 7919 % _MICRO).cast("string"), 6, "0")))
+    high = F.when(k >= _MILLION, F.floor(k / _MILLION).cast("string")).otherwise("")
+    return normalize_code(F.concat(high, F.lpad((k * 7919 % _MILLION).cast("string"), 6, "0")))
 
 
 def _half_up(x: Column) -> Column:
@@ -59,7 +60,7 @@ class MarketTables:
             df = df.where(F.col("trade_date") >= F.lit(start).cast("date"))
         if end is not None:
             df = df.where(F.col("trade_date") <= F.lit(end).cast("date"))
-        px = _half_up(F.col("l_extendedprice") / F.col("l_quantity") * _MICRO)
+        px = _half_up(F.col("l_extendedprice") / F.col("l_quantity") * _TICK)
         seq = F.col("l_orderkey") * 8 + F.col("l_linenumber")
         return (
             df.withColumn("px", px)
@@ -81,14 +82,14 @@ class MarketTables:
     @staticmethod
     def _as_bars(df: DataFrame, code: Column) -> DataFrame:
         def price(tag):
-            return (F.col(tag) % F.lit(10**12).cast(T.DecimalType(13, 0))).cast("long") / _MICRO
+            return (F.col(tag) % F.lit(10**12).cast(T.DecimalType(13, 0))).cast("long") / _TICK
 
         return df.select(
             code.alias("ts_code"),
             "trade_date",
             price("first_tag").alias("open"),
-            (F.col("hi") / _MICRO).alias("high"),
-            (F.col("lo") / _MICRO).alias("low"),
+            (F.col("hi") / _TICK).alias("high"),
+            (F.col("lo") / _TICK).alias("low"),
             price("last_tag").alias("close"),
             "vol",
             (F.col("cents") / 100).alias("amount"),
@@ -180,8 +181,8 @@ class MarketTables:
             code_of("l_suppkey").alias("ts_code"),
             "trade_date",
             (F.col("q") / 10).alias("turnover_rate"),
-            F.when(F.col("tax") > 0, F.col("px") / _MICRO / (1 + F.col("tax") * 100)).alias("pe"),
-            (F.col("px") / _MICRO / 1000).alias("pb"),
+            F.when(F.col("tax") > 0, F.col("px") / _TICK / (1 + F.col("tax") * 100)).alias("pe"),
+            (F.col("px") / _TICK / 1000).alias("pb"),
             (F.col("c") / 100 * 12).alias("total_mv"),
         )
 
@@ -230,7 +231,7 @@ class MarketTables:
     def feed(self) -> DataFrame:
         """Raw provider records, one per line, as text and with the usual defects."""
         ln, flag = F.col("l_linenumber"), F.col("l_returnflag")
-        px = F.col("px") / _MICRO
+        px = F.col("px") / _TICK
         low = px * 0.99
         return self.lines().select(
             F.when(ln == 7, F.substring(code_of("l_suppkey"), 1, 6)).otherwise(code_of("l_suppkey")).alias("ts_code"),

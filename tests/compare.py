@@ -88,7 +88,7 @@ if __name__ == "__main__":
         try:
             ok, msg = compare(spark, con, sf_dir, name, fn, oracles.get(name))
         except Exception as e:  # noqa: BLE001 - report and go on
-            ok, msg = False, f"{type(e).__name__}: {str(e)[:700]}"
+            ok, msg = False, f"{type(e).__name__}: {str(e)[:500]}"
         if not ok:
             failed.append(name)
         print(f"{'ok  ' if ok else 'FAIL'} {name}: {msg}", flush=True)
