@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,3 +11,10 @@ def complete_sessions(bars: DataFrame) -> DataFrame:
     size = bars.agg(F.count_distinct("ts_code").alias("n"))
     per_day = bars.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
     return per_day.where(F.col("n") == size.select("n").scalar()).select("trade_date")
+
+
+def session_ordinals(calendar: DataFrame) -> DataFrame:
+    """Open days with a 1-based ordinal. One row per calendar day, so the single sort is bounded."""
+    w = Window.orderBy("cal_date")
+    opened = calendar.where("is_open = 1")
+    return opened.select(F.col("cal_date").alias("trade_date"), F.row_number().over(w).alias("ordinal"))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -305,7 +306,7 @@ def cci_values(tp: np.ndarray, n: int, dialect: str) -> np.ndarray:
     return out
 
 
-RECURRENT = [
+GROUPED = [
     *[f"ema{n}" for n in EMA_SPANS], "macd_dif", "macd_dea", "macd_hist", "rsi",
     "kdj_k", "kdj_d", "kdj_j", "bear_power", "bull_power", "mass", "macd_golden_cross",
     *[f"{m}_{n}d" for n in RISK_WINDOWS for m in ("skewness", "kurtosis")],
@@ -313,37 +314,39 @@ RECURRENT = [
 ]
 
 
-def _recurrent_columns(dialect: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def per_code(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date")
-        c, h, low = (pdf[n].to_numpy(float) for n in ("close", "high", "low"))
+def _grouped_columns(dialect: str) -> Callable[[pa.Table], pa.Table]:
+    def per_code(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("trade_date")
+        c, h, low = (rows[n].to_numpy() for n in ("close", "high", "low"))
         new = {f"ema{n}": ema_values(c, n, dialect) for n in EMA_SPANS}
-        new["macd_dif"], new["macd_dea"], new["macd_hist"] = macd_values(c, dialect)
+        new["macd_dif"], new["macd_dea"], new["macd_hist"] = dif, dea, _ = macd_values(c, dialect)
         new["rsi"] = rsi_values(c, dialect)
         new["kdj_k"], new["kdj_d"], new["kdj_j"] = kdj_values(h, low, c, dialect)
         e13, unit = ema_values(c, 13, dialect), c if dialect == "library" else 1.0
         new["bear_power"], new["bull_power"] = (low - e13) / unit, (h - e13) / unit
         new["mass"] = mass_values(h, low, dialect)
-        dif, dea = pd.Series(new["macd_dif"]), pd.Series(new["macd_dea"])
-        cross = (dif > dea) & (dif.shift(1) <= dea.shift(1))
-        new["macd_golden_cross"] = cross.to_numpy().astype("int32")
+        crossed = np.zeros(len(c), "int32")
+        crossed[1:] = (dif[1:] > dea[1:]) & (dif[:-1] <= dea[:-1])
+        new["macd_golden_cross"] = crossed
         ret = np.r_[np.nan, c[1:] / c[:-1] - 1]
         for n in RISK_WINDOWS:
             new[f"skewness_{n}d"], new[f"kurtosis_{n}d"] = moment_values(ret, n, dialect)
         typical = (h + low + c) / 3
         for n in CCI_WINDOWS:
             new[f"cci{n}"] = cci_values(typical, n, dialect)
-        return pdf.assign(**new)
+        for name in GROUPED:
+            rows = rows.append_column(name, pa.array(new[name], from_pandas=True))
+        return rows
 
     return per_code
 
 
-def recurrences(df: DataFrame, dialect: str = "library") -> DataFrame:
+def grouped_features(df: DataFrame, dialect: str = "library") -> DataFrame:
     """Add the features that need whole histories or fourth moments; other columns pass through."""
     _check(dialect)
-    fields = [T.StructField(n, T.IntegerType() if n == "macd_golden_cross" else T.DoubleType()) for n in RECURRENT]
+    fields = [T.StructField(n, T.IntegerType() if n == "macd_golden_cross" else T.DoubleType()) for n in GROUPED]
     schema = T.StructType(df.schema.fields + fields)
-    return df.groupBy("ts_code").applyInPandas(_recurrent_columns(dialect), schema)
+    return df.groupBy("ts_code").applyInArrow(_grouped_columns(dialect), schema)
 
 
 # -- driver -------------------------------------------------------------------------
@@ -366,7 +369,7 @@ def base_features(bars: DataFrame, dialect: str = "library", min_rows: int | Non
     """All 62 features (59 without turnover) for every instrument, infinities as null."""
     if min_rows is not None:
         bars = enough_history(bars, min_rows)
-    out = recurrences(closed_features(bars, dialect), dialect)
+    out = grouped_features(closed_features(bars, dialect), dialect)
     out = out.withColumns(
         {
             "rsi_oversold": F.when(F.nanvl("rsi", F.lit(None).cast("double")) < 30, 1).otherwise(0),

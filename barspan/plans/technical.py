@@ -127,13 +127,23 @@ def _mood(up, down, n):
     return f"coalesce({win(f'sum({up})', n, up)} / nullif({win(f'sum({down})', n, down)}, 0) * 100, 0)"
 
 
+def _R6(expr, alias):
+    """Ratios of near-zero sums are huge: six decimals, or none from 100000 on."""
+    return f"CASE WHEN abs({expr}) >= 100000 THEN round({expr}, 0) ELSE round({expr}, 6) + CAST(0 AS DOUBLE) END AS {alias}"
+
+
+def _coarse(df):
+    big = {c: F.when(F.abs(c) >= 100000, F.round(c, 0)).otherwise(F.col(c)) for c in ("br", "ar", "cr20") if c in df.columns}
+    return df.withColumns(big)
+
+
 @query(
     "w12_emotion",
-    f"SELECT ts_code, trade_date, {R(_mood('bu', 'bd', 26), 'br', 5)}, {R(_mood('au', 'ad', 26), 'ar', 5)} FROM moods",
+    f"SELECT ts_code, trade_date, {_R6(_mood('bu', 'bd', 26), 'br')}, {_R6(_mood('au', 'ad', 26), 'ar')} FROM moods",
     **_MOODS,
 )
 def _(t):
-    return _stepped(t, W.emotion(), 5)
+    return _coarse(_stepped(t, W.emotion(), 6))
 
 
 @query(
@@ -165,8 +175,8 @@ def _(t):
     + " FROM rets",
 )
 def _(t):
-    df = W.recurrences(t.bars)
-    return rounded(df.select(*K, *[c for c in W.RECURRENT if c.startswith(("skew", "kurt"))]), 4)
+    df = W.grouped_features(t.bars)
+    return rounded(df.select(*K, *[c for c in W.GROUPED if c.startswith(("skew", "kurt"))]), 4)
 
 
 @query(
@@ -198,7 +208,7 @@ def _(t):
 )
 def _(t):
     names = [f"cci{n}" for n in W.CCI_WINDOWS]
-    df = W.recurrences(t.bars.withColumns(W.bias()))
+    df = W.grouped_features(t.bars.withColumns(W.bias()))
     return rounded(df.select(*K, *W.bias(), *names), 6, **{c: 4 for c in names})
 
 
@@ -229,7 +239,7 @@ _SEQ2 = f"SELECT *, {win('avg(up)', 14, 'up')} AS mu, {win('avg(dn)', 14, 'dn')}
     + " FROM rec r JOIN seq0 b ON b.ts_code = r.ts_code AND b.rn = r.rn + 1",
 )
 def _(t):
-    df = W.recurrences(t.bars)
+    df = W.grouped_features(t.bars)
     return rounded(df.select(*K, *[f"ema{n}" for n in W.EMA_SPANS]), 5)
 
 
@@ -255,7 +265,7 @@ _MACD_REC = {
     **_MACD_REC,
 )
 def _(t):
-    return rounded(W.recurrences(t.bars).select(*K, "macd_dif", "macd_dea", "macd_hist"), 4)
+    return rounded(W.grouped_features(t.bars).select(*K, "macd_dif", "macd_dea", "macd_hist"), 4)
 
 
 _WILDER = {
@@ -273,7 +283,7 @@ _WILDER = {
 
 @query("w6_rsi", f"SELECT ts_code, trade_date, {R('CASE WHEN u + d = 0 THEN 0 ELSE 100 * u / (u + d) END', 'rsi')} FROM rec", **_WILDER)
 def _(t):
-    return rounded(W.recurrences(t.bars).select(*K, "rsi"))
+    return rounded(W.grouped_features(t.bars).select(*K, "rsi"))
 
 
 @query(
@@ -282,7 +292,7 @@ def _(t):
     **_WILDER,
 )
 def _(t):
-    return rounded(W.recurrences(t.bars).select(*K, "kdj_k", "kdj_d", "kdj_j"))
+    return rounded(W.grouped_features(t.bars).select(*K, "kdj_k", "kdj_d", "kdj_j"))
 
 
 @query(
@@ -295,7 +305,7 @@ def _(t):
     + " FROM rec r JOIN seq0 b ON b.ts_code = r.ts_code AND b.rn = r.rn + 1",
 )
 def _(t):
-    return rounded(W.recurrences(t.bars).select(*K, "bear_power", "bull_power"))
+    return rounded(W.grouped_features(t.bars).select(*K, "bear_power", "bull_power"))
 
 
 @query(
@@ -307,7 +317,7 @@ def _(t):
       FROM rec r JOIN rets b ON b.ts_code = r.ts_code AND b.rn = r.rn + 1""",
 )
 def _(t):
-    return rounded(W.recurrences(t.bars).select(*K, "mass"))
+    return rounded(W.grouped_features(t.bars).select(*K, "mass"))
 
 
 @query(
@@ -373,15 +383,15 @@ _FV_REC = {
     **_FV_REC,
 )
 def _(t):
-    df = W.recurrences(t.bars, "first_value")
-    names = [c for c in W.RECURRENT if c not in ("rsi", "macd_golden_cross") and not c.startswith(("skew", "kurt", "cci"))]
+    df = W.grouped_features(t.bars, "first_value")
+    names = [c for c in W.GROUPED if c not in ("rsi", "macd_golden_cross") and not c.startswith(("skew", "kurt", "cci"))]
     return rounded(df.select(*K, *names), 4)
 
 
 @query(
     "w20_first_value_frames",
     f"""SELECT ts_code, trade_date, {R(win('sum(turnover_rate)', 5, 'turnover_rate'), 'turnover_rate_5', 4)},
-    {R('br', 'br', 5)}, {R('ar', 'ar', 5)}, {R('br * 0.92', 'cr20', 5)}, {R("nullif(v, 0) * sqrt(252)", 'volatility_20d', 4)},
+    {_R6('br', 'br')}, {_R6('ar', 'ar')}, {_R6('br * 0.92', 'cr20')}, {R("nullif(v, 0) * sqrt(252)", 'volatility_20d', 4)},
     {R('(25 - (list_position(list_reverse(hs), list_max(hs)) - 1)) * 4.0', 'arron_up_25', 4)},
     {R('(25 - (list_position(list_reverse(ls), list_min(ls)) - 1)) * 4.0', 'arron_down_25', 4)} FROM
     (SELECT *, {win('sum(hu)', 26, 'hu')} / nullif({win('sum(hd)', 26, 'hd')}, 0) * 100 AS br,
@@ -392,4 +402,5 @@ def _(t):
 )
 def _(t):
     df = W.closed_features(daily_panel(t.bars, t.valuation), "first_value")
-    return rounded(df.select(*K, "turnover_rate_5", "br", "ar", "cr20", "volatility_20d", "arron_up_25", "arron_down_25"), 4, br=5, ar=5, cr20=5)
+    names = ["turnover_rate_5", "br", "ar", "cr20", "volatility_20d", "arron_up_25", "arron_down_25"]
+    return _coarse(rounded(df.select(*K, *names), 4, br=6, ar=6, cr20=6))
