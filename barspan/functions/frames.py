@@ -52,3 +52,12 @@ def change(col, n: int = 1) -> Column:
 def nonzero(col) -> Column:
     c = _c(col)
     return F.when(c != 0, c)
+
+
+def computed_once(df, columns: dict[str, Column]):
+    """Add columns behind a generator.
+
+    Spark would otherwise inline an expensive expression into every later filter and
+    projection that mentions it; a generator's output is computed once per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

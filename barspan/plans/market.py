@@ -61,13 +61,13 @@ _L5 = f"SELECT ts_code, trade_date, lead(close, 5) {OVER} / close - 1 AS label F
 
 @query(
     "w34_probe_labels",
-    """SELECT ts_code, trade_date, CASE WHEN label > median(label) OVER (PARTITION BY trade_date) THEN 1 ELSE 0 END AS label_cls,
-    round(CAST(CAST(label AS FLOAT) AS DOUBLE), 4) AS label_reg, CASE WHEN label > 0 THEN 1 ELSE 0 END AS label_dir FROM l5""",
+    f"""SELECT ts_code, trade_date, CASE WHEN label > median(label) OVER (PARTITION BY trade_date) THEN 1 ELSE 0 END AS label_cls,
+    {R('CAST(label AS FLOAT)', 'label_reg', 3)}, CASE WHEN label > 0 THEN 1 ELSE 0 END AS label_dir FROM l5""",
     l5=_L5,
 )
 def _(t):
     out = M.probe_labels(M.forward_label(t.bars))
-    return out.select(*K, "label_cls", F.round(F.col("label_reg").cast("double"), 4).alias("label_reg"), "label_dir")
+    return out.select(*K, "label_cls", (F.round(F.col("label_reg").cast("double"), 3) + F.lit(0.0)).alias("label_reg"), "label_dir")
 
 
 @query(
