@@ -1 +1,19 @@
-"""Placeholder."""
+"""Schedules, adjusted prices, portfolios and accounts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from barspan.functions.frames import previous
+
+
+def price_limits(bars: DataFrame) -> DataFrame:
+    """Daily limits: half and one and a half times the previous close, widened to hold the open."""
+    pc = previous("close")
+    return bars.select(
+        "ts_code",
+        "trade_date",
+        F.when(pc.isNotNull(), F.greatest(pc * 1.5, F.col("open"))).alias("up_limit"),
+        F.when(pc.isNotNull(), F.least(pc * 0.5, F.col("open"))).alias("down_limit"),
+    )
