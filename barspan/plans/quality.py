@@ -51,9 +51,10 @@ _DONE = "SELECT trade_date FROM sessions WHERE CAST(trade_date AS TIMESTAMP) + I
 @query(
     "q3_complete_session_cutoff",
     """SELECT max(trade_date) AS target_trade_date, max(trade_date) FILTER (n = 5) AS data_cutoff,
-    arg_max(CASE WHEN coalesce(n, 0) <> 5 THEN 'INCOMPLETE_DAILY' END, trade_date) AS fallback_reason
-    FROM done LEFT JOIN (SELECT trade_date, count(*) AS n FROM rall GROUP BY 1) USING (trade_date)""",
+    (SELECT CASE WHEN coalesce(n, 0) <> 5 THEN 'INCOMPLETE_DAILY' END FROM day_counts ORDER BY trade_date DESC LIMIT 1) AS fallback_reason
+    FROM day_counts""",
     done=_DONE,
+    day_counts="SELECT trade_date, n FROM done LEFT JOIN (SELECT trade_date, count(*) AS n FROM rall GROUP BY 1) USING (trade_date)",
 )
 def _(t):
     return Q.select_cutoff(t.calendar, t._grouped_bars("r_name"), "2001-10-31 09:00:00")
@@ -342,8 +343,8 @@ def _(t):
 
 @query(
     "q20_publication_class",
-    f"""SELECT o_orderkey, o.d AS trade_date, s2.trade_date AS entry_date, CASE WHEN at < CAST(s2.trade_date AS TIMESTAMP) + INTERVAL 1 HOUR THEN 'PROSPECTIVE_CANDIDATE' ELSE 'LATE_DIAGNOSTIC' END AS status
-    FROM (SELECT o_orderkey, {day_sql('o_orderdate')} AS d, CAST({day_sql('o_orderdate')} AS TIMESTAMP) + INTERVAL 8 HOUR + to_hours(o_custkey % 36) AS at FROM orders) o
+    f"""SELECT o_orderkey, o.d AS trade_date, s2.trade_date AS entry_date, CASE WHEN published < CAST(s2.trade_date AS TIMESTAMP) + INTERVAL 1 HOUR THEN 'PROSPECTIVE_CANDIDATE' ELSE 'LATE_DIAGNOSTIC' END AS status
+    FROM (SELECT o_orderkey, {day_sql('o_orderdate')} AS d, CAST({day_sql('o_orderdate')} AS TIMESTAMP) + INTERVAL 8 HOUR + to_hours(o_custkey % 36) AS published FROM orders) o
     JOIN sessions s1 ON s1.trade_date = o.d JOIN sessions s2 ON s2.ordinal = s1.ordinal + 1""",
 )
 def _(t):
