@@ -39,18 +39,16 @@ def _(t):
 
 @query(
     "a1_overview_per_session",
-    f"""SELECT trade_date, count(*) AS total, count(*) FILTER (pct_chg > 0) AS up, count(*) FILTER (pct_chg < 0) AS down, count(*) FILTER (pct_chg = 0) AS flat,
-    {R('avg(pct_chg)', 'avg_change', 3)}, {R('sum(amount)', 'total_amount', 1)} FROM chg GROUP BY 1""",
-    **_DAY,
+    f"""SELECT trade_date, count(*) AS total, count(*) FILTER (ret > 0) AS up, count(*) FILTER (ret < 0) AS down, count(*) FILTER (ret = 0) AS flat,
+    {R('avg(ret)', 'avg_change')}, {R('sum(amount)', 'total_amount', 2)} FROM rets GROUP BY 1""",
 )
 def _(t):
-    df = t.bars.withColumn("pct_chg", F.round(change("close") * 100, 4))
-    c = F.col("pct_chg")
-    day = df.groupBy("trade_date").agg(
+    c = F.col("ret")
+    day = t.bars.withColumn("ret", change("close")).groupBy("trade_date").agg(
         F.count(F.lit(1)).alias("total"), F.count(F.when(c > 0, 1)).alias("up"), F.count(F.when(c < 0, 1)).alias("down"),
         F.count(F.when(c == 0, 1)).alias("flat"), F.avg(c).alias("avg_change"), F.sum("amount").alias("total_amount"),
     )
-    return rounded(day, 3, total_amount=1)
+    return rounded(day, 6, total_amount=2)
 
 
 @query(
