@@ -39,12 +39,12 @@ def price_limits(bars: DataFrame) -> DataFrame:
 
 @query(
     "b9_adjusted_prices",
-    f"""SELECT ts_code, trade_date, {R('open * m', 'open', 7)}, {R('close * m', 'close', 7)}, {R('CASE WHEN vol = 0 THEN 0 ELSE amount * 10 / vol * m END', 'vwap', 5)}, vol, amount, {R('m', 'multiplier')}
+    f"""SELECT ts_code, trade_date, {R('open * m', 'open', 7)}, {R('close * m', 'close', 7)}, {R('CASE WHEN vol = 0 THEN 0 ELSE amount * 10 / vol * m END', 'vwap', 7)}, vol, amount, {R('m', 'multiplier')}
     FROM (SELECT b.*, adj_factor / first_value(adj_factor) {OVER} AS m FROM bars b JOIN factors USING (ts_code, trade_date))""",
 )
 def _(t):
     out = B.adjust_prices(t.bars, t.factors)
-    return rounded(out.select(*K, "open", "close", "vwap", "vol", "amount", "multiplier"), 7, multiplier=6, amount=2, vwap=5)
+    return rounded(out.select(*K, "open", "close", "vwap", "vol", "amount", "multiplier"), 7, multiplier=6, amount=2)
 
 
 _SES = {"rs": "SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS o FROM (SELECT DISTINCT trade_date FROM rbars)"}
