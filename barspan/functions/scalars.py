@@ -61,8 +61,9 @@ def compact_date(col) -> Column:
 def session_day(text) -> Column:
     """``yyyyMMdd`` or ISO text -> date; anything else is null."""
     t = F.trim(_c(text))
-    return F.when(t.rlike("^[0-9]{8}$"), F.try_to_timestamp(t, F.lit("yyyyMMdd")).cast("date")).when(
-        t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).cast("date")
+    dashed = F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))
+    return F.when(t.rlike("^[0-9]{8}$"), dashed.try_cast("date")).when(
+        t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), t.try_cast("date")
     )
 
 

@@ -56,7 +56,10 @@ def _typed(df: DataFrame) -> DataFrame:
     casts = {c: F.col(c).try_cast("double") for c in NUMERIC if c in df.columns}
     if dict(df.dtypes)["trade_date"] == "string":
         casts["trade_date"] = session_day("trade_date")
-    return df.withColumns(casts)
+    plain = [c for c in df.columns if c not in casts]
+    # behind a generator, so that no later filter parses the text again
+    once = F.inline(F.array(F.struct(*[e.alias(c) for c, e in casts.items()])))
+    return df.select(*plain, once)
 
 
 def first_reject() -> Column:

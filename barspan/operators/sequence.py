@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barspan.functions.frames import by_code, change, following, last_rows, previous, rolling
-from barspan.functions.ranks import average_ranks, group_quantile, with_average_rank
+from barspan.functions.ranks import group_quantile, position_quantile, ranked_measures, with_average_rank
 from barspan.functions.scalars import finite
 from barspan.operators.technical import _mean_seeded, ema_values, macd_values, rsi_values
 
@@ -303,18 +303,22 @@ def features_158(df: DataFrame, families=FAMILIES, windows=WINDOWS) -> DataFrame
 
 # -- cross section ------------------------------------------------------------------
 def cross_section(df: DataFrame, minimum: int = 10) -> DataFrame:
-    """Eight per-date features; dates with fewer than ``minimum`` instruments stay 0.
+    """Keys and eight per-date features; dates with fewer than ``minimum`` instruments stay 0.
 
     Ranks and medians go through the bucketed positions, averages through a map-side
     combined aggregation, so no task ever holds a whole date.
     """
     measures = ["pct_chg", "vol", "turnover_rate", "amplitude", "close"]
-    ranks = average_ranks(df, KEY, "trade_date", measures)
-    day = df.groupBy("trade_date").agg(F.count(F.lit(1)).alias("_size"), F.avg("pct_chg").alias("_mean"))
-    for c in ("close", "amplitude"):
-        day = day.join(group_quantile(df, ["trade_date"], c, 0.5, f"_mid_{c}"), "trade_date", "left")
+    wide, pos = ranked_measures(df, KEY, "trade_date", measures)
+    day = wide.groupBy("trade_date").agg(F.count(F.lit(1)).alias("_size"), F.avg("pct_chg").alias("_mean"))
+    centred = {c: measures.index(c) for c in ("close", "amplitude")}
+    pos = pos.where(F.col("measure").isin(list(centred.values())))
+    middle = position_quantile(pos, ["trade_date", "measure"], "value", 0.5, "_mid")
+    middle = middle.groupBy("trade_date").agg(
+        *[F.max(F.when(F.col("measure") == i, F.col("_mid"))).alias(f"_mid_{c}") for c, i in centred.items()]
+    )
     # one row per session: at most one per calendar day
-    joined = df.join(ranks, KEY, "left").join(F.broadcast(day), "trade_date", "left")
+    joined = wide.join(F.broadcast(day.join(middle, "trade_date", "left")), "trade_date", "left")
     raw = {
         "cs_return_pct": F.col("pct_chg_rank") / F.col("_size"),
         "cs_volume_pct": F.col("vol_rank") / F.col("_size"),
@@ -327,7 +331,7 @@ def cross_section(df: DataFrame, minimum: int = 10) -> DataFrame:
     }
     live = F.col("_size") >= minimum
     out = {n: F.when(live, F.coalesce(finite(e), F.lit(0.0))).otherwise(F.lit(0.0)) for n, e in raw.items()}
-    return joined.select(*df.columns, *[e.alias(n) for n, e in out.items()])
+    return joined.select(*KEY, *[e.alias(n) for n, e in out.items()])
 
 
 # -- labels and windows -------------------------------------------------------------
