@@ -225,3 +225,51 @@ def test_overlaps_against_brute_force(spark):
     got = sorted(map(tuple, Q.overlaps(l, r, 7).select("l", "r").collect()))
     want = sorted((a[0], b[0]) for a in left for b in right if a[1] <= b[2] and a[2] >= b[1])
     assert got == want
+
+
+def test_scalar_functions(spark):
+    from barspan.functions import scalars as X
+
+    codes = [("600000",), ("000001",), ("920001",), ("430001",), (" 300750.sz ",)]
+    df = spark.createDataFrame(codes, "c string")
+    assert [r[0] for r in df.select(X.normalize_code("c")).collect()] == ["600000.SH", "000001.SZ", "920001.BJ", "430001.BJ", "300750.SZ"]
+    assert df.where("c = '920001'").select(X.normalize_code("c", bj_920=False)).first()[0] == "920001.SH"
+    idx = spark.createDataFrame([("399001",), ("000300",)], "c string").select(X.index_code("c")).collect()
+    assert [r[0] for r in idx] == ["399001.SZ", "000300.SH"]
+    days_ = spark.createDataFrame([("20240229",), ("2024-02-29",), ("20240230",), ("x",)], "d string").select(X.session_day("d")).collect()
+    assert [r[0] for r in days_] == [date(2024, 2, 29), date(2024, 2, 29), None, None]
+    done = spark.sql("SELECT DATE '2024-01-02' AS d, TIMESTAMP '2024-01-02 08:00:00' AS a, TIMESTAMP '2024-01-02 08:00:01' AS b")
+    assert tuple(done.select(X.session_completed("d", "a"), X.session_completed("d", "b")).first()) == (False, True)
+    image = spark.sql("SELECT 1e17D + 1D AS x, 0.1D AS y").select(X.float32_image("x"), X.float32_image("y", 9)).first()
+    assert str(image[0]) == "99999998430674944.000000" and str(image[1]) == "0.100000001"
+
+
+def test_fingerprint_ignores_order_but_sees_copies(spark):
+    from barspan.sources.sinks import fingerprint
+
+    rows = [("A", d, 1.0) for d in days(5)]
+    schema = "ts_code string, trade_date date, v double"
+    cols = ["ts_code", "trade_date", "v"]
+    a = fingerprint(spark.createDataFrame(rows, schema), [], cols).first()
+    b = fingerprint(spark.createDataFrame(rows[::-1], schema).repartition(3), [], cols).first()
+    c = fingerprint(spark.createDataFrame(rows + rows[:1] * 2, schema), [], cols).first()
+    assert a == b and a["digest"] != c["digest"]
+
+
+def test_feature_store_publish_rollback_and_refusal(spark):
+    from barspan.session import scratch_dir
+    from barspan.sources.sinks import FeatureStore
+
+    store = FeatureStore(spark, scratch_dir(spark, "store"))
+    one = spark.createDataFrame([("A", date(2024, 1, 2), 1.0)], "ts_code string, trade_date date, v double")
+    two = one.withColumn("v", F.lit(2.0))
+    for name, df in (("b1", one), ("b2", two)):
+        store.write(df, name)
+        store.publish(df, name)
+    assert store.read(one.schema)[0].first()["v"] == 2.0
+    assert store.rollback() == "b1" and store.read(one.schema)[0].first()["v"] == 1.0
+    store.write(one, "b3")
+    with pytest.raises(ValueError, match="failed verification"):
+        store.publish(two, "b3")
+    _, missing = store.read(one.schema, one.withColumn("ts_code", F.lit("B")))
+    assert missing.count() == 1
