@@ -46,7 +46,15 @@ def following(col, n: int = 1) -> Column:
 
 
 def change(col, n: int = 1) -> Column:
-    return _c(col) / previous(col, n) - 1
+    return F.try_divide(_c(col), previous(col, n)) - 1
+
+
+def safe_corr(x, y) -> Column:
+    """Pairwise-complete Pearson correlation; null (never an error) where a side is constant."""
+    x, y = _c(x), _c(y)
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def nonzero(col) -> Column:

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspan.functions.frames import safe_corr
 from barspan.functions.ranks import average_ranks, group_quantile, row_order, value_positions
 from barspan.functions.scalars import finite
 from barspan.operators.clean import safe_features
@@ -271,7 +272,7 @@ def daily_rank_ic(df: DataFrame, score: str = "score", label: str = "label") ->
     ranked = average_ranks(known, KEY, "trade_date", [score, label])
     a, b = F.col(f"{score}_rank"), F.col(f"{label}_rank")
     live = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-    return ranked.groupBy("trade_date").agg(F.count(F.lit(1)).alias("rows"), F.when(live, F.corr(a, b)).alias("rank_ic"))
+    return ranked.groupBy("trade_date").agg(F.count(F.lit(1)).alias("rows"), F.when(live, safe_corr(a, b)).alias("rank_ic"))
 
 
 def ranking_metrics(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspan.functions.frames import by_code, following, nonzero
+from barspan.functions.frames import by_code, following, nonzero, safe_corr
 from barspan.functions.ranks import group_quantile, row_order, with_average_rank
 from barspan.operators.tables import top_rows
 
@@ -315,7 +315,7 @@ def monthly_pivot(df: DataFrame, ret: str, by: str = "ts_code") -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairwise-complete Pearson correlations in long form, from one aggregation."""
     pairs = [(a, b) for a in columns for b in columns]
-    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs) if a < b])
+    row = df.agg(*[safe_corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs) if a < b])
     index = {frozenset(p): str(i) for i, p in enumerate(pairs) if p[0] < p[1]}
     cells = [
         F.struct(

@@ -268,9 +268,14 @@ def flow_family(w: int) -> dict[str, Column]:
     """Correlations, counts of rises, and shares of gains in price and volume."""
     over, v = _framed(w), F.col("vol")
     up, dn = over(F.avg("_up")), over(F.avg("_dn"))
+
+    def both(x, y):
+        # a constant window has no correlation: null here, 0 after the fill
+        return F.try_divide(over(F.covar_pop(x, y)), over(F.stddev_pop(x)) * over(F.stddev_pop(y)))
+
     out = {
-        f"CORR{w}": over(F.corr("close", "_logv")),
-        f"CORD{w}": over(F.corr("_cr", "_vr")),
+        f"CORR{w}": both("close", "_logv"),
+        f"CORD{w}": both("_cr", "_vr"),
         f"CNTP{w}": up,
         f"CNTN{w}": dn,
         f"CNTD{w}": up - dn,

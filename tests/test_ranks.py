@@ -64,3 +64,11 @@ def test_late_tagging_does_not_depend_on_bucket_size(spark):
         want.append((i, code in seen and d < seen[code]))
         seen[code] = max(seen.get(code, d), d)
     assert flags[0] == sorted(want)
+
+
+def test_constant_sides_have_no_correlation(spark):
+    from barspan.functions.frames import safe_corr
+
+    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 3.0), (2, 1.0, 2.0), (2, 2.0, 4.0), (2, None, 9.0)], "g int, x double, y double")
+    got = {r["g"]: r["c"] for r in df.groupBy("g").agg(safe_corr("x", "y").alias("c")).collect()}
+    assert got[1] is None and abs(got[2] - 1) < 1e-12
