@@ -267,12 +267,15 @@ def weighted_f1(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def daily_rank_ic(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Spearman correlation per date; null where either side is constant."""
+    """Spearman correlation per date; null where either side is constant.
+
+    Rounded to twelve decimals, so that an exactly zero correlation has no random sign.
+    """
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*KEY, score, label)
     ranked = average_ranks(known, KEY, "trade_date", [score, label])
     a, b = F.col(f"{score}_rank"), F.col(f"{label}_rank")
     live = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-    return ranked.groupBy("trade_date").agg(F.count(F.lit(1)).alias("rows"), F.when(live, safe_corr(a, b)).alias("rank_ic"))
+    return ranked.groupBy("trade_date").agg(F.count(F.lit(1)).alias("rows"), F.when(live, F.round(safe_corr(a, b), 12)).alias("rank_ic"))
 
 
 def ranking_metrics(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:

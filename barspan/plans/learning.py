@@ -257,7 +257,7 @@ _RANKS = {
     "pool": "SELECT ts_code, trade_date, ret AS score, label FROM sam WHERE ret IS NOT NULL AND label IS NOT NULL",
     "ranks": """SELECT *, rank() OVER (PARTITION BY trade_date ORDER BY score) + (count(*) OVER (PARTITION BY trade_date, score) - 1) / 2 AS rs,
       rank() OVER (PARTITION BY trade_date ORDER BY label) + (count(*) OVER (PARTITION BY trade_date, label) - 1) / 2 AS rl FROM pool""",
-    "ics": "SELECT trade_date, count(*) AS rows, CASE WHEN min(rs) < max(rs) AND min(rl) < max(rl) THEN corr(rs, rl) END AS ic FROM ranks GROUP BY 1",
+    "ics": "SELECT trade_date, count(*) AS rows, CASE WHEN min(rs) < max(rs) AND min(rl) < max(rl) THEN round(corr(rs, rl), 12) END AS ic FROM ranks GROUP BY 1",
 }
 
 
@@ -428,7 +428,7 @@ _TRIALS = {
     "tr0": "SELECT trade_date, ts_code, label, unnest(['control', 'reversal', 'volume', 'bias']) AS name, unnest([ret, -ret, vol, bias5]) AS score FROM sam WHERE ret IS NOT NULL AND bias5 IS NOT NULL AND label IS NOT NULL",
     "tr1": """SELECT *, rank() OVER (PARTITION BY name, trade_date ORDER BY score) + (count(*) OVER (PARTITION BY name, trade_date, score) - 1) / 2 AS rs,
       rank() OVER (PARTITION BY name, trade_date ORDER BY label) + (count(*) OVER (PARTITION BY name, trade_date, label) - 1) / 2 AS rl FROM tr0""",
-    "tr2": "SELECT name, trade_date, CASE WHEN min(rs) < max(rs) AND min(rl) < max(rl) THEN corr(rs, rl) END AS ic FROM tr1 GROUP BY 1, 2",
+    "tr2": "SELECT name, trade_date, CASE WHEN min(rs) < max(rs) AND min(rl) < max(rl) THEN round(corr(rs, rl), 12) END AS ic FROM tr1 GROUP BY 1, 2",
     "tr3": "SELECT name, avg(ic) AS m, count(ic) AS defined_dates, count(*) AS total_dates FROM tr2 GROUP BY 1",
 }
 
