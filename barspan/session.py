@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -27,13 +26,21 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "barspan") -
     )
 
 
+def shared_base(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def ensure_shared_folder(spark: SparkSession) -> None:
+    """Tests, bench and local calls: set ``spark.checkpoint.dir`` where a local session has none."""
+    if not shared_base(spark) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="barspan-"))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; the local default is for tests only."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share."""
+    base = shared_base(spark)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = os.path.join(tempfile.gettempdir(), "barspan-checkpoints")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

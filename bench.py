@@ -7,7 +7,7 @@ import os
 import time
 
 from barspan.plans.registry import load_all
-from barspan.session import local_session
+from barspan.session import ensure_shared_folder, local_session
 
 HEADLINE = [
     "s1_read_panel",
@@ -39,6 +39,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, partitions=int(cpus) if cpus.isdigit() else 8, app="bench")
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_shared_folder(spark)
     queries, _ = load_all()
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()  # start the JVM's readers
     spent = {}

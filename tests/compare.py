@@ -81,7 +81,7 @@ def compare(spark, con, sf_dir, name, fn, sql, exact=True):
 
 
 if __name__ == "__main__":
-    from barspan.plans.registry import load_all
+    from __spark_entry__ import oracle_sql, queries as all_queries
     from barspan.session import local_session
 
     sf, prefixes = sys.argv[1], tuple(sys.argv[2:]) or ("",)
@@ -89,7 +89,7 @@ if __name__ == "__main__":
     spark = local_session("8")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
-    queries, oracles = load_all()
+    queries, oracles = all_queries(), oracle_sql()
     failed = []
     for name, fn in queries.items():
         if not name.startswith(prefixes):

@@ -11,10 +11,11 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from barspan.session import local_session
+    from barspan.session import ensure_shared_folder, local_session
 
     s = local_session("8", partitions=4, app="tests")
     s.sparkContext.setLogLevel("ERROR")
+    ensure_shared_folder(s)
     yield s
     s.stop()
 
