@@ -73,7 +73,7 @@ WITH RECURSIVE words AS (
 sets AS (
     SELECT DISTINCT doc_id, hash(s) AS s FROM (
         SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
-            ELSE list_transform(range(1, len(w) - 1), i -> w[i:i + 2]) END) AS s FROM words)),
+            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) END) AS s FROM words)),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 links AS (
     SELECT a.doc_id AS a, b.doc_id AS b
