@@ -59,3 +59,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         e.select(F.col("b").alias("node"), F.col("b").alias("root"))
     ).distinct()
+
+
+def learning_rows(docs: DataFrame, chosen: DataFrame | None, bound: int) -> DataFrame:
+    """About ``bound`` rows (doc_id, text, pick, columns of ``chosen``) to learn from, never a held-out one.
+
+    ``chosen``: labelled ids, of which a hash takes at most ``bound``; None: a hash of the
+    documents decides. The caller cuts its measured rows with ``bounded``. What is broadcast
+    holds at most ``bound`` rows.
+    """
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = src.where(~held_out()).withColumn("pick", F.xxhash64("doc_id", "text", F.lit("learn")))
+    if chosen is None:
+        part = int(1.1e6 * bound / max(docs.count(), 1)) + 1
+        return src.where(F.pmod("pick", F.lit(1_000_000)) < part)
+    ids = chosen.where(F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("label_rows"), *[F.max(c).alias(c) for c in chosen.columns if c != "doc_id"]
+    )
+    ids = ids.orderBy(F.xxhash64("doc_id", F.lit("learn")), "doc_id").limit(bound)
+    return src.join(F.broadcast(ids), "doc_id")
+
+
+def bounded(rows: DataFrame, bound: int) -> list:
+    """At most ``bound`` rows on the driver, the same ones on every run."""
+    return rows.orderBy("pick").limit(bound).collect()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspan.llm import op1_token_codes, op4_mixing, op9_jaccard
+from barspan.llm import op1_token_codes, op3_toxicity, op4_mixing, op5_quality, op9_jaccard
 from barspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op1(spark, sf_dir):
     return op1_token_codes.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op3_sentence_toxicity")
+def op3(spark, sf_dir):
+    got = op3_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.get("worst", F.lit(0))["sentence"].alias("worst_sentence"))
+
+
 @query(
     "op4_weighted_fair_mix",
     """
@@ -64,6 +70,11 @@ def op4(spark, sf_dir):
     return got.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+@query("op5_positive_unlabelled_quality")
+def op5(spark, sf_dir):
+    return op5_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query(
     "op9_jaccard_components",
     """
