@@ -196,49 +196,102 @@ def _stack(blobs: list[bytes]) -> np.ndarray:
     return np.concatenate([_fold(np.frombuffer(b, np.uint64)[None, :], width) for b in blobs])
 
 
-def _may_link(na, nb, differ, num, den):
+def _may_link(na, nb, differ, num: int, den: int):
     """Whether the overlap's upper bound still allows a link."""
     both = na + nb
     overlap = np.minimum((both - differ) // 2, np.minimum(na, nb))
     return den * overlap >= num * (both - overlap)
 
 
+def _differ(x: bytes, y: bytes) -> int:
+    """Bits in which two parity bitmaps differ, the wider one folded."""
+    width = 8 * min(len(x), len(y))
+    pair = []
+    for blob in (x, y):
+        v, bits = int.from_bytes(blob, "little"), 8 * len(blob)
+        while bits > width:
+            bits //= 2
+            v = (v >> bits) ^ (v & ((1 << bits) - 1))
+        pair.append(v)
+    return (pair[0] ^ pair[1]).bit_count()
+
+
+def _tile_pairs(side, cls, comp, n, blobs, one_block, num, den, nearest):
+    """(a, b, more) of one tile, or of two of its blocks."""
+    if len(cls) <= 8:
+        for i in range(len(cls)):
+            near: dict = {}
+            for j in range(len(cls)):
+                if comp[i] == comp[j] or (j <= i if one_block else not side[i] < side[j]):
+                    continue
+                if den * min(n[i], n[j]) >= num * max(n[i], n[j]):
+                    d = _differ(blobs[i], blobs[j])
+                    if _may_link(n[i], n[j], d, num, den):
+                        near.setdefault(comp[j], []).append((d, j))
+            for found in near.values():
+                found.sort()
+                for _, j in found[:nearest]:
+                    yield cls[i], cls[j], nearest is not None and len(found) > nearest
+        return
+    side, cls, comp, n = (np.array(v, np.int64) for v in (side, cls, comp, n))
+    bits = _stack(blobs)
+    left, right = (np.arange(len(cls)),) * 2 if one_block else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    for i in left:
+        j = right[comp[right] != comp[i]]
+        if one_block:
+            j = j[j > i]
+        j = j[den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i])]
+        if not len(j):
+            continue
+        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        ok = _may_link(n[i], n[j], differ, num, den)
+        j, differ = j[ok], differ[ok]
+        order = np.lexsort((differ, comp[j]))
+        j = j[order]
+        begin = np.flatnonzero(np.append(True, comp[j][1:] != comp[j][:-1])) if len(j) else []
+        for a, b in zip(begin, [*begin[1:], len(j)]):
+            for x in j[a : b if nearest is None else min(b, a + nearest)]:
+                yield int(cls[i]), int(cls[x]), nearest is not None and b - a > nearest
+
+
+def _runs(batches, keys: list[str]):
+    """Tables of the rows of one key, from batches sorted by the key; holds one key at a time."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+        cols = [t.column(k).to_numpy() for k in keys]
+        fresh = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        at = 0
+        for to in fresh.tolist():
+            yield t.slice(at, to - at)
+            at = to
+        rest = t.slice(at)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
 def _search(rows: DataFrame, num: int, den: int, nearest: int | None) -> DataFrame:
     """Pairs ``a``, ``b``, ``more`` between different components of a tile that the bitmaps allow.
 
     ``rows``: tile, left, right (blocks), side, cls, comp, n, bits. ``more``: the class had further pairs.
     """
+    keys = ["tile", "left", "right"]
 
-    def run(pdf):
-        import pandas as pd
+    def batch_of(out):
+        a, b, more = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
 
-        bits = _stack(pdf["bits"].tolist())
-        cls, comp, n, side = (pdf[c].to_numpy() for c in ("cls", "comp", "n", "side"))
-        one_block = bool(pdf["left"].iloc[0] == pdf["right"].iloc[0])
-        left, right = (np.arange(len(cls)),) * 2 if one_block else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    def run(batches):
         out = []
-        for i in left:
-            j = right[comp[right] != comp[i]]
-            if one_block:
-                j = j[j > i]
-            low, high = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
-            j = j[den * low >= num * high]
-            if not len(j):
-                continue
-            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            ok = _may_link(n[i], n[j], differ, num, den)
-            j, differ = j[ok], differ[ok]
-            if nearest is None:
-                out += [(cls[i], cls[x], False) for x in j]
-                continue
-            order = np.lexsort((differ, comp[j]))
-            j = j[order]
-            begin = np.flatnonzero(np.append(True, comp[j][1:] != comp[j][:-1])) if len(j) else []
-            for a, b in zip(begin, [*begin[1:], len(j)]):
-                out += [(cls[i], cls[x], b - a > nearest) for x in j[a : min(b, a + nearest)]]
-        return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
-
-    return rows.groupBy("tile", "left", "right").applyInPandas(run, "a long, b long, more boolean")
+        for t in _runs(batches, keys):
+            v = t.to_pydict()
+            out += _tile_pairs(v["side"], v["cls"], v["comp"], v["n"], v["bits"], v["left"][0] == v["right"][0], num, den, nearest)
+            if len(out) > 100_000:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, more boolean")
 
 
 def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -249,8 +302,7 @@ def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
             na, nb = b.column("na").to_numpy().astype(np.int64), b.column("nb").to_numpy().astype(np.int64)
             differ = np.empty(len(na), np.int64)
             for i, (x, y) in enumerate(zip(b.column("ba").to_pylist(), b.column("bb").to_pylist())):
-                pair = _stack([x, y])
-                differ[i] = int(np.bitwise_count(pair[0] ^ pair[1]).sum())
+                differ[i] = _differ(x, y)
             ok = _may_link(na, nb, differ, num, den)
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
@@ -334,6 +386,8 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
             labels = components(links)
         if not more:
             break
+        cut = found.where("more").select(F.col("a").alias("cls")).distinct()
+        tiles = tiles.join(tiles.join(cut, "cls", "left_semi").select("tile").distinct(), "tile", "left_semi")
 
     return _spread(rows, classes, labels)
 
