@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspan.llm import op1_token_codes, op3_toxicity, op4_mixing, op5_quality, op9_jaccard
+from barspan.llm import op1_token_codes, op3_toxicity, op4_mixing, op5_quality, op9_jaccard, op10_decontamination
 from barspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
 def op9(spark, sf_dir):
     got = op9_jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
     return got.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op10_template_leaks")
+def op10(spark, sf_dir):
+    return op10_decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")

@@ -61,21 +61,26 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 
 class Words:
-    """Words of a piece of text: byte spans, per-document offsets and hashes."""
+    """Words of a piece of text: byte spans, per-document offsets and hashes.
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    ``breaks``: further bytes at which a word begins.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None):
         space = _SPACE[raw]
         before = np.empty(len(raw), dtype=bool)
         if len(raw):
             before[0] = True
             before[1:] = space[:-1]
             before[offsets[:-1][offsets[:-1] < len(raw)]] = True
+            if breaks is not None:
+                before |= breaks
         inner = np.flatnonzero(~space)
         self.first = np.flatnonzero(before[inner])  # positions among the non-space bytes
         self.begin = inner[self.first]
         self.length = np.diff(np.append(self.first, len(inner)))
         self.of_doc = np.searchsorted(self.begin, offsets)  # word offsets per document
-        self._bytes = (_LOWER[raw] if lower else raw)[inner]
+        self._bytes = _LOWER[raw][inner]
         self._place = np.arange(len(inner), dtype=np.int64) - np.repeat(self.first, self.length)
 
     def __len__(self) -> int:
