@@ -211,13 +211,14 @@ def fitted(docs: DataFrame, labels: DataFrame) -> ShapeModel | None:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns."""
-    model = fitted(docs, labels)
+    """The documents whose score reaches the threshold, with all their columns; all of them if nothing can be fitted."""
+    model, names = fitted(docs, labels), docs.columns
+    if model is None:
+        return docs
 
     def run(batches):
         for b in batches:
-            s = np.full(b.num_rows, 0.5) if model is None else model.score(measures(b.column("_quality_text")))
-            yield b.select(docs.columns).filter(pa.array(s >= threshold if model is not None else np.ones(len(s), bool)))
+            good = model.score(measures(b.column("_quality_text"))) >= threshold
+            yield b.select(names).filter(pa.array(good))
 
-    src = docs.withColumn("_quality_text", F.col("text").cast("string"))
-    return src.mapInArrow(run, docs.schema)
+    return docs.withColumn("_quality_text", F.col("text").cast("string")).mapInArrow(run, docs.schema)

@@ -63,10 +63,10 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 class Words:
     """Words of a piece of text: byte spans, per-document offsets and hashes.
 
-    ``breaks``: further bytes at which a word begins.
+    ``breaks``: further bytes at which a word begins. ``lower``: whether A-Z count as a-z.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None, lower: bool = True):
         space = _SPACE[raw]
         before = np.empty(len(raw), dtype=bool)
         if len(raw):
@@ -80,7 +80,7 @@ class Words:
         self.begin = inner[self.first]
         self.length = np.diff(np.append(self.first, len(inner)))
         self.of_doc = np.searchsorted(self.begin, offsets)  # word offsets per document
-        self._bytes = _LOWER[raw][inner]
+        self._bytes = (_LOWER[raw] if lower else raw)[inner]
         self._place = np.arange(len(inner), dtype=np.int64) - np.repeat(self.first, self.length)
 
     def __len__(self) -> int:
