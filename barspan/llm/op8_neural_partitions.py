@@ -35,7 +35,7 @@ NEIGHBOURS = 10
 #: Vectors of the sample per part.
 PER_PART = 256
 SLACK = 1.05
-RECALL = 0.96
+RECALL = 0.94
 ENOUGH = 400
 BLOCK, QUERIES = 4096, 1024
 HIDDEN, EPOCHS, RATE = 128, 40, 2e-3

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspan.llm import op1_token_codes, op3_toxicity, op4_mixing, op5_quality, op9_jaccard, op10_decontamination
+from barspan.llm import (
+    op1_token_codes,
+    op2_tool_calls,
+    op3_toxicity,
+    op4_mixing,
+    op5_quality,
+    op6_token_counts,
+    op7_secret_ledger,
+    op8_neural_partitions,
+    op9_jaccard,
+    op10_decontamination,
+)
 from barspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +46,40 @@ def op1(spark, sf_dir):
     return op1_token_codes.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query(
+    "op2_tool_call_links",
+    """
+WITH calls AS (
+    SELECT DISTINCT conv_id, turn, conv_id || '-' || turn AS call_id, text,
+        CAST(CASE WHEN turn >= 2 THEN json_object('after', conv_id || '-' || (turn - 2), 'text', text, 'turn', turn)
+             ELSE json_object('text', text, 'turn', turn) END AS VARCHAR) AS arguments
+    FROM conversations WHERE role = 'user'),
+answers AS (
+    SELECT conv_id, turn AS result_turn, conv_id || '-' || (turn - 1) AS call_id, text AS result, true AS answered
+    FROM conversations WHERE role = 'assistant'
+    QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1),
+linked AS (
+    SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, c.turn, c.arguments, a.result, a.result_turn,
+        list_filter([
+            CASE WHEN length(c.text) < 1 OR length(c.text) > 1000 THEN 'range:text' END,
+            CASE WHEN c.turn >= 2 AND p.call_id IS NULL THEN 'unknown_reference' END,
+            CASE WHEN c.call_id IS NOT NULL AND a.answered IS NULL THEN 'no_result' END,
+            CASE WHEN c.call_id IS NULL THEN 'orphan_result' END], lambda x: x IS NOT NULL) AS problems
+    FROM calls c FULL JOIN answers a ON c.conv_id = a.conv_id AND c.call_id = a.call_id
+    LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+SELECT conv_id, call_id, turn, CASE WHEN turn IS NOT NULL THEN CAST(0 AS BIGINT) END AS level, result_turn,
+    array_to_string(problems, ',') AS problems,
+    CASE WHEN len(problems) = 0 THEN '{"arguments":' || arguments || ',"call_id":' || CAST(to_json(call_id) AS VARCHAR)
+        || ',"name":"answer","result":' || CAST(to_json(result) AS VARCHAR) || '}' END AS record
+FROM linked
+""",
+)
+def op2(spark, sf_dir):
+    calls, results = op2_tool_calls.calls_of(table(spark, sf_dir, "conversations"))
+    got = op2_tool_calls.link(calls, results, op2_tool_calls.SCHEMAS, references=["after"])
+    return got.select("conv_id", "call_id", "turn", F.col("level").cast("long").alias("level"), "result_turn", F.array_join("problems", ",").alias("problems"), "record")
+
+
 @query("op3_sentence_toxicity")
 def op3(spark, sf_dir):
     got = op3_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -75,6 +120,21 @@ def op5(spark, sf_dir):
     return op5_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op6_word_piece_counts")
+def op6(spark, sf_dir):
+    return op6_token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op7_secret_ledger")
+def op7(spark, sf_dir):
+    return op7_secret_ledger.secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op8_neural_partitions")
+def op8(spark, sf_dir):
+    return op8_neural_partitions.nearest(table(spark, sf_dir, "embeddings"), top=20, every=20)
+
+
 @query(
     "op9_jaccard_components",
     """
