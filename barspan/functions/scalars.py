@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Identity and event formats the data contract prescribes.
-CODE_PATTERN = r"^[0-9]{6}\.(SZ|SH|BJ)$"
+# The contract's codes have six digits; wider bodies are allowed so that any number of instruments has codes.
+CODE_PATTERN = r"^[0-9]{6,}\.(SZ|SH|BJ)$"
 EXCLUDED_PREFIXES = ("8", "4")
 PRICE = T.DecimalType(20, 6)
 AMOUNT = T.DecimalType(24, 4)
@@ -19,7 +20,7 @@ def _c(col) -> Column:
 
 
 def normalize_code(code, bj_920: bool = True) -> Column:
-    """Six digits -> code with exchange suffix; a code that has a suffix is only cleaned."""
+    """Digits -> code with exchange suffix; a code that has a suffix is only cleaned."""
     text = F.upper(F.trim(_c(code)))
     beijing = text.rlike("^[48]")
     if bj_920:
@@ -37,7 +38,7 @@ def index_code(code) -> Column:
 
 def is_a_share(code) -> Column:
     """Shanghai 60/68 and Shenzhen 0/30 boards, exchange suffix in agreement."""
-    return F.coalesce(_c(code).rlike(r"^(6[08][0-9]{4}\.SH|(0[0-9]|30)[0-9]{4}\.SZ)$"), F.lit(False))
+    return F.coalesce(_c(code).rlike(r"^(6[08][0-9]{4,}\.SH|(0[0-9]|30)[0-9]{4,}\.SZ)$"), F.lit(False))
 
 
 def rescale(col, precision: int, scale: int) -> Column:

@@ -58,15 +58,19 @@ def source_join(bars: DataFrame, valuation: DataFrame, master: DataFrame) -> Dat
     return bars.join(v, KEY, "left").join(m, "ts_code", "left").withColumn("source_status", status).drop("_v", "_m")
 
 
-def insert_ignore(existing: DataFrame, incoming: DataFrame, key=KEY, order: str | None = None) -> DataFrame:
-    """First write wins: stored rows stay, unseen keys are added."""
-    fresh = incoming if order is None else keep_last(incoming, list(key), [order]).drop(order)
+def insert_ignore(existing: DataFrame, incoming: DataFrame, order: list, key=KEY) -> DataFrame:
+    """First write wins, also among incoming rows of one key: ``order`` is their arrival.
+
+    Arrival columns that ``existing`` lacks are dropped.
+    """
+    fresh = top_rows(incoming, order, 1, list(key)).select(existing.columns)
     return existing.unionByName(fresh.join(existing, list(key), "left_anti"))
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key=KEY) -> DataFrame:
-    """Last write wins."""
-    return incoming.unionByName(existing.join(incoming, list(key), "left_anti"))
+def upsert(existing: DataFrame, incoming: DataFrame, order: list[str], key=KEY) -> DataFrame:
+    """Last write wins, also among incoming rows of one key: ``order`` is their arrival."""
+    fresh = keep_last(incoming, list(key), order).select(existing.columns)
+    return fresh.unionByName(existing.join(fresh, list(key), "left_anti"))
 
 
 def replace_snapshot(existing: DataFrame, incoming: DataFrame, group=("group_type", "group_code", "as_of_date")) -> DataFrame:
@@ -98,10 +102,10 @@ def diff(old: DataFrame, new: DataFrame, columns: list[str], key=KEY) -> DataFra
     return both.select(*key, status.alias("status"), F.concat_ws(",", "changed").alias("changed"))
 
 
-def insert_only(existing: DataFrame, incoming: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+def insert_only(existing: DataFrame, incoming: DataFrame, columns: list[str], order: list) -> tuple[DataFrame, DataFrame]:
     """Merged table and a report: inserted, already present, conflicts (stored value wins)."""
-    merged = insert_ignore(existing, incoming)
-    d = diff(existing, incoming, columns).where("status <> 'ONLY_OLD'")
+    merged = insert_ignore(existing, incoming, order)
+    d = diff(existing, top_rows(incoming, order, 1, list(KEY)), columns).where("status <> 'ONLY_OLD'")
     report = d.agg(
         F.count(F.when(F.col("status") == "ONLY_NEW", 1)).alias("inserted"),
         F.count(F.when(F.col("status") != "ONLY_NEW", 1)).alias("already_present"),

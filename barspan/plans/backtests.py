@@ -40,11 +40,12 @@ def price_limits(bars: DataFrame) -> DataFrame:
 @query(
     "b9_adjusted_prices",
     f"""SELECT ts_code, trade_date, {R('open * m', 'open', 7)}, {R('close * m', 'close', 7)}, {R('CASE WHEN vol = 0 THEN 0 ELSE amount * 10 / vol * m END', 'vwap', 7)}, vol, amount, {R('m', 'multiplier')}
-    FROM (SELECT b.*, adj_factor / first_value(adj_factor) {OVER} AS m FROM bars b JOIN factors USING (ts_code, trade_date))""",
+    , CASE WHEN m IS NULL THEN 'MISSING_FACTOR' ELSE 'OK' END AS factor_status
+    FROM (SELECT b.*, adj_factor / first_value(adj_factor IGNORE NULLS) {OVER} AS m FROM bars b LEFT JOIN factors USING (ts_code, trade_date))""",
 )
 def _(t):
     out = B.adjust_prices(t.bars, t.factors)
-    return rounded(out.select(*K, "open", "close", "vwap", "vol", "amount", "multiplier"), 7, multiplier=6, amount=2)
+    return rounded(out.select(*K, "open", "close", "vwap", "vol", "amount", "multiplier", "factor_status"), 7, multiplier=6, amount=2)
 
 
 _SES = {"rs": "SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS o FROM (SELECT DISTINCT trade_date FROM rbars)"}
@@ -169,9 +170,12 @@ def _(t):
     return rounded(both.select("book", "scenario", "trade_date", F.log("equity").alias("log_equity")), 5)
 
 
+_LOG_EXCESS = R("ln(max(e) FILTER (book = 'strategy') / max(e) FILTER (book <> 'strategy'))", "log_excess", 4)
+
+
 @query(
     "b5_excess_return",
-    f"SELECT scenario, {R('ln(max(e) FILTER (book = chr(115) || chr(116) || chr(114) || chr(97) || chr(116) || chr(101) || chr(103) || chr(121)) / max(e) FILTER (book <> chr(115) || chr(116) || chr(114) || chr(97) || chr(116) || chr(101) || chr(103) || chr(121)))', 'log_excess', 4)} FROM (SELECT book, scenario, arg_max(equity, trade_date) AS e FROM eq GROUP BY 1, 2) GROUP BY 1",
+    f"SELECT scenario, {_LOG_EXCESS} FROM (SELECT book, scenario, arg_max(equity, trade_date) AS e FROM eq GROUP BY 1, 2) GROUP BY 1",
     **_WACC,
 )
 def _(t):

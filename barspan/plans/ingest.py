@@ -83,24 +83,38 @@ _BARS_OF = (
     " arg_max(px, tag) / 1e2 AS close, sum(l_quantity) AS vol, CAST(sum(cents) AS BIGINT) / 100 AS amount FROM ticks WHERE {} GROUP BY 1, 2"
 )
 _TWO = {"stored": _BARS_OF.format(_OLD), "arriving": _BARS_OF.format(_NEW)}
+# two deliveries in one batch: many keys come in both, with different values
+_AGAIN = "l_linenumber <= 2"
+_BATCH = {
+    **_TWO,
+    "batch": f"SELECT *, 1 AS delivery FROM arriving UNION ALL SELECT *, 2 AS delivery FROM ({_BARS_OF.format(_AGAIN)})",
+    "of_key": """SELECT *, row_number() OVER (PARTITION BY ts_code, trade_date ORDER BY delivery) AS nth,
+      row_number() OVER (PARTITION BY ts_code, trade_date ORDER BY delivery DESC) AS from_last FROM batch""",
+    "first_rows": "SELECT * EXCLUDE (delivery, nth, from_last) FROM of_key WHERE nth = 1",
+    "last_rows": "SELECT * EXCLUDE (delivery, nth, from_last) FROM of_key WHERE from_last = 1",
+}
+
+
+def _deliveries(t):
+    return t.bars_where(_NEW).withColumn("delivery", F.lit(1)).unionByName(t.bars_where(_AGAIN).withColumn("delivery", F.lit(2)))
 
 
 @query(
     "s10_insert_ignore",
-    "SELECT * FROM stored UNION ALL SELECT * FROM arriving WHERE (ts_code, trade_date) NOT IN (SELECT (ts_code, trade_date) FROM stored)",
-    **_TWO,
+    "SELECT * FROM stored UNION ALL SELECT * FROM first_rows WHERE (ts_code, trade_date) NOT IN (SELECT (ts_code, trade_date) FROM stored)",
+    **_BATCH,
 )
 def _(t):
-    return P.insert_ignore(t.bars_where(_OLD), t.bars_where(_NEW))
+    return P.insert_ignore(t.bars_where(_OLD), _deliveries(t), ["delivery"])
 
 
 @query(
     "s11_upsert",
-    "SELECT * FROM arriving UNION ALL SELECT * FROM stored WHERE (ts_code, trade_date) NOT IN (SELECT (ts_code, trade_date) FROM arriving)",
-    **_TWO,
+    "SELECT * FROM last_rows UNION ALL SELECT * FROM stored WHERE (ts_code, trade_date) NOT IN (SELECT (ts_code, trade_date) FROM last_rows)",
+    **_BATCH,
 )
 def _(t):
-    return P.upsert(t.bars_where(_OLD), t.bars_where(_NEW))
+    return P.upsert(t.bars_where(_OLD), _deliveries(t), ["delivery"])
 
 
 @query(
@@ -119,11 +133,11 @@ def _(t):
     "w31_insert_only_with_conflicts",
     """SELECT count(*) FILTER (s.ts_code IS NULL) AS inserted, count(*) FILTER (s.ts_code IS NOT NULL) AS already_present,
     count(*) FILTER (s.ts_code IS NOT NULL AND (a.close IS DISTINCT FROM s.close OR a.vol IS DISTINCT FROM s.vol)) AS conflicts
-    FROM arriving a LEFT JOIN stored s USING (ts_code, trade_date)""",
-    **_TWO,
+    FROM first_rows a LEFT JOIN stored s USING (ts_code, trade_date)""",
+    **_BATCH,
 )
 def _(t):
-    return P.insert_only(t.bars_where(_OLD), t.bars_where(_NEW), ["close", "vol"])[1]
+    return P.insert_only(t.bars_where(_OLD), _deliveries(t), ["close", "vol"], ["delivery"])[1]
 
 
 @query(
@@ -163,7 +177,7 @@ _FEED = """SELECT CASE WHEN l_linenumber = 7 THEN left(ts_code, 6) ELSE ts_code
     CASE WHEN l_linenumber = 4 AND l_returnflag = 'R' THEN px / 1e2 * 0.99::DOUBLE * 0.9::DOUBLE ELSE px / 1e2 * 1.01::DOUBLE END AS high,
     px / 1e2 * 0.99::DOUBLE AS low, px / 1e2 * (1 + (l_discount - l_tax) / 100) AS close,
     CASE WHEN l_linenumber = 3 AND l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS vol, tag FROM ticks"""
-_TAGGED = r"""SELECT *, CASE WHEN NOT regexp_full_match(ts_code, '[0-9]{6}\.(SZ|SH|BJ)') THEN 'BAD_CODE'
+_TAGGED = r"""SELECT *, CASE WHEN NOT regexp_full_match(ts_code, '[0-9]{6,}\.(SZ|SH|BJ)') THEN 'BAD_CODE'
     WHEN trade_date IS NULL THEN 'BAD_DATE' WHEN open IS NULL THEN 'NULL_VALUE' END AS reason FROM feed"""
 _LAST = """SELECT *, row_number() OVER (PARTITION BY ts_code, trade_date ORDER BY tag DESC) AS rn,
     close <= 0 OR high < low OR open < low OR open > high AS bad_price, vol < 0 AS bad_vol FROM tagged WHERE reason IS NULL"""
@@ -182,7 +196,7 @@ def _(t):
 
 @query(
     "f2_code_format",
-    r"""SELECT ts_code, regexp_full_match(ts_code, '[0-9]{6}\.(SZ|SH|BJ)') AS valid, count(*) AS rows FROM feed GROUP BY 1""",
+    r"""SELECT ts_code, regexp_full_match(ts_code, '[0-9]{6,}\.(SZ|SH|BJ)') AS valid, count(*) AS rows FROM feed GROUP BY 1""",
     **_CLEAN,
 )
 def _(t):
@@ -290,7 +304,7 @@ def _(t):
 
 @query(
     "f19_a_share_test",
-    r"""SELECT ts_code, regexp_full_match(ts_code, '6[08][0-9]{4}\.SH|(0[0-9]|30)[0-9]{4}\.SZ') AS a_share FROM master""",
+    r"""SELECT ts_code, regexp_full_match(ts_code, '6[08][0-9]{4,}\.SH|(0[0-9]|30)[0-9]{4,}\.SZ') AS a_share FROM master""",
 )
 def _(t):
     return t.master.select("ts_code", X.is_a_share("ts_code").alias("a_share"))
@@ -376,7 +390,7 @@ def _(t):
     cols = ["ts_code", "trade_date", "close"]
     old = t.bars_where(_OLD).select(*cols, F.lit("old").alias("origin"))
     new = t.bars_where(_NEW).select(*cols, F.lit("new").alias("origin"))
-    return P.upsert(old, new)
+    return P.upsert(old, new, ["origin"])
 
 
 @query(

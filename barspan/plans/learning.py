@@ -370,7 +370,7 @@ def _(t):
 
 @query(
     "a23_paired_modes",
-    f"SELECT seed, {R('avg(value) FILTER (mode = chr(65)) - avg(value) FILTER (mode = chr(82))', 'difference')} FROM daily GROUP BY 1",
+    f"""SELECT seed, {R("avg(value) FILTER (mode = 'A') - avg(value) FILTER (mode = 'R')", "difference")} FROM daily GROUP BY 1""",
     **_SEEDS,
 )
 def _(t):

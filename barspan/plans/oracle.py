@@ -8,7 +8,7 @@ import re
 def code_sql(k: str) -> str:
     digits = (
         f"(CASE WHEN {k} >= 1000000 THEN CAST({k} // 1000000 AS VARCHAR) ELSE '' END"
-        f" || lpad(CAST({k} * 7919 % 1000000 AS VARCHAR), 6, '0'))"
+        f" || lpad(CAST({k} % 1000000 * 7919 % 1000000 AS VARCHAR), 6, '0'))"
     )
     return (
         f"({digits} || CASE WHEN left({digits}, 1) IN ('4', '8') OR left({digits}, 3) = '920' THEN '.BJ'"

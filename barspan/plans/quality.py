@@ -332,7 +332,7 @@ def _(t):
 
 @query(
     "q19_market_roster",
-    r"""SELECT ts_code, list_date, delist_date FROM master WHERE regexp_full_match(ts_code, '6[08][0-9]{4}\.SH|(0[0-9]|30)[0-9]{4}\.SZ')
+    r"""SELECT ts_code, list_date, delist_date FROM master WHERE regexp_full_match(ts_code, '6[08][0-9]{4,}\.SH|(0[0-9]|30)[0-9]{4,}\.SZ')
     AND list_date <= DATE '2000-06-30' AND (delist_date IS NULL OR delist_date > DATE '2000-06-30')""",
 )
 def _(t):
@@ -424,7 +424,7 @@ def _(t):
 @query(
     "q30_pool_catalogue",
     r"""SELECT 'industry' AS kind, industry AS code, count(*) AS members, CAST(NULL AS DATE) AS snapshot FROM master
-    WHERE industry IS NOT NULL AND regexp_full_match(ts_code, '6[08][0-9]{4}\.SH|(0[0-9]|30)[0-9]{4}\.SZ') GROUP BY 2
+    WHERE industry IS NOT NULL AND regexp_full_match(ts_code, '6[08][0-9]{4,}\.SH|(0[0-9]|30)[0-9]{4,}\.SZ') GROUP BY 2
     UNION ALL SELECT 'index', group_code, count(*), max(as_of_date) FROM newest GROUP BY 2""",
     newest=_NEWEST,
 )

@@ -28,10 +28,14 @@ def trade_date(ts) -> Column:
 
 
 def code_of(key) -> Column:
-    """Unique code for a supplier key; multiplying spreads keys over the exchanges."""
-    k = F.col(key) if isinstance(key, str) else key
-    high = F.when(k >= _MILLION, F.floor(k / _MILLION).cast("string")).otherwise("")
-    return normalize_code(F.concat(high, F.lpad((k * 7919 % _MILLION).cast("string"), 6, "0")))
+    """Unique code for a supplier key; multiplying spreads keys over the exchanges.
+
+    The last six digits permute the key modulo a million, what stands before them is the
+    rest of the key: different keys have different codes, however many there are.
+    """
+    k = (F.col(key) if isinstance(key, str) else key).cast("long")
+    high = F.when(k >= _MILLION, ((k - k % _MILLION) / _MILLION).cast("long").cast("string")).otherwise("")
+    return normalize_code(F.concat(high, F.lpad((k % _MILLION * 7919 % _MILLION).cast("string"), 6, "0")))
 
 
 def _half_up(x: Column) -> Column:
@@ -234,7 +238,7 @@ class MarketTables:
         px = F.col("px") / _TICK
         low = px * 0.99
         return self.lines().select(
-            F.when(ln == 7, F.substring(code_of("l_suppkey"), 1, 6)).otherwise(code_of("l_suppkey")).alias("ts_code"),
+            F.when(ln == 7, F.substring_index(code_of("l_suppkey"), ".", 1)).otherwise(code_of("l_suppkey")).alias("ts_code"),
             F.when((ln == 6) & (flag == "N"), "unknown").otherwise(F.date_format("trade_date", "yyyyMMdd")).alias("date"),
             F.when((ln == 5) & (flag == "A"), "--").otherwise(px.cast("string")).alias("open"),
             F.when((ln == 4) & (flag == "R"), low * 0.9).otherwise(px * 1.01).cast("string").alias("high"),

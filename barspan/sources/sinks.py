@@ -96,16 +96,20 @@ class FeatureStore:
         self._activate(log[1]["build_id"])
         return log[1]["build_id"]
 
+    def _has_log(self) -> bool:
+        """Whether anything was ever activated; an error of the file system is not taken for a no."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/activations")
+        return path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
+
     def activations(self) -> DataFrame:
-        return self.spark.read.schema("step long, build_id string").json(f"{self.root}/activations")
+        return self.spark.read.schema("step long, build_id string").json(f"{self.root}/activations/*")
 
     def _activate(self, build_id: str) -> None:
-        try:
-            step = self.activations().agg(F.coalesce(F.max("step"), F.lit(0))).first()[0] + 1
-        except Exception:  # noqa: BLE001 - first activation: the log does not exist yet
-            step = 1
+        """Take the next step; two writers that choose the same one collide on its folder."""
+        step = (self.activations().agg(F.max("step")).first()[0] if self._has_log() else 0) + 1
         log = self.spark.range(1).select(F.lit(step).cast("long").alias("step"), F.lit(build_id).alias("build_id"))
-        log.coalesce(1).write.mode("append").json(f"{self.root}/activations")
+        log.coalesce(1).write.mode("errorifexists").json(f"{self.root}/activations/{step:012d}")
 
     def active(self) -> str:
         return self.activations().orderBy(F.desc("step")).first()["build_id"]

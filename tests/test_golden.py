@@ -59,7 +59,7 @@ def test_adjusted_prices(spark):
     f = spark.createDataFrame([("000001.SZ", x, y) for x, y in zip(d, factor)], "ts_code string, trade_date date, adj_factor double")
     out = B.adjust_prices(df, f).collect()
     assert all(r["open"] == 10 and r["vwap"] == 10 and r["vol"] == 100 for r in out)
-    shorter = B.adjust_prices(df, f.where(F.col("trade_date") < d[6]))  # later factors change nothing before them
+    shorter = B.adjust_prices(df, f.where(F.col("trade_date") < d[6])).where("factor_status = 'OK'")  # later factors change nothing before them
     assert {r["trade_date"]: r["open"] for r in shorter.collect()}.items() <= {r["trade_date"]: r["open"] for r in out}.items()
 
 
@@ -273,3 +273,48 @@ def test_feature_store_publish_rollback_and_refusal(spark):
         store.publish(two, "b3")
     _, missing = store.read(one.schema, one.withColumn("ts_code", F.lit("B")))
     assert missing.count() == 1
+
+
+def test_codes_of_any_key_are_unique_and_valid(spark):
+    from barspan.sources.adapter import code_of
+
+    keys = [0, 1, 999_999, 1_000_000, 1_000_001, 1_999_999, 10**9, 10**9 + 7, 10**15 + 3, 9 * 10**18]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(code_of("k")).collect()]
+    assert len(set(got)) == len(keys)
+    df = spark.createDataFrame([(c,) for c in got], "c string")
+    assert df.where(F.col("c").rlike(X.CODE_PATTERN)).count() == len(keys)
+
+
+def test_clean_keeps_instruments_beyond_a_million(spark):
+    from barspan.operators import clean as C
+    from barspan.sources.adapter import code_of
+
+    keys = spark.createDataFrame([(k,) for k in (5, 999_999, 1_000_000, 10**9)], "k long")
+    feed = keys.select(
+        code_of("k").alias("ts_code"), F.lit("20240102").alias("date"), *[F.lit("10").alias(c) for c in ("open", "high", "low", "close", "vol")],
+        F.lit(1).cast("decimal(38,0)").alias("ingest_seq"),
+    )
+    assert C.clean_bars(feed).count() == 4
+
+
+def test_merges_collapse_repeated_incoming_keys(spark):
+    from barspan.operators import tables as P
+
+    old = spark.createDataFrame([("a", 1, 1.0)], "ts_code string, trade_date int, close double")
+    new = spark.createDataFrame([("a", 1, 2.0, 1), ("b", 1, 3.0, 1), ("b", 1, 4.0, 2)], "ts_code string, trade_date int, close double, seq int")
+    assert sorted(map(tuple, P.insert_ignore(old, new, ["seq"]).collect())) == [("a", 1, 1.0), ("b", 1, 3.0)]
+    assert sorted(map(tuple, P.upsert(old, new, ["seq"]).collect())) == [("a", 1, 2.0), ("b", 1, 4.0)]
+
+
+def test_activation_log_survives_and_refuses_a_taken_step(spark, tmp_path):
+    import pytest
+
+    from barspan.sources.sinks import FeatureStore
+
+    store = FeatureStore(spark, f"file://{tmp_path}", ["k"])
+    store._activate("one")
+    store._activate("two")
+    assert store.active() == "two" and store.activations().count() == 2
+    store.activations = lambda: spark.createDataFrame([(1, "one")], "step long, build_id string")  # a stale read
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        store._activate("three")
