@@ -144,7 +144,7 @@ def _(t):
 
 def _write_messages(t, name):
     path = scratch_dir(t.spark, name)
-    t.messages.write.parquet(path)
+    K.write_in_order(t.messages, path, "offset")
     return path
 
 
@@ -224,9 +224,8 @@ def _(t):
     m = replay(bars, "stock-daily", source="database", trace="replay", ingest_time="2024-01-01 00:00:00")
     day = F.unix_date(F.to_date(F.get_json_object("value", "$.tradeDate")))
     path = scratch_dir(t.spark, "replay")
-    m.select(
-        "topic", F.lit(0).alias("partition"), day.cast("long").alias("offset"), "key", F.col("value").alias("payload")
-    ).write.parquet(path)
+    rows = m.select("topic", F.lit(0).alias("partition"), day.cast("long").alias("offset"), "key", F.col("value").alias("payload"))
+    K.write_in_order(rows, path, "offset")
     main = _bodies(_run(t, _read_stream(t, path)), "main")
     return main.select(*KEYS, "window_size", F.col("ma5").cast("double").alias("ma5"), F.col("ma20").cast("double").alias("ma20"))
 

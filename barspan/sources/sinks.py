@@ -26,6 +26,23 @@ def deliver(df: DataFrame, targets: dict[str, tuple[str, str]], expected: int |
     return counts.unionByName(combined)
 
 
+def write_in_order(df: DataFrame, path: str, order: str) -> None:
+    """Parquet files that a file stream admits in the order of a column.
+
+    Files hold ranges of ``order``, and their times rise with the ranges, so a stream that
+    takes a few files at a time (oldest first) never sees a later range before an earlier one,
+    whichever task finished first. Only file names and times pass through the driver.
+    """
+    df.repartitionByRange(order).sortWithinPartitions(order).write.parquet(path)
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+    parts = sorted(s.getPath().toString() for s in files.listStatus(place) if s.getPath().getName().startswith("part-"))
+    newest = max((s.getModificationTime() for s in files.listStatus(place)), default=0)
+    for i, part in enumerate(parts):
+        files.setTimes(context._jvm.org.apache.hadoop.fs.Path(part), newest - 1000 * (len(parts) - i), -1)
+
+
 # -- fingerprints -------------------------------------------------------------------
 def row_digest(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"}), 256)

@@ -74,3 +74,32 @@ def test_restart_keeps_state_and_matches_twin(spark):
 )
 def test_error_classes(spark, row, error):
     assert P.parse(spark.createDataFrame([row], SCHEMA)).first()["error_type"] == error
+
+
+def test_many_files_in_shuffled_finish_order_equal_the_batch_twin(spark, sf_dir, tmp_path):
+    """More files than one trigger admits, written by tasks that end in any order."""
+    from pyspark.sql import functions as F
+
+    from barspan.plans import streams
+    from barspan.sources import sinks as K
+    from barspan.sources.adapter import MarketTables
+    from barspan.streaming import indicators as I
+    from barspan.streaming import parse as P
+
+    t = MarketTables(spark, sf_dir)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = f"file://{tmp_path}/messages"
+        K.write_in_order(t.messages, path, "offset")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert len(list((tmp_path / "messages").glob("part-*"))) >= 40
+    rows = streams._run(t, streams._read_stream(t, path))
+    got = rows.groupBy("tag").count().collect()
+    live = I.tag_late(P.accepted(P.parse(t.messages)))
+    want = live.groupBy(F.when(F.col("is_late"), "late").otherwise("main").alias("tag")).count().collect()
+    assert {r.tag: r["count"] for r in got if r.tag != "dead"} == {r.tag: r["count"] for r in want}
