@@ -279,8 +279,8 @@ def _(t):
     **_TWO,
 )
 def _(t):
-    frozen = P.between(t.bars_where(_OLD), end="1999-12-31")
-    current = P.between(t.bars, end="1999-12-31")
+    frozen = t.bars_where(_OLD, end="1999-12-31")
+    current = t.bars_between(end="1999-12-31")
     return P.diff(frozen, current, ["close"]).groupBy("status").agg(F.count(F.lit(1)).alias("keys"))
 
 

@@ -162,14 +162,15 @@ def _(t):
 
 @query("f18_table_preview", "SELECT ts_code, trade_date, open, high, low, close, vol, amount FROM bars WHERE trade_date = (SELECT max(trade_date) FROM bars) ORDER BY ts_code LIMIT 50")
 def _(t):
-    return V.on_latest(t.bars).orderBy("ts_code").limit(50)
+    last = t.latest_session()
+    return t.bars_between(last, last).orderBy("ts_code").limit(50)
 
 
 @query("f21_unseen_rows", "SELECT * FROM bars WHERE trade_date > DATE '2000-12-29'")
 def _(t):
     from barspan.operators.learning import unseen
 
-    return unseen(t.bars, "2000-12-29")
+    return unseen(t.bars_between(start="2000-12-29"), "2000-12-29")
 
 
 @query(

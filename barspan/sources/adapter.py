@@ -248,9 +248,13 @@ class MarketTables:
             F.col("tag").alias("ingest_seq"),
         )
 
-    def bars_where(self, condition: str) -> DataFrame:
+    def latest_session(self) -> Column:
+        """The newest stored session as a scalar: reads one column."""
+        return self.lines().agg(F.max("trade_date").alias("d")).select("d").scalar()
+
+    def bars_where(self, condition: str, start=None, end=None) -> DataFrame:
         """Bars built from a subset of the lines: stands for one delivery of a provider."""
-        part = self.lines().where(condition).groupBy("l_suppkey", "trade_date").agg(*self._day_aggregates())
+        part = self.lines(start, end).where(condition).groupBy("l_suppkey", "trade_date").agg(*self._day_aggregates())
         return self._as_bars(part, code_of("l_suppkey"))
 
     @cached_property
