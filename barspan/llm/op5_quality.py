@@ -33,6 +33,8 @@ from barspan.llm.textops import Words, text_chunks, windows
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
 BINS = 16
 STEPS = 400
+#: Parts of the samples that the first classifier leaves out in turn.
+FOLDS = 5
 #: Weight decay of the classifier that the prior comes from, and of the final one.
 FIRST_DECAY, DECAY = 2e-3, 3e-4
 
@@ -127,7 +129,7 @@ def _fit(rows_p, rows_u, width, gradient, decay):
     return w
 
 
-def estimate_prior(score_p: np.ndarray, score_u: np.ndarray, slack: float = 0.25) -> float:
+def estimate_prior(score_p: np.ndarray, score_u: np.ndarray, slack: float = 1.36) -> float:
     """Share of positives among the unlabelled texts, from scores of rows not fitted."""
     score_p, score_u = np.sort(score_p), np.sort(score_u)
     cuts = np.unique(score_p)
@@ -149,13 +151,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[ShapeModel, float
     def apart(fp, fu):
         return -_sigmoid(-fp) / len(fp), _sigmoid(fu) / len(fu)
 
-    priors = []
-    for half in (0, 1):  # each half is scored by the classifier of the other
-        fit_p, fit_u = (p[half::2], u[half::2]) if min(len(p), len(u)) > 1 else (p, u)
-        w = _fit(fit_p, fit_u, width, apart, FIRST_DECAY)
-        rest_p, rest_u = (p[1 - half :: 2], u[1 - half :: 2]) if min(len(p), len(u)) > 1 else (p, u)
-        priors.append(estimate_prior(w[rest_p].sum(axis=1), w[rest_u].sum(axis=1)))
-    prior = float(np.mean(priors))
+    score_p, score_u = np.zeros(len(p)), np.zeros(len(u))
+    of_p, of_u = np.arange(len(p)) % FOLDS, np.arange(len(u)) % FOLDS
+    for k in range(FOLDS):  # every row is scored by a classifier that was not fitted to it
+        rest_p, rest_u = (of_p != k, of_u != k) if min(len(p), len(u)) > FOLDS else (of_p >= 0, of_u >= 0)
+        w = _fit(p[rest_p], u[rest_u], width, apart, FIRST_DECAY)
+        score_p[of_p == k], score_u[of_u == k] = w[p[of_p == k]].sum(axis=1), w[u[of_u == k]].sum(axis=1)
+    prior = estimate_prior(score_p, score_u)
 
     def risk(fp, fu):
         """Gradient of ``prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)])``."""
