@@ -312,7 +312,8 @@ def _(t):
     features = ["ret", "range", "place"]
     ready = cut_lineage(df.na.drop(subset=features), "walk")
     scores = None
-    for year in range(1996, 2002):
+    years = ready.agg(F.min(F.year("trade_date")).alias("a"), F.max(F.year("trade_date")).alias("b")).first()
+    for year in range(years.a + 1, years.b + 1):  # the first year has nothing to learn from
         first = F.lit(f"{year}-01-01").cast("date")
         train = ready.where((F.col("label_target_date") < first) & F.col("label").isNotNull())
         model = D.ridge(features, "label", max(train.count(), 1)).fit(train)

@@ -449,12 +449,10 @@ def _(t):
 
 
 # -- models -------------------------------------------------------------------------
-FOLDS = [("2000-01-03", "2000-06-30"), ("2000-07-03", "2000-12-29"), ("2001-01-01", "2001-06-29")]
-
-
 @query("m8_walk_forward_models")
 def _(t):
-    return rounded(D.walk_forward(_samples(t), FEATURES, FOLDS))
+    samples = _samples(t)
+    return rounded(D.walk_forward(samples, FEATURES, D.session_folds(samples)))
 
 
 @query("m9_ranking_regression")
