@@ -16,8 +16,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of 16 MB at most, so that whole long texts do not fill a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).lower().rstrip("b") in ("67108864", "64m"):  # untouched default
+        spark.conf.set(key, str(16 << 20))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back: cuts lineage, survives lost executors."""
+    modest_batches(df.sparkSession)
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspan.llm.common import written
-from barspan.llm.textops import Words, mix, text_chunks, windows
+from barspan.llm.textops import Words, mix, text_chunks, tidy, windows
 
 WINDOW = 8
 MIN_TOKENS = 13
@@ -155,7 +155,7 @@ def _rows(df: DataFrame, id_col: str, sizes: list[int] | None, member) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, ["key", "id", "view", "size", "h", "pos", "total", "slots"])
 
     src = df.select(row_key(id_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, _ROW)
+    return src.mapInArrow(tidy(run), _ROW)
 
 
 def row_key(id_col: str = "doc_id"):

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barspan.llm.common import shared_dir
-from barspan.llm.textops import mix, powers
+from barspan.llm.common import modest_batches, shared_dir
+from barspan.llm.textops import mix, powers, tidy
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 17
@@ -285,8 +285,9 @@ def write_codes(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = E
             yield flush()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    modest_batches(docs.sparkSession)
     ordered = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.withColumn("part", F.spark_partition_id()).mapInArrow(run, FILE_SCHEMA).write.parquet(path)
+    ordered.withColumn("part", F.spark_partition_id()).mapInArrow(tidy(run), FILE_SCHEMA).write.parquet(path)
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
@@ -320,7 +321,7 @@ def documents_of(blocks: DataFrame) -> DataFrame:
                 cols += [pa.array(v, pa.int64()) for v in (row["doc_ids"], starts, counts, crc)]
                 yield pa.RecordBatch.from_arrays(cols, ["part", "block", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    rows = blocks.mapInArrow(run, "part int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    rows = blocks.mapInArrow(tidy(run), "part int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(block_starts(blocks), ["part", "block"]).select(
         "doc_id", (F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
     )

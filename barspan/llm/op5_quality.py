@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspan.llm.common import bounded, held_out, learning_rows
-from barspan.llm.textops import Words, text_chunks, windows
+from barspan.llm.common import bounded, held_out, learning_rows, modest_batches
+from barspan.llm.textops import Words, text_chunks, tidy, windows
 
 #: Rows that are fitted at most.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
@@ -176,7 +176,7 @@ def _measured(rows: DataFrame, bound: int) -> np.ndarray:
             x = pa.array(list(measures(b.column("text"))), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column("pick"), x], ["pick", "x"])
 
-    found = bounded(rows.select("text", "pick").mapInArrow(run, "pick long, x array<double>"), bound)
+    found = bounded(rows.select("text", "pick").mapInArrow(tidy(run), "pick long, x array<double>"), bound)
     return np.array([r.x for r in found]).reshape(-1, len(MEASURES))
 
 
@@ -196,9 +196,10 @@ def score(docs: DataFrame, model: ShapeModel | None) -> DataFrame:
             s = np.full(b.num_rows, 0.5) if model is None else model.score(measures(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(s)], ["doc_id", "key", "score"])
 
+    modest_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.withColumn("key", F.xxhash64("doc_id", "text"))
-    return src.mapInArrow(run, "doc_id long, key long, score double")
+    return src.mapInArrow(tidy(run), "doc_id long, key long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -214,6 +215,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> ShapeModel | None:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns; all of them if nothing can be fitted."""
+    modest_batches(docs.sparkSession)
     model, names = fitted(docs, labels), docs.columns
     if model is None:
         return docs
@@ -223,4 +225,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
             good = model.score(measures(b.column("_quality_text"))) >= threshold
             yield b.select(names).filter(pa.array(good))
 
-    return docs.withColumn("_quality_text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn("_quality_text", F.col("text").cast("string")).mapInArrow(tidy(run), docs.schema)

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspan.llm.textops import Words, text_chunks
+from barspan.llm.common import modest_batches
+from barspan.llm.textops import Words, text_chunks, tidy
 
 LOCKSTEP = 64
 MARK = "▁"
@@ -169,5 +170,6 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 cols = [np.concatenate([c, x]) for c, x in zip(cols, new)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c) for c in cols]], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
+    modest_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return src.mapInArrow(tidy(run), "doc_id long, n_words long, n_tokens long, n_unknown long")

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspan.llm.common import shared_dir
+from barspan.llm.common import modest_batches, shared_dir
+from barspan.llm.textops import tidy
 
 # The base rules, in the order that ties are listed in.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -79,7 +80,7 @@ def _scanned(blobs: DataFrame, version: str) -> DataFrame:
             cols = [b.column("blob"), pa.array([version] * b.num_rows, pa.string()), pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(cols, ["blob", "rule_version", "findings"])
 
-    return blobs.mapInArrow(run, LEDGER)
+    return blobs.mapInArrow(tidy(run), LEDGER)
 
 
 def _text():
@@ -98,6 +99,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def scan(docs: DataFrame, ledger_path: str, version: str | None = None) -> DataFrame:
     """Scan what the ledger lacks, append it, and return (doc_id, blob, findings) for every row."""
     spark, version = docs.sparkSession, version or rule_version()
+    modest_batches(spark)
     seen = read_ledger(spark, ledger_path).where(F.col("rule_version") == version).select("blob")
     texts = docs.select(_text().alias("text")).withColumn("blob", F.sha2("text", 256)).select("blob", "text")
     fresh = texts.dropDuplicates(["blob"]).join(seen, "blob", "left_anti").select("blob", "text")

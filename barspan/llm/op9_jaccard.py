@@ -6,15 +6,17 @@ are joined like this:
 
 * **Size bands.** Band ``c`` holds the classes of ``EDGES[c] <= n < EDGES[c + 1]`` and, as
   guests, the larger ones that may still link to one of them. A linked pair of a band differs
-  in at most ``d`` shingles, so of ``d + 1`` slices of the hash range at least one holds the
-  same shingles in both sets. Each slice's content hash is a tile key: no link is lost, and
-  a passage that many documents share does not bring them together.
+  in at most ``d`` shingles, so of ``d + 1 + spare`` slices of the hash range more than
+  ``spare`` hold the same shingles in both sets. Each slice's content hash is a tile key, but a
+  set leaves out its emptiest slices, up to ``spare`` of them and only whole size classes:
+  what both leave out is then less than what they share, so no link is lost, and neither an
+  empty slice nor a passage that many documents share brings them together.
 * **Tiles.** A tile is the set of classes with one key; tiles with the same members are kept
   once. First every member is compared with the tile's hub (its smallest class), which joins
   a large group of copies by a star instead of by its pairs. Only tiles whose members are
   then still in different components are searched pair by pair, in blocks of ``BLOCK``
   classes, so no task holds an unbounded tile.
-* **Bitmaps.** A class carries the parity of its hashes in ``4 n`` bits or more. The bits in which two
+* **Bitmaps.** A class carries the parity of its hashes in ``8 n`` bits or more. The bits in which two
   bitmaps differ are a lower bound of the symmetric difference, hence an upper bound of the
   overlap; pairs that it rules out are never fetched.
 * **Exact check.** Sorted arrays of the surviving pairs are intersected. The first search
@@ -36,14 +38,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspan.llm.common import components, written
-from barspan.llm.textops import Words, mix, shingle_sets, text_chunks
+from barspan.llm.textops import Words, mix, shingle_sets, text_chunks, tidy
 
 #: Classes that one task compares with each other.
 BLOCK = 4096
 #: Partners of a class in each other component that the second search checks.
 NEAREST = 4
-#: Bits of a signature: from 256 to 65,536, always a power of two of at least 4 n if in range.
-MIN_BITS, MAX_BITS = 256, 65_536
+#: Bits of a signature: a power of two of at least 8 n, within these bounds.
+MIN_BITS, MAX_BITS = 2048, 65_536
 
 
 def _edges() -> list[int]:
@@ -72,18 +74,22 @@ def tile_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         top = int(EDGES[band + 1]) - 1
         if band < own and num * n > den * top:
             break
-        slices = (den - num) * top // num + 1
+        most = (den - num) * top // num
+        slices = most + 1 + (max(1, most // 4) if most else 0)
         part = ((s >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)  # rises with s
         bounds = np.searchsorted(part, np.arange(slices + 1, dtype=np.uint64))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s, 3))])
         content = sums[bounds[1:]] - sums[bounds[:-1]]
-        out.append(mix(content + mix(np.arange(slices, dtype=np.uint64), 4 + band)))
+        size = np.diff(bounds)
+        spare = slices - 1 - (den - num) * min(n, top) // num
+        full = np.flatnonzero(size >= np.sort(size)[spare])
+        out.append(mix(content[full] + mix(full.astype(np.uint64), 4 + band)))
     return np.concatenate(out).view(np.int64)
 
 
 def bitmap(s: np.ndarray) -> bytes:
     bits = MIN_BITS
-    while bits < min(4 * len(s), MAX_BITS):
+    while bits < min(8 * len(s), MAX_BITS):
         bits *= 2
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -110,7 +116,7 @@ def members(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rid", "n", "cls", "bits"])
 
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).withColumn("rid", _rid())
-    return src.mapInArrow(run, "doc_id long, rid long, n int, cls long, bits binary")
+    return src.mapInArrow(tidy(run), "doc_id long, rid long, n int, cls long, bits binary")
 
 
 def _rid():
@@ -143,7 +149,7 @@ def _keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def _pairs(key, cls):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.concatenate(cls))], ["key", "cls"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, cls long")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "key long, cls long")
 
 
 def _arrays(docs: DataFrame, k: int) -> DataFrame:
@@ -162,7 +168,7 @@ def _arrays(docs: DataFrame, k: int) -> DataFrame:
                     cls, arr, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(arr, pa.binary())], ["cls", "arr"])
 
-    return docs.select("text").mapInArrow(run, "cls long, arr binary")
+    return docs.select("text").mapInArrow(tidy(run), "cls long, arr binary")
 
 
 def _tiles(keys: DataFrame) -> DataFrame:
@@ -291,7 +297,7 @@ def _search(rows: DataFrame, num: int, den: int, nearest: int | None) -> DataFra
                 out = []
         yield batch_of(out)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, more boolean")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), "a long, b long, more boolean")
 
 
 def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -306,7 +312,7 @@ def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
             ok = _may_link(na, nb, differ, num, den)
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(tidy(run), "a long, b long")
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -319,8 +325,8 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
     def run(batches):
         for b in batches:
             ok = []
-            for x, y in zip(b.column("xa").to_pylist(), b.column("xb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column("xa"), b.column("xb")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
@@ -329,7 +335,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
 
     both = pairs.join(arrays.select(F.col("cls").alias("b"), F.col("arr").alias("xb")), "b")
     both = both.join(arrays.select(F.col("cls").alias("a"), F.col("arr").alias("xa")), "a")
-    return both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "xa", "xb").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _unresolved(tiles: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
