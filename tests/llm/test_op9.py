@@ -81,3 +81,26 @@ def test_keep_one_keeps_columns_and_blank_rows(spark):
 
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA), 3, 90, 100).count() == 0
+
+
+def test_linked_sets_share_a_tile_and_unlinked_ones_hardly():
+    import numpy as np
+
+    from barspan.llm.op9_jaccard import tile_keys
+
+    rnd = np.random.default_rng(4)
+    for num, den in ((90, 100), (80, 100), (2, 3), (1, 1)):
+        shared = 0
+        for _ in range(1500):
+            n = int(rnd.choice([1, 2, 3, 4, 5, 6, 8, 9, 13, 19, 28, 42, 60, 150, 700]) + rnd.integers(0, 3))
+            a = rnd.integers(0, 2**64, n, dtype=np.uint64)
+            drop = int(rnd.integers(0, n))
+            common, own = a[drop:], rnd.integers(0, 2**64, int(rnd.integers(0, n + 1)), dtype=np.uint64)
+            a, b = np.unique(a), np.unique(np.concatenate([common, own]))
+            met = bool(set(tile_keys(a, num, den).tolist()) & set(tile_keys(b, num, den).tolist()))
+            if den * len(common) >= num * (len(a) + len(b) - len(common)):
+                assert met, (num, den, len(a), len(b), len(common))
+            other = np.unique(rnd.integers(0, 2**64, len(a) + 20, dtype=np.uint64))
+            mine = np.unique(rnd.integers(0, 2**64, len(a) + 20, dtype=np.uint64))
+            shared += bool(set(tile_keys(mine, num, den).tolist()) & set(tile_keys(other, num, den).tolist()))
+        assert shared < 150
