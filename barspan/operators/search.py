@@ -1,14 +1,12 @@
-"""Fuzzy instrument search as a batch: a bounded table of queries against the whole master.
+"""Fuzzy instrument search as a batch: a table of queries against the whole master.
 
-Every master row scores every query token with column expressions, so the master is read
-once and never shuffled before the matches are known. The query table rides along as one
-array; its size is checked.
+A token can only match a text that holds one of its pieces unchanged: four pieces survive
+three gaps or two edits, the letters of a shorter token one edit. So distinct tokens and
+distinct texts meet in a hash join on pieces, and only those pairs are scored.
 """
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +16,6 @@ from barspan.operators.tables import top_rows
 EXACT, PREFIX, CONTAINS, SUBSEQUENCE, FUZZY_1, FUZZY_2 = 1000, 800, 600, 400, 200, 100
 GAP_PENALTY, CONTAINS_CAP, MAX_TOKEN, MAX_FUZZY_TOKEN = 40, 50, 12, 8
 WEIGHTS = {"name": 1.0, "code": 1.0, "code_full": 1.0, "code_flat": 1.0, "industry": 0.9, "area": 0.85}
-MAX_QUERIES = 10_000
 
 
 def normalized(col) -> Column:
@@ -48,11 +45,12 @@ def _half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-def field_score(token: Column, text: Column, weight: float) -> Column:
+def layer_score(token: Column, text: Column) -> Column:
+    """Score of the best layer on which a token matches a text, before field weights."""
     at = F.instr(text, token) - 1
     n, gaps = F.length(token), _gaps(token, text)
     fuzzy = (n >= 2) & (n <= MAX_FUZZY_TOKEN)
-    layer = (
+    return (
         F.when((text == "") | (n > MAX_TOKEN), 0)
         .when(token == text, EXACT)
         .when(at == 0, PREFIX)
@@ -62,36 +60,60 @@ def field_score(token: Column, text: Column, weight: float) -> Column:
         .when(fuzzy & (n >= 6) & _near(token, text, 2), FUZZY_2)
         .otherwise(0)
     )
-    return _half_up(layer * F.lit(weight))
 
 
-def search(master: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
-    """``queries(query_id, text)`` -> best matches per query: all tokens must score, ties by code."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one batch")
-    tokens = queries.select(
-        "query_id", F.filter(F.split(normalized("text"), r"\s+"), lambda x: x != "").alias("tokens")
-    ).where(F.size("tokens") > 0)
-    flat = tokens.select("query_id", F.size("tokens").alias("needed"), F.posexplode("tokens").alias("pos", "token"))
-    packed = flat.agg(F.collect_list(F.struct("query_id", "needed", "pos", "token")).alias("q")).select("q").scalar()
-    code = normalized("ts_code")
-    rows = master.select(
-        "ts_code",
-        normalized("name").alias("name"),
-        F.substring_index(code, ".", 1).alias("code"),
-        code.alias("code_full"),
-        F.replace(code, F.lit("."), F.lit("")).alias("code_flat"),
-        normalized("industry").alias("industry"),
-        normalized("region").alias("area"),
-        F.explode(packed).alias("t"),
-    )
-    token = F.col("t.token")
-    best = F.greatest(*[field_score(token, F.col(f), w) for f, w in WEIGHTS.items()])
-    hits = rows.select("ts_code", "t.query_id", "t.needed", best.alias("score")).where(F.col("score") > 0)
-    total = hits.groupBy("query_id", "ts_code").agg(
-        F.sum("score").cast("long").alias("score"), F.count(F.lit(1)).alias("_hit"), F.max("needed").alias("_needed")
-    )
-    full = total.where(F.col("_hit") == F.col("_needed")).select("query_id", "ts_code", "score")
-    return top_rows(full, [F.desc("score"), F.asc("ts_code")], limit, ["query_id"])
+def _pieces(token: Column) -> Column:
+    """Four nearly equal pieces of a token, the letters of one of up to four."""
+    n = F.length(token)
+    k = F.least(n, F.lit(4))
+
+    def cut(i):
+        return F.floor(i * n / k).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.substr(token, cut(i) + 1, cut(i + 1) - cut(i)))
 
 
+def _grams(text: Column) -> Column:
+    """Distinct substrings of up to three letters, the longest a piece can be."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+
+    def of_length(m):
+        return F.transform(starts, lambda i: F.substr(text, i, F.lit(m)))
+
+    runs = [of_length(m) for m in (1, 2, 3)]
+    return F.array_distinct(F.filter(F.concat(*runs), lambda g: g != ""))
+
+
+def search(master: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
+    """``queries(query_id, text)`` -> best matches per query: all tokens must score, ties by code.
+
+    A query without tokens lists the first codes with score 0.
+    """
+    split = queries.select("query_id", F.filter(F.split(normalized("text"), r"\s+"), lambda x: x != "").alias("tokens"))
+    asked = split.select("query_id", F.size("tokens").alias("needed"), F.posexplode("tokens").alias("pos", "token"))
+    code = normalized("ts_code")
+    bodies = {
+        "name": normalized("name"),
+        "code": F.substring_index(code, ".", 1),
+        "code_full": code,
+        "code_flat": F.replace(code, F.lit("."), F.lit("")),
+        "industry": normalized("industry"),
+        "area": normalized("region"),
+    }
+    fields = master.select(
+        "ts_code", F.inline(F.array(*[F.struct(bodies[f].alias("body"), F.lit(w).alias("weight")) for f, w in WEIGHTS.items()]))
+    ).where("body <> ''")
+    tokens = asked.where(F.length("token") <= MAX_TOKEN).select("token").distinct()
+    by_piece = tokens.select("token", F.explode(F.array_distinct(_pieces(F.col("token")))).alias("piece"))
+    by_gram = fields.select("body").distinct().select("body", F.explode(_grams(F.col("body"))).alias("piece"))
+    pairs = by_piece.join(by_gram, "piece").select("token", "body").distinct()
+    scored = pairs.withColumn("layer", layer_score(F.col("token"), F.col("body"))).where("layer > 0")
+    hits = asked.join(scored, "token").join(fields, "body")
+    best = hits.groupBy("query_id", "needed", "pos", "ts_code").agg(F.max(_half_up(F.col("layer") * F.col("weight"))).alias("score"))
+    total = best.where("score > 0").groupBy("query_id", "needed", "ts_code").agg(F.sum("score").cast("long").alias("score"), F.count(F.lit(1)).alias("_hit"))
+    full = total.where(F.col("_hit") == F.col("needed")).select("query_id", "ts_code", "score")
+    found = top_rows(full, [F.desc("score"), F.asc("ts_code")], limit, ["query_id"])
+    first = master.select("ts_code").orderBy("ts_code").limit(limit).agg(F.sort_array(F.collect_list("ts_code")).alias("c")).select("c").scalar()
+    blank = split.where(F.size("tokens") == 0).select("query_id", F.posexplode(first).alias("position", "ts_code"))
+    listed = blank.select("query_id", "ts_code", F.lit(0).cast("long").alias("score"), (F.col("position") + 1).alias("position"))
+    return found.unionByName(listed)

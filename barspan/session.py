@@ -32,7 +32,7 @@ def shared_base(spark: SparkSession) -> str | None:
 
 def ensure_shared_folder(spark: SparkSession) -> None:
     """Tests, bench and local calls: set ``spark.checkpoint.dir`` where a local session has none."""
-    if not shared_base(spark) and spark.sparkContext.master.startswith("local["):
+    if not shared_base(spark) and spark.sparkContext.master.split("[")[0] == "local":
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="barspan-"))
 
 

@@ -319,3 +319,17 @@ def test_activation_log_survives_and_refuses_a_taken_step(spark, tmp_path):
     store.activations = lambda: spark.createDataFrame([(1, "one")], "step long, build_id string")  # a stale read
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
         store._activate("three")
+
+
+def test_search_lists_the_pool_for_an_empty_query_and_takes_any_number_of_queries(spark):
+    from barspan.operators.search import search
+
+    master = spark.createDataFrame(
+        [(f"{i:06d}.SZ", f"Firm{i}", "Steel", "North") for i in range(60)], "ts_code string, name string, industry string, region string"
+    )
+    queries = spark.createDataFrame([(i, "firm7") for i in range(10_050)] + [(-1, "  "), (-2, None), (-3, "stel north")], "query_id long, text string")
+    got = search(master, queries)
+    assert got.where("query_id = 10049 AND position = 1").first().ts_code == "000007.SZ"
+    assert got.where("query_id IN (-1, -2)").count() == 100
+    assert got.where("query_id = -3").count() == 50
+    assert got.select("query_id").distinct().count() == 10_053
