@@ -170,14 +170,18 @@ def attribute_sources(
         .otherwise("PROVIDER_VERIFIED_EXISTING")
         .alias("origin"),
     )
-    grid = lifetime_grid(master.withColumns({"list_date": F.lit("1900-01-01").cast("date"), "delist_date": F.lit(None).cast("date")}), sessions)
-    rows = (
-        grid.join(master.select("ts_code", "list_date"), "ts_code")
-        .join(origin, KEY, "left")
-        .join(halt_days(halts), KEY, "left")
-        .join(valuation.select(*KEY, "pe", F.lit(True).alias("_basic")), KEY, "left")
-        .join(factors.select(*KEY, F.lit(True).alias("_factor")), KEY, "left")
+    facts = (
+        origin.join(valuation.select(*KEY, "pe", F.lit(True).alias("basic")), KEY, "full")
+        .join(factors.select(*KEY, F.lit(True).alias("factor")), KEY, "full")
     )
+    return attribute_facts(master, sessions, facts, halts)
+
+
+def attribute_facts(master: DataFrame, sessions: DataFrame, facts: DataFrame, halts: DataFrame) -> DataFrame:
+    """Status of every (code, session): ``facts`` has ``origin``, ``basic``, ``pe`` and ``factor`` per key, null where absent."""
+    grid = lifetime_grid(master.withColumns({"list_date": F.lit("1900-01-01").cast("date"), "delist_date": F.lit(None).cast("date")}), sessions)
+    facts = facts.select(*KEY, "origin", "pe", F.col("basic").alias("_basic"), F.col("factor").alias("_factor"))
+    rows = grid.join(master.select("ts_code", "list_date"), "ts_code").join(facts, KEY, "left").join(halt_days(halts), KEY, "left")
     early = F.col("trade_date") < F.col("list_date")
     full, mixed = F.coalesce("full_day", F.lit(False)), F.coalesce("mixed", F.lit(False))
     quoted = F.col("origin").isNotNull()

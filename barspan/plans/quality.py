@@ -156,9 +156,8 @@ _STATUS = {
 
 
 def _status(t):
-    return Q.attribute_sources(
-        t.master, _sessions(t), t.bars_where(_OLD), t.bars_where(_NEW), t.valuation, t.factors, t.suspensions, ["close", "vol"]
-    )
+    facts = t.source_facts  # one aggregation, whose exchange the calendar, the halts and the grid share
+    return Q.attribute_facts(t.master, Q.session_ordinals(t.calendar_of(facts)), facts, t.halts_of(facts))
 
 
 @query("x9_halt_days", "SELECT * FROM halts", **_HALT)

@@ -226,6 +226,58 @@ class MarketTables:
             )
         )
 
+    @cached_property
+    def source_facts(self) -> DataFrame:
+        """Per (code, session) what store, provider, valuation and factors hold and which halts follow: one pass over the lines.
+
+        The store's rows are those of flags A and N, the provider's those of flag R.
+        """
+        flag, ln, done = F.col("l_returnflag"), F.col("l_linenumber"), F.col("l_linestatus") == "F"
+        old, new = flag.isin("A", "N"), flag == "R"
+        day = self.lines().groupBy("l_suppkey", "trade_date").agg(
+            F.max(F.when(old, F.col("tag"))).alias("s_tag"),
+            F.sum(F.when(old, F.col("l_quantity"))).alias("s_vol"),
+            F.max(F.when(new, F.col("tag"))).alias("p_tag"),
+            F.sum(F.when(new, F.col("l_quantity"))).alias("p_vol"),
+            F.max(F.when(done, F.col("l_tax"))).alias("tax"),
+            F.min(F.when(done, F.col("px"))).alias("px"),
+            F.bool_or(F.col("l_discount") > 0).alias("has_factor"),
+            *[F.coalesce(F.bool_or(new & c), F.lit(False)).alias(n) for n, c in (("h1", ln == 1), ("h2", ln == 2), ("h7", ln == 7), ("h0", ~ln.isin(1, 2, 7)))],
+        )
+        ticks = F.lit(10**12).cast(T.DecimalType(13, 0))
+        same = (F.col("s_tag") % ticks == F.col("p_tag") % ticks) & (F.col("s_vol") == F.col("p_vol"))
+        origin = (
+            F.when(F.col("p_tag").isNull() & F.col("s_tag").isNotNull(), "DATABASE_ROW")
+            .when(F.col("s_tag").isNull() & F.col("p_tag").isNotNull(), "PROVIDER_ROW")
+            .when(same, "PROVIDER_VERIFIED_EXISTING")
+            .otherwise("SOURCE_CONFLICT")
+        )
+        return day.select(
+            code_of("l_suppkey").alias("ts_code"),
+            "trade_date",
+            F.when(F.col("s_tag").isNotNull() | F.col("p_tag").isNotNull(), origin).alias("origin"),
+            F.when(F.col("px").isNotNull(), True).alias("basic"),
+            F.when(F.col("tax") > 0, F.col("px") / _TICK / (1 + F.col("tax") * 100)).alias("pe"),
+            F.when(F.col("has_factor"), True).alias("factor"),
+            "h0", "h1", "h2", "h7",
+        )
+
+    def halts_of(self, facts: DataFrame) -> DataFrame:
+        """The halt events of ``source_facts``, once each."""
+        kinds = [("h0", "S", None), ("h1", "S", "09:30-11:30"), ("h2", "S", "13:00-15:00"), ("h7", "R", None)]
+        events = F.array_compact(
+            F.array(*[F.when(F.col(c), F.struct(F.lit(k).alias("suspend_type"), F.lit(t).cast("string").alias("suspend_timing"))) for c, k, t in kinds])
+        )
+        nxt = trade_date(F.date_add(F.col("trade_date"), 1))
+        return facts.select("ts_code", nxt.alias("trade_date"), F.inline(events))
+
+    @staticmethod
+    def calendar_of(facts: DataFrame) -> DataFrame:
+        """Every day between the first and last session of ``facts``; weekdays are open."""
+        span = facts.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))
+        days = span.select(F.explode(F.sequence("a", "b")).alias("cal_date"))
+        return days.select("cal_date", F.when(F.dayofweek("cal_date").isin(1, 7), 0).otherwise(1).alias("is_open"))
+
     @cached_property
     def events(self) -> DataFrame:
         return self.raw("events")

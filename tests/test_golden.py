@@ -333,3 +333,16 @@ def test_search_lists_the_pool_for_an_empty_query_and_takes_any_number_of_querie
     assert got.where("query_id IN (-1, -2)").count() == 100
     assert got.where("query_id = -3").count() == 50
     assert got.select("query_id").distinct().count() == 10_053
+
+
+def test_attribution_from_separate_tables_equals_the_single_pass(spark, sf_dir):
+    from barspan.plans.quality import _NEW, _OLD
+    from barspan.sources.adapter import MarketTables
+
+    t = MarketTables(spark, sf_dir)
+    sessions = Q.session_ordinals(t.calendar)
+    apart = Q.attribute_sources(
+        t.master, sessions, t.bars_where(_OLD), t.bars_where(_NEW), t.valuation, t.factors, t.suspensions, ["close", "vol"]
+    )
+    once = Q.attribute_facts(t.master, sessions, t.source_facts, t.halts_of(t.source_facts))
+    assert apart.exceptAll(once).count() == 0 and once.exceptAll(apart).count() == 0
