@@ -104,6 +104,7 @@ class Words:
         self.of_doc = np.searchsorted(self.begin, offsets)  # word offsets per document
         self._bytes = (_LOWER[raw] if lower else raw)[inner]
         self._place = np.arange(len(inner), dtype=np.int64) - np.repeat(self.first, self.length)
+        self._sums: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.begin)
@@ -112,12 +113,12 @@ class Words:
         """64-bit hash of each word, or of its first ``prefix`` bytes."""
         if not len(self):
             return np.zeros(0, np.uint64)
-        terms = _VALUE[self._bytes] * powers(int(self.length.max()))[self._place]
-        size = self.length
-        if prefix is not None:
-            terms = np.where(self._place < prefix, terms, np.uint64(0))
-            size = np.minimum(size, prefix)
-        return mix(np.add.reduceat(terms, self.first) + size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        if self._sums is None:  # running sums of the terms serve every prefix
+            terms = _VALUE[self._bytes] * powers(int(self.length.max()))[self._place]
+            self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+        size = self.length if prefix is None else np.minimum(self.length, prefix)
+        total = self._sums[self.first + size] - self._sums[self.first]
+        return mix(total + size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
