@@ -120,10 +120,24 @@ def _(t):
     return _doubles(out, *KEYS, "window_size", "is_warmup", "indicator_id")
 
 
-@query("f13_indicator_rows_valid", "SELECT ts_code, trade_date, true AS valid FROM bars")
+@query(
+    "f13_indicator_rows_valid",
+    """SELECT ts_code, trade_date, CASE dayofweek(trade_date) WHEN 1 THEN false WHEN 2 THEN n < 5 WHEN 3 THEN close = 0 WHEN 4 THEN false ELSE true END AS valid
+    FROM (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY trade_date) AS n FROM bars)""",
+)
 def _(t):
+    """Rows spoilt by weekday: wrong warm-up flag, missing mean, negative close, impossible window; Fridays are sound."""
+    day = F.dayofweek("trade_date")
     out = I.indicator_values(t.bars.select(*KEYS, "close", F.col("vol").alias("volume")))
-    return out.select(*KEYS, I.valid_indicator().alias("valid"))
+    spoilt = out.withColumns(
+        {
+            "is_warmup": F.when(day == 2, ~F.col("is_warmup")).otherwise(F.col("is_warmup")),
+            "ma5": F.when(day != 3, F.col("ma5")),
+            "close": F.when(day == 4, -F.col("close")).otherwise(F.col("close")),
+            "window_size": F.when(day == 5, 21).otherwise(F.col("window_size")),
+        }
+    )
+    return spoilt.select(*KEYS, I.valid_indicator().alias("valid"))
 
 
 @query(
