@@ -17,10 +17,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Arrow batches of 16 MB at most, so that whole long texts do not fill a Python worker."""
+    """Arrow batches of 8 MB at most, so that whole long texts do not fill a Python worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key).lower().rstrip("b") in ("67108864", "64m"):  # untouched default
-        spark.conf.set(key, str(16 << 20))
+        spark.conf.set(key, str(8 << 20))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

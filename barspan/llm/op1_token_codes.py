@@ -38,9 +38,9 @@ BLOCK_TOKENS = 1 << 17
 LEVELS = (8, 8, 16)
 RANK_BITS = 512
 #: Distinct words whose ids a task remembers before it starts anew.
-MEMO = 2_000_000
+MEMO = 1_000_000
 #: Characters of text encoded together.
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 19
 
 _MAGIC = b"DAC1"
 FILE_SCHEMA = "part int, block int, doc_ids array<long>, doc_tokens array<long>, payload binary"

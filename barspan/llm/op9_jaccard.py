@@ -19,9 +19,9 @@ are joined like this:
 * **Bitmaps.** A class carries the parity of its hashes in ``8 n`` bits or more. The bits in which two
   bitmaps differ are a lower bound of the symmetric difference, hence an upper bound of the
   overlap; pairs that it rules out are never fetched.
-* **Exact check.** Sorted arrays of the surviving pairs are intersected. The first search
-  takes the ``NEAREST`` most promising partners of a class in each other component; the last
-  one takes every pair that is left between components, so the result has no cap.
+* **Exact check.** Sorted arrays of the surviving pairs are intersected. The first searches
+  check a spanning forest of what each tile's bitmaps allow, which is linear in the tile; the
+  last one checks every pair that is left between components, so the result has no cap.
 
 Nulls: a null or blank text has an empty set and links with nothing; a row with a null id
 takes part and is returned. Repeated rows are returned as often as they come. Extra columns
@@ -42,8 +42,8 @@ from barspan.llm.textops import Words, mix, shingle_sets, text_chunks, tidy
 
 #: Classes that one task compares with each other.
 BLOCK = 4096
-#: Partners of a class in each other component that the second search checks.
-NEAREST = 4
+#: Searches that check a spanning forest of each tile before the one that checks all pairs left.
+FORESTS = 2
 #: Bits of a signature: a power of two of at least 8 n, within these bounds.
 MIN_BITS, MAX_BITS = 2048, 65_536
 
@@ -222,42 +222,39 @@ def _differ(x: bytes, y: bytes) -> int:
     return (pair[0] ^ pair[1]).bit_count()
 
 
-def _tile_pairs(side, cls, comp, n, blobs, one_block, num, den, nearest):
-    """(a, b, more) of one tile, or of two of its blocks."""
-    if len(cls) <= 8:
-        for i in range(len(cls)):
-            near: dict = {}
-            for j in range(len(cls)):
-                if comp[i] == comp[j] or (j <= i if one_block else not side[i] < side[j]):
-                    continue
-                if den * min(n[i], n[j]) >= num * max(n[i], n[j]):
-                    d = _differ(blobs[i], blobs[j])
-                    if _may_link(n[i], n[j], d, num, den):
-                        near.setdefault(comp[j], []).append((d, j))
-            for found in near.values():
-                found.sort()
-                for _, j in found[:nearest]:
-                    yield cls[i], cls[j], nearest is not None and len(found) > nearest
-        return
+def _tile_pairs(side, cls, comp, n, blobs, one_block, num, den, forest):
+    """(a, b, more) of one tile, or of two of its blocks.
+
+    ``forest``: a pair that the pairs before it would join anyway is left out, so a tile of
+    m classes gives fewer than m pairs, the most alike ones of each class first.
+    """
     side, cls, comp, n = (np.array(v, np.int64) for v in (side, cls, comp, n))
-    bits = _stack(blobs)
+    bits = None if len(cls) <= 8 else _stack(blobs)
+    root = np.unique(comp, return_inverse=True)[1]
     left, right = (np.arange(len(cls)),) * 2 if one_block else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     for i in left:
-        j = right[comp[right] != comp[i]]
+        j = right[(root[right] != root[i]) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))]
         if one_block:
             j = j[j > i]
-        j = j[den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i])]
         if not len(j):
             continue
-        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        if bits is None:
+            differ = np.array([_differ(blobs[i], blobs[x]) for x in j], np.int64)
+        else:
+            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
         ok = _may_link(n[i], n[j], differ, num, den)
         j, differ = j[ok], differ[ok]
-        order = np.lexsort((differ, comp[j]))
-        j = j[order]
-        begin = np.flatnonzero(np.append(True, comp[j][1:] != comp[j][:-1])) if len(j) else []
-        for a, b in zip(begin, [*begin[1:], len(j)]):
-            for x in j[a : b if nearest is None else min(b, a + nearest)]:
-                yield int(cls[i]), int(cls[x]), nearest is not None and b - a > nearest
+        if not len(j):
+            continue
+        if not forest:
+            for x in j:
+                yield int(cls[i]), int(cls[x]), False
+            continue
+        j = j[np.lexsort((differ, root[j]))]
+        best = j[np.append(True, root[j][1:] != root[j][:-1])]
+        for x in best:
+            yield int(cls[i]), int(cls[x]), len(cls) > 2
+        root[np.isin(root, root[best])] = root[i]
 
 
 def _runs(batches, keys: list[str]):
@@ -276,10 +273,10 @@ def _runs(batches, keys: list[str]):
         yield rest
 
 
-def _search(rows: DataFrame, num: int, den: int, nearest: int | None) -> DataFrame:
+def _search(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """Pairs ``a``, ``b``, ``more`` between different components of a tile that the bitmaps allow.
 
-    ``rows``: tile, left, right (blocks), side, cls, comp, n, bits. ``more``: the class had further pairs.
+    ``rows``: tile, left, right (blocks), side, cls, comp, n, bits. ``more``: the tile may have further pairs.
     """
     keys = ["tile", "left", "right"]
 
@@ -291,7 +288,7 @@ def _search(rows: DataFrame, num: int, den: int, nearest: int | None) -> DataFra
         out = []
         for t in _runs(batches, keys):
             v = t.to_pydict()
-            out += _tile_pairs(v["side"], v["cls"], v["comp"], v["n"], v["bits"], v["left"][0] == v["right"][0], num, den, nearest)
+            out += _tile_pairs(v["side"], v["cls"], v["comp"], v["n"], v["bits"], v["left"][0] == v["right"][0], num, den, forest)
             if len(out) > 100_000:
                 yield batch_of(out)
                 out = []
@@ -383,8 +380,8 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     links = written(_verify(written(_bounded(stars, num, den), "pairs"), classes, docs, k, num, den), "links")
     labels = components(links)
 
-    for nearest in (NEAREST, None):
-        found = written(_search(_unresolved(tiles, labels, classes), num, den, nearest), "pairs")
+    for forest in (*[True] * FORESTS, False):
+        found = written(_search(_unresolved(tiles, labels, classes), num, den, forest), "pairs")
         pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         total, more = found.agg(F.count(F.lit(1)), F.max("more")).first()
         if total:

@@ -16,7 +16,7 @@ import pyarrow as pa
 #: Regular expression of a word, for JVM and DuckDB expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text hashed together: bounds the temporaries; one longer document is hashed alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

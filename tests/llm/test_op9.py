@@ -62,11 +62,11 @@ def test_components_equal_all_pairs(spark):
         assert sorted(map(tuple, got), key=str) == brute(rows, k, num, 100)
 
 
-def test_small_blocks_and_one_partner_change_nothing(spark, monkeypatch):
+def test_small_blocks_and_no_forest_change_nothing(spark, monkeypatch):
     import barspan.llm.op9_jaccard as op
 
     monkeypatch.setattr(op, "BLOCK", 3)
-    monkeypatch.setattr(op, "NEAREST", 1)
+    monkeypatch.setattr(op, "FORESTS", 0)
     rows = corpus()
     got = op.jaccard_components(spark.createDataFrame(rows, SCHEMA), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 3, 90, 100)
