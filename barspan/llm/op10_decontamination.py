@@ -3,8 +3,9 @@
 Texts become sequences of tokens (runs of letters or of digits, A-Z folded). In a template the
 numbers (digits and number words), the units after a number and the names (capitalised words
 inside a sentence) are typed placeholders; neighbouring tokens of one number or one name are
-one slot. Windows of ``WINDOW`` tokens of documents and benchmark items are joined by hash,
-once as templates and once as plain tokens; an item shorter than a window is a window.
+one slot. In a second kind of template a capitalised word that opens a sentence is a name too.
+Windows of ``WINDOW`` tokens of documents and benchmark items are joined by hash, as plain tokens
+and as both kinds of templates; an item shorter than a window is a window.
 
 Joined windows with the same distance between their places lie on one alignment of a document
 with an item. Template windows count only if the alignment's slots are consistent: every value
@@ -66,7 +67,7 @@ _SLOT = mix(np.arange(4, dtype=np.uint64), 77)
 
 
 class Tokens:
-    """Plain and template sequences of a piece of texts, with offsets per document."""
+    """Views of a piece of texts: 0 plain, 1 templates, 2 templates with names that open a sentence."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         kind = _KIND[raw]
@@ -83,36 +84,45 @@ class Tokens:
         second = raw[np.minimum(begin + 1, len(raw) - 1)] if n else first
         upper = (first >= 65) & (first <= 90)
         titled = upper & (words.length > 1) & ~((second >= 65) & (second <= 90))
-        kinds = np.zeros(n, np.int8)
-        kinds[titled & ~opens] = NAME
-        kinds[((first >= 48) & (first <= 57)) | np.isin(self.plain, _NUMBER_HASHES)] = NUMBER
-        after_number = np.zeros(n, bool)
-        after_number[1:] = (kinds[:-1] == NUMBER) & (doc[1:] == doc[:-1])
-        kinds[after_number & (kinds != NUMBER) & np.isin(self.plain, _UNIT_HASHES)] = UNIT
-        fresh = np.ones(n, bool)
-        fresh[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == PLAIN) | (kinds[1:] == UNIT) | (doc[1:] != doc[:-1])
-        self.at = np.flatnonzero(fresh)  # first word of each template token
-        place = np.arange(n) - np.repeat(self.at, np.diff(np.append(self.at, n)))
-        self.kinds = kinds[self.at]
-        self.values = np.add.reduceat(mix(self.plain + place.astype(np.uint64)), self.at) if n else self.plain
-        self.template = np.where(self.kinds == PLAIN, self.plain[self.at], _SLOT[self.kinds])
-        self.template_of_doc = np.searchsorted(self.at, self.of_doc)
-
-    def windows(self, size: int):
-        """(document, view, position, length, hash, slots) arrays; view 0 plain, 1 template."""
-        for view, seq, of_doc in ((0, self.plain, self.of_doc), (1, self.template, self.template_of_doc)):
-            h = windows(seq, size)
-            doc = np.repeat(np.arange(len(of_doc) - 1), np.diff(of_doc))[: len(h)]
-            last = np.arange(len(h)) + size - 1
-            ok = last < of_doc[1:][doc] if len(h) else np.zeros(0, bool)
-            if view:
-                slots = np.append(0, np.cumsum(self.kinds != PLAIN))
-                inside = slots[last + 1] - slots[np.arange(len(h))]
-                ok &= (inside > 0) & (2 * inside <= size)  # without a slot the plain window says the same
-            keep = np.flatnonzero(ok)
-            yield view, keep, doc[keep], keep - of_doc[doc[keep]], mix(h[keep] + np.uint64(size), 90 + view).view(np.int64)
+        number = ((first >= 48) & (first <= 57)) | np.isin(self.plain, _NUMBER_HASHES)
+        follows = np.zeros(n, bool)
+        follows[1:] = number[:-1] & (doc[1:] == doc[:-1])
+        unit = follows & ~number & np.isin(self.plain, _UNIT_HASHES)
+        self.views = [Sequence(self.plain, self.of_doc)]
+        for names in (titled & ~opens, titled):
+            kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(names, NAME, PLAIN))).astype(np.int8)
+            fresh = np.ones(n, bool)
+            fresh[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == PLAIN) | (kinds[1:] == UNIT) | (doc[1:] != doc[:-1])
+            fresh |= opens & (kinds == NAME)
+            at = np.flatnonzero(fresh)  # first word of each template token
+            place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
+            values = np.add.reduceat(mix(self.plain + place.astype(np.uint64)), at) if n else self.plain
+            template = np.where(kinds[at] == PLAIN, self.plain[at], _SLOT[kinds[at]])
+            self.views.append(Sequence(template, np.searchsorted(at, self.of_doc), kinds[at], values))
+
+
+class Sequence:
+    """Tokens of one view with offsets per document; templates have kinds and values too."""
+
+    def __init__(self, tokens: np.ndarray, of_doc: np.ndarray, kinds: np.ndarray | None = None, values: np.ndarray | None = None):
+        self.tokens, self.of_doc, self.kinds, self.values = tokens, of_doc, kinds, values
+
+    def windows(self, view: int, size: int):
+        """(place, document, position, hash) arrays."""
+        h = windows(self.tokens, size)
+        doc = np.repeat(np.arange(len(self.of_doc) - 1), np.diff(self.of_doc))[: len(h)]
+        last = np.arange(len(h)) + size - 1
+        ok = last < self.of_doc[1:][doc] if len(h) else np.zeros(0, bool)
+        if self.kinds is not None:
+            slots = np.append(0, np.cumsum(self.kinds != PLAIN))
+            inside = slots[last + 1] - slots[np.arange(len(h))]
+            ok &= (inside > 0) & (2 * inside <= size)  # without a slot the plain window says the same
+        keep = np.flatnonzero(ok)
+        return keep, doc[keep], keep - self.of_doc[doc[keep]], mix(h[keep] + np.uint64(size), 90 + view).view(np.int64)
 
     def slots(self, begin: int, size: int) -> list[dict]:
+        if self.kinds is None:
+            return []
         inside = begin + np.flatnonzero(self.kinds[begin : begin + size] != PLAIN)
         return [{"kind": int(self.kinds[i]), "value": int(self.values[i].view(np.int64)), "at": int(i - begin)} for i in inside]
 
@@ -132,8 +142,9 @@ def _rows(df: DataFrame, id_col: str, sizes: list[int] | None, member) -> DataFr
                 t = Tokens(raw, offsets)
                 counts = np.diff(t.of_doc)
                 parts: dict[str, list] = {k: [] for k in ("row", "view", "size", "h", "pos", "total", "slots")}
-                for size in sizes if sizes is not None else sorted({min(WINDOW, int(c)) for c in counts if c}):
-                    for view, keep, doc, pos, h in t.windows(size):
+                for view, seq in enumerate(t.views):
+                    for size in sizes if sizes is not None else sorted({min(WINDOW, int(c)) for c in counts if c}):
+                        keep, doc, pos, h = seq.windows(view, size)
                         ok = np.minimum(counts[doc], WINDOW) == size if sizes is None else np.ones(len(h), bool)
                         if held is not None:
                             bit = h.view(np.uint64) & np.uint64(FILTER_BITS - 1)
@@ -145,7 +156,7 @@ def _rows(df: DataFrame, id_col: str, sizes: list[int] | None, member) -> DataFr
                         parts["h"].append(h)
                         parts["pos"].append(pos.astype(np.int32))
                         parts["total"].append(counts[doc].astype(np.int32))
-                        parts["slots"] += [t.slots(int(k), size) for k in keep] if view else [[]] * len(h)
+                        parts["slots"] += [seq.slots(int(k), size) for k in keep]
                 if not parts["row"]:
                     continue
                 row = pa.array(np.concatenate(parts["row"]) + first)
@@ -189,7 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = found.join(other, ["view", "size", "h"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     hits = written(hits.select("key", F.col("id").alias("doc_id"), "item_id", "item_key", "view", "shift", "size", "item_pos", "item_tokens", "slots", "item_slots"), "hits")
     line = ["key", "item_key", "view", "shift"]
-    pairs = hits.where("view = 1").select(*line, F.explode(F.arrays_zip("slots", "item_slots")).alias("s")).select(
+    pairs = hits.where("view > 0").select(*line, F.explode(F.arrays_zip("slots", "item_slots")).alias("s")).select(
         *line, F.col("s.slots.kind").alias("kind"), F.col("s.slots.value").alias("mine"), F.col("s.item_slots.value").alias("theirs")
     )
     fair = (

@@ -45,6 +45,24 @@ def test_planted_cases(spark):
     assert by[12, 1].changed >= 4
 
 
+def found(spark, items, docs):
+    got = leaks(spark.createDataFrame([(i, t, "") for i, t in docs], DOC), spark.createDataFrame(items, ITEM))
+    return {(r.doc_id, r.item_id) for r in got.collect()}
+
+
+def test_renamed_sentence_openers(spark):
+    sold = "{} sold {} books. {} sold {} books. {} sold {} books. How many books were sold?"
+    lent = "{} made {} caps. {} lent {} pens. {} tore {} maps. How many things were left?"
+    items = [(1, sold.format("Tom", 3, "Mary", 4, "Kim", 9)), (2, lent.format("Tom", 3, "Mary", 4, "Kim", 9))]
+    docs = [
+        (1, "Read this: " + sold.format("Ann", 5, "Bob", 8, "Liz", 6)),
+        (2, lent.format("Ann", 5, "Bob", 8, "Liz", 6).replace(". ", "\n")),
+        (3, lent.format("Ann", 5, "Bob", 8, "Ann", 6)),  # one person for two
+        (4, "Tom slept. Mary read 4 books. Kim ran. How many were there?"),
+    ]
+    assert found(spark, items, docs) == {(1, 1), (2, 2)}
+
+
 def test_plain_windows_equal_brute_force(spark):
     import re
 
