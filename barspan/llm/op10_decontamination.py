@@ -5,13 +5,15 @@ numbers (digits and number words), the units after a number and the names (capit
 inside a sentence) are typed placeholders; neighbouring tokens of one number or one name are
 one slot. In a second kind of template a capitalised word that opens a sentence is a name too.
 Windows of ``WINDOW`` tokens of documents and benchmark items are joined by hash, as plain tokens
-and as both kinds of templates; an item shorter than a window is a window.
+and as both kinds of templates; an item that is shorter than a window in one of these views is a
+window there.
 
 Joined windows with the same distance between their places lie on one alignment of a document
 with an item. Template windows count only if the alignment's slots are consistent: every value
 of the item stands for one value of the document and the reverse, type by type. So a question
 with other numbers and names is found, and a text that merely has the same shape is not. An
-alignment is a leak if its windows cover ``MIN_TOKENS`` tokens or half of the item.
+alignment is a leak if its windows cover ``MIN_TOKENS`` tokens or half of the item as its view
+counts them.
 
 Documents are read once. A Bloom filter of fixed size over the benchmark's windows keeps the
 windows of clean text from being shuffled; the join after it is exact.
@@ -131,8 +133,8 @@ _SLOT_TYPE = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.int64()), ("
 _ROW = "key long, id long, view int, size int, h long, pos int, total int, slots array<struct<kind:int,value:long,at:int>>"
 
 
-def _rows(df: DataFrame, id_col: str, sizes: list[int] | None, member) -> DataFrame:
-    """Windows of a table. ``sizes`` None: one size for each text (benchmark side)."""
+def _rows(df: DataFrame, id_col: str, sizes: dict[int, list[int]] | None, member) -> DataFrame:
+    """Windows of a table. ``sizes``: those of each view; None: one for each text and view (benchmark side)."""
 
     def run(batches):
         held = None if member is None else member.value
@@ -140,10 +142,11 @@ def _rows(df: DataFrame, id_col: str, sizes: list[int] | None, member) -> DataFr
             ids, keys = b.column("id"), b.column("key")
             for first, raw, offsets in text_chunks(b.column("text")):
                 t = Tokens(raw, offsets)
-                counts = np.diff(t.of_doc)
                 parts: dict[str, list] = {k: [] for k in ("row", "view", "size", "h", "pos", "total", "slots")}
                 for view, seq in enumerate(t.views):
-                    for size in sizes if sizes is not None else sorted({min(WINDOW, int(c)) for c in counts if c}):
+                    counts = np.diff(seq.of_doc)
+                    own = {min(WINDOW, int(c)) for c in counts if c} if sizes is None else sizes.get(view, ())
+                    for size in sorted(own):
                         keep, doc, pos, h = seq.windows(view, size)
                         ok = np.minimum(counts[doc], WINDOW) == size if sizes is None else np.ones(len(h), bool)
                         if held is not None:
@@ -186,11 +189,14 @@ def _filter(items: DataFrame) -> np.ndarray:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key, doc_id, item_id, covered, item_tokens, first_token, last_token, slots, changed) per leaked item.
 
-    ``first_token`` and ``last_token`` are places in the document on its longest alignment;
+    ``first_token`` and ``last_token`` are places in the document on its longest alignment, and
+    these and ``item_tokens`` count the tokens of that alignment's view;
     ``slots`` counts the item's slot values there and ``changed`` those that the document renames.
     """
     items = written(_rows(benchmark, "item_id", None, None), "benchmark-windows")
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most WINDOW values
+    sizes: dict[int, list[int]] = {}
+    for r in items.select("view", "size").distinct().collect():  # at most WINDOW values of three views
+        sizes.setdefault(r["view"], []).append(r["size"])
     member = docs.sparkSession.sparkContext.broadcast(_filter(items))
     found = _rows(docs, "doc_id", sizes, member)
     other = items.select(

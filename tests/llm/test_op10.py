@@ -63,6 +63,19 @@ def test_renamed_sentence_openers(spark):
     assert found(spark, items, docs) == {(1, 1), (2, 2)}
 
 
+def test_merged_slots_shorten_an_item(spark):
+    plain_short = "Add 2.5 cups of 1.75 each"
+    merged = "Ann has 1,200,300.25 and 4,500,600.75 and 7,800,900.50 and 1,100,200.25 in all how much is that"
+    items = [(1, "What is 12.5 times 30.25 plus 7.75?"), (2, plain_short), (3, merged)]
+    docs = [
+        (1, "Tell me this. What is 8.25 times 4.5 plus 99.125? Thanks."),
+        (2, "First add 3.25 cups of 8.5 each, then stir."),
+        (3, merged.replace("1,", "8,").replace("4,", "5,").replace("7,", "2,")),
+        (4, "What is 8.25 minus 4.5 plus 99.125?"),
+    ]
+    assert found(spark, items, docs) == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_plain_windows_equal_brute_force(spark):
     import re
 
