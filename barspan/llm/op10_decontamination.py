@@ -9,9 +9,11 @@ and as both kinds of templates; an item that is shorter than a window in one of
 window there.
 
 Joined windows with the same distance between their places lie on one alignment of a document
-with an item. Template windows count only if the alignment's slots are consistent: every value
-of the item stands for one value of the document and the reverse, type by type. So a question
-with other numbers and names is found, and a text that merely has the same shape is not. An
+with an item. Template windows count only if the alignment's slots are consistent. Every name of
+the item stands for one name of the document and the reverse. Numbers and units coincide by
+chance, so of their places more than half must fit a mapping in one direction, from the item's
+values to the document's or back. So a question with other numbers and names is found, and a
+text that merely has the same shape is not. An
 alignment is a leak if its windows cover ``MIN_TOKENS`` tokens or half of the item as its view
 counts them.
 
@@ -206,24 +208,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = found.join(other, ["view", "size", "h"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     hits = written(hits.select("key", F.col("id").alias("doc_id"), "item_id", "item_key", "view", "shift", "size", "item_pos", "item_tokens", "slots", "item_slots"), "hits")
     line = ["key", "item_key", "view", "shift"]
-    pairs = hits.where("view > 0").select(*line, F.explode(F.arrays_zip("slots", "item_slots")).alias("s")).select(
-        *line, F.col("s.slots.kind").alias("kind"), F.col("s.slots.value").alias("mine"), F.col("s.item_slots.value").alias("theirs")
+    pairs = hits.where("view > 0").select(*line, "item_pos", F.explode(F.arrays_zip("slots", "item_slots")).alias("s")).select(
+        *line,
+        (F.col("item_pos") + F.col("s.slots.at")).alias("place"),
+        F.col("s.slots.kind").alias("kind"),
+        F.col("s.slots.value").alias("mine"),
+        F.col("s.item_slots.value").alias("theirs"),
     )
+    cells = pairs.distinct().groupBy(*line, "kind", "mine", "theirs").agg(F.count(F.lit(1)).alias("n"))
     fair = (
-        pairs.distinct()
+        cells.withColumn("of_theirs", F.row_number().over(Window.partitionBy(*line, "kind", "theirs").orderBy(F.desc("n"), "mine")))
+        .withColumn("of_mine", F.row_number().over(Window.partitionBy(*line, "kind", "mine").orderBy(F.desc("n"), "theirs")))
         .groupBy(*line, "kind")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_distinct("mine").alias("n_mine"),
-            F.count_distinct("theirs").alias("n_theirs"),
+            F.count(F.lit(1)).alias("pairs"),
+            F.sum("n").alias("places"),
+            F.greatest(*[F.sum(F.when(F.col(c) == 1, F.col("n")).otherwise(0)) for c in ("of_theirs", "of_mine")]).alias("fits"),
+            F.bool_and((F.col("of_theirs") == 1) & (F.col("of_mine") == 1)).alias("strict"),
             F.sum((F.col("mine") != F.col("theirs")).cast("int")).alias("changed"),
         )
         .groupBy(*line)
         .agg(
-            F.bool_and((F.col("n") == F.col("n_mine")) & (F.col("n") == F.col("n_theirs"))).alias("fair"),
-            F.sum("n").alias("slots"),
+            F.bool_and((F.col("kind") != NAME) | F.col("strict")).alias("names"),
+            F.sum(F.when(F.col("kind") != NAME, 2 * F.col("fits") - F.col("places"))).alias("margin"),
+            F.sum("pairs").alias("slots"),
             F.sum("changed").alias("changed"),
         )
+        .withColumn("fair", F.col("names") & (F.coalesce("margin", F.lit(1)) > 0))
+        .drop("names", "margin")
     )
     # tokens that the windows of an alignment cover: each adds what its predecessor leaves
     along = Window.partitionBy(*line).orderBy("item_pos")

@@ -76,6 +76,16 @@ def test_merged_slots_shorten_an_item(spark):
     assert found(spark, items, docs) == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_coinciding_numbers(spark):
+    two = "the baker sold {} loaves at dawn then {} rolls at night in all"
+    same = "she bought {} apples at {} dollars each how much did she pay"
+    crossed = "we mix {0} red and {1} blue with {0} green and {1} black then {2} red and {2} blue with {3} green and {3} black"
+    items = [(1, two.format(2, 3)), (2, same.format(3, 3)), (3, crossed.format(2, 3, 4, 5))]
+    swapped = "we mix {0} red and {1} blue with {2} green and {3} black then {0} red and {1} blue with {2} green and {3} black"
+    docs = [(1, two.format(4, 4)), (2, same.format(5, 12)), (3, crossed.format(6, 7, 8, 8)), (4, swapped.format(6, 7, 8, 9))]
+    assert found(spark, items, docs) == {(1, 1), (2, 2), (3, 3)}  # 4 crosses half of the numbers
+
+
 def test_plain_windows_equal_brute_force(spark):
     import re
 
