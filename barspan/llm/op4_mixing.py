@@ -6,7 +6,8 @@ handed out up to and including it, divided by the source's target. All copies ar
 by that time, which interleaves the sources in proportion to their targets, and the stream is
 truncated where the budget, the sum of the targets, is spent (virtual time 1). A copy that a
 source is in the middle of at that point hands out its words up to the line, so every source
-gives its target to the word.
+gives its target to the word. Copies that hand out no word are not numbered. The rows of the
+mix stand in the order of the stream.
 
 Targets: sources in code-point order, null last, carry the weights in turn and share
 ``share_pct`` percent of all words; a target stops at ``epochs`` times its source's size and
@@ -85,9 +86,10 @@ def _running(df: DataFrame, part: list[str], order: list[str], value: str, withi
 
 
 def schedule(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share_pct: int = SHARE_PCT, epochs: int = EPOCHS) -> DataFrame:
-    """One row per copy that is reached: row key, size, target, ``epoch``, ``stream_start``, ``words``.
+    """One row per copy: row key, size, target, ``epoch``, ``stream_start``, ``words``.
 
-    ``row_key`` is a digest of all columns; ``words`` is what the mix takes of the copy.
+    ``row_key`` is a digest of all columns; ``words`` is what the mix takes of the copy, which is
+    the part of it that lies before the end of the stream. A copy outside has no ``stream_start``.
     """
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
     rows = written(
@@ -116,12 +118,15 @@ def schedule(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share_pct: int =
         .withColumn("words", F.greatest(F.lit(0), F.least("size", F.floor("target") - F.col("_mix_start"))).cast("long"))
         .withColumn("finish", F.when(F.col("target") > 0, (F.col("_mix_start") + F.col("size")) / F.col("target")).otherwise(F.lit(0.0)))
     )
-    # equal steps of virtual time hold about equal words; what finishes after the line is cut there
+    copies = written(copies.drop("_mix_before", "_mix_start"), "mix-copies")
+    # equal steps of virtual time hold about equal words; the last one holds the copies that the line cuts
     budget = share.agg(F.sum("target")).first()[0] or 0.0
     steps = max(1, round(budget / WORDS_PER_STEP))
-    copies = copies.withColumn("_mix_step", F.floor(F.least("finish", F.lit(1.0)) * steps))
-    stream = _running(copies, [], ["finish", "order", "row_id", "epoch"], "words", "_mix_step", "stream_start")
-    return stream.drop("_mix_step", "_mix_before", "_mix_start")
+    live = copies.where("words > 0").withColumn("_mix_step", F.floor(F.least("finish", F.lit(1.0)) * steps))
+    stream = _running(live, [], ["finish", "order", "row_id", "epoch"], "words", "_mix_step", "stream_start").drop("_mix_step")
+    whole = F.greatest(F.lit(0.0), F.least(F.col("words").cast("double"), F.ceil(F.lit(budget)) - F.col("stream_start")))
+    stream = stream.withColumn("words", whole.cast("long"))
+    return stream.unionByName(copies.where("words = 0").withColumn("stream_start", F.lit(None).cast("long")))
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -131,7 +136,7 @@ def row_key(docs: DataFrame) -> Column:
 def taken(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken, stream_start) of every row.
 
-    ``stream_start`` is where the row first stands in the mixed stream, in words.
+    ``stream_start`` is where the row first stands in the mixed stream, in words; null if it does not.
     """
     copies = schedule(docs, **options)
     return (
@@ -146,12 +151,12 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents with the columns of ``docs``: a row per copy that is taken.
+    """The mixed documents with the columns of ``docs``: a row per copy that is taken, in the order of the stream.
 
     A copy that the line cuts ends after its last taken word; ``n_chars`` then follows the text.
     """
     plan = schedule(docs, **options).where("words > 0")
-    per_row = plan.groupBy("row_key", "row_id").agg(F.collect_list(F.struct("epoch", "words", "size")).alias("_mix_copies"))
+    per_row = plan.groupBy("row_key", "row_id").agg(F.collect_list(F.struct("epoch", "words", "size", "stream_start")).alias("_mix_copies"))
     per_row = per_row.withColumn("_mix_nth", F.row_number().over(Window.partitionBy("row_key").orderBy("row_id")))
     per_row = per_row.select(F.col("row_key").alias("_mix_key"), "_mix_nth", "_mix_copies")
     rows = docs.withColumn("_mix_key", row_key(docs))
@@ -163,4 +168,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     out = out.withColumn("text", F.when(cut, F.expr("regexp_extract(text, _mix_pattern, 0)")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return out.orderBy("_mix_copy.stream_start").select(docs.columns)

@@ -115,6 +115,12 @@ def op4(spark, sf_dir):
     return got.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+@query("op4_mixed_stream")
+def op4_stream(spark, sf_dir):
+    got = op4_mixing.schedule(table(spark, sf_dir, "documents")).where("words > 0")
+    return got.select("doc_id", "source", "epoch", "stream_start", "words")
+
+
 @query("op5_positive_unlabelled_quality")
 def op5(spark, sf_dir):
     return op5_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

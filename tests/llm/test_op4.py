@@ -90,6 +90,34 @@ def test_mix_repeats_and_cuts(spark):
     assert by_source == {s: n for s, n in want.items() if n}
 
 
+def test_mix_stands_in_stream_order(spark):
+    from barspan.llm.op4_mixing import schedule
+
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    plan = sorted(schedule(docs).where("words > 0").collect(), key=lambda r: r.stream_start)
+    got = mix(docs).collect()
+    assert [(r.doc_id, r.source, words(r.text)) for r in got] == [(r.doc_id, r.source, r.words) for r in plan]
+    half = {r.source for r in got[: len(got) // 2]}
+    assert half | {"tiny"} == {r.source for r in got}  # "tiny" is one document
+
+
+def test_taken_comes_from_the_stream(spark):
+    df = taken(spark.createDataFrame(corpus(), SCHEMA))
+    plan = df.select("doc_id", "taken")._jdf.queryExecution().optimizedPlan().toString()
+    assert "finish" in plan and "Window" in plan  # the stream's window is not pruned
+    rows = df.collect()
+    assert all((r.stream_start is None) == (r.taken == 0) for r in rows)
+
+
+def test_last_step_holds_only_cut_copies(spark):
+    from barspan.llm.op4_mixing import schedule
+
+    got = schedule(spark.createDataFrame(corpus(), SCHEMA)).collect()
+    late = [r for r in got if r.finish > 1 and r.stream_start is not None]
+    assert len(late) <= len({r.source for r in got}) and all(0 < r.words < r["size"] for r in late)
+    assert all(r.words == 0 for r in got if r.stream_start is None)
+
+
 def test_empty_and_blank_tables(spark):
     assert taken(spark.createDataFrame([], SCHEMA)).count() == 0
     assert taken(spark.createDataFrame([(1, None, None, None, None), (2, " ", "x", "s", 1)], SCHEMA)).select("taken").distinct().collect() == [(0,)]
