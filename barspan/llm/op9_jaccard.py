@@ -317,7 +317,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
     need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     rids = classes.join(need, "cls").select("rid").distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).withColumn("rid", _rid())
-    arrays = written(_arrays(texts.join(rids, "rid"), k), "sets")
+    arrays = written(_arrays(texts.join(rids, "rid").dropDuplicates(["rid"]), k), "sets")  # rows alike in id and text once
 
     def run(batches):
         for b in batches:

@@ -104,3 +104,22 @@ def test_linked_sets_share_a_tile_and_unlinked_ones_hardly():
             mine = np.unique(rnd.integers(0, 2**64, len(a) + 20, dtype=np.uint64))
             shared += bool(set(tile_keys(mine, num, den).tolist()) & set(tile_keys(other, num, den).tolist()))
         assert shared < 150
+
+
+def test_repeated_rows_are_read_once(spark, monkeypatch):
+    import barspan.llm.op9_jaccard as op
+
+    counts, write = [], op.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "sets":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(op, "written", counted)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(None, " ".join(words))] * 30 + [(None, " ".join([*words, "x"]))] * 30 + [(1, " ".join([*words, "x", "y"]))]
+    got = op.jaccard_components(spark.createDataFrame(rows, SCHEMA), 3, 90, 100).collect()
+    assert len(got) == 61 and {r.component_id for r in got} == {1}
+    assert max(counts) <= 3
