@@ -18,6 +18,7 @@ from barspan.llm import (
     op8_neural_partitions,
     op9_jaccard,
     op10_decontamination,
+    op13_token_alignment,
 )
 from barspan.llm.common import table
 
@@ -174,3 +175,8 @@ def op9(spark, sf_dir):
 @query("op10_template_leaks")
 def op10(spark, sf_dir):
     return op10_decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+@query("op13_token_alignment")
+def op13(spark, sf_dir):
+    return op13_token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
