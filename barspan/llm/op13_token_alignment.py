@@ -7,11 +7,12 @@ with a character. Tokens that share a character, the pieces of a multi-byte char
 fallback, get their ends from their decoded bytes. Where tokens of both end, a group ends; an A and a
 B token whose bytes overlap are linked.
 
-Both tokenizers are blind across a white-space cut: A's pattern starts anew at the first white space
-after another character, and no piece of B holds a space after a letter or a line break. So a text is
-cut before each space or line break that follows a character that is no white space, and every
-distinct part of an Arrow batch is aligned once, many parts joined into one call. If B's vocabulary
-breaks that rule, whole texts are the parts.
+Both tokenizers are blind across some cuts: A's pattern starts anew at the first white space after
+another character and at the first punctuation after a letter, and no piece of B holds a space or line
+break after another character, nor punctuation after a Latin letter. So a text is cut before each space
+or line break that follows a character that is no white space, and before each ASCII punctuation that
+follows a Latin letter; every distinct part of a task is aligned once, many parts joined into one call.
+If B's vocabulary breaks the rule, whole texts are the parts.
 
 Steps: (1) parts, alignment and the parts of each document, written to the shared folder as bundles;
 (2) links counted per bundle, then summed per id pair over the corpus; (3) the sums go back to the
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +41,22 @@ from pyspark.sql import functions as F
 from barspan.llm.common import written
 from barspan.llm.textops import tidy
 
-#: Bytes joined into one call of a tokenizer.
-CALL_BYTES = 1 << 16
+#: Characters joined into one call of a tokenizer; both slow down on longer texts.
+CALL_BYTES = 1 << 12
+#: Aligned parts that a task keeps for its next batches (about 300 bytes each); beyond that it starts anew.
+KEPT_PARTS = 600_000
 #: Sums of more id pairs than this are joined instead of sent to every worker (16 bytes a pair).
 BROADCAST_PAIRS = 2_000_000
 #: Rows of one pair that meet in one task, in the joined form; more if else over ``HOT_PAIRS`` pairs had several copies.
 PER_SALT = 50_000
 HOT_PAIRS = 1_000_000
 
+_PUNCTUATION = np.zeros(256, dtype=bool)
+_PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: A piece that spans a cut between a Latin letter and ASCII punctuation.
+_SPANS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][!-/:-@\[-`{-~]")
 _ASCII_SPACE = np.zeros(256, dtype=bool)
 _ASCII_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 
@@ -99,7 +109,7 @@ class Aligner:
             not stages.get("normalizer")
             and split.get("type") == "ByteLevel"
             and split.get("use_regex", True)
-            and not any("▁" in p.lstrip("▁") or "\n" in p or " " in p for p in b_names)
+            and not any("▁" in p.lstrip("▁") or "\n" in p or " " in p or _SPANS.search(p) for i, p in enumerate(b_names) if not self.b.is_control(i) and not self.b.is_unknown(i) and not self.b.is_byte(i))
         )
         #: Ids as text with what follows them in the digest.
         self._text = {c: [f"{i}{c}" for i in range(max(len(names), len(b_names)))] for c in ",|;"}
@@ -111,21 +121,26 @@ class Aligner:
             return np.unique(begins)
         at = np.flatnonzero((raw == 0x20) | (raw == 0x0A))
         at = at[at > 0]
-        one = raw[at - 1].astype(np.int64)
-        wide = one >= 0x80
-        two = (raw[np.maximum(at - 2, 0)].astype(np.int64) << 8) | one
-        three = (raw[np.maximum(at - 3, 0)].astype(np.int64) << 16) | two
-        space = _ASCII_SPACE[one] | (wide & np.isin(two, [0xC285, 0xC2A0]))
-        space |= wide & (np.isin(three, [0xE19A80, 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080]) | ((three >= 0xE28080) & (three <= 0xE2808A)))
-        return np.union1d(at[~space], begins)
-
-    def _ends(self, coarse: np.ndarray, shared: np.ndarray, spelt: Spelling, ids: np.ndarray, size: int) -> np.ndarray:
+        space = _ASCII_SPACE[raw[at - 1]]
+        wide = np.flatnonzero(raw[at - 1] >= 0x80)
+        if len(wide):
+            one, two, three = (raw[np.maximum(at[wide] - k, 0)].astype(np.int64) for k in (1, 2, 3))
+            two = (two << 8) | one
+            three = (three << 16) | two
+            space[wide] = np.isin(two, [0xC285, 0xC2A0]) | np.isin(three, [0xE19A80, 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080]) | ((three >= 0xE28080) & (three <= 0xE2808A))
+        starts = np.zeros(len(raw) + 1, bool)
+        starts[at[~space]] = True
+        latin = _LETTER[raw]
+        latin[1:] |= (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        starts[1:-1] |= _PUNCTUATION[raw[1:]] & latin[:-1]
+        starts[begins] = True
+        return np.flatnonzero(starts[:-1])
+
+    def _ends(self, coarse: np.ndarray, shared: np.ndarray | None, spelt: Spelling, ids: np.ndarray, size: int) -> np.ndarray:
         """Byte ends: the coarse ones, but from decoded bytes within a shared character."""
-        ends = coarse.copy()
-        if shared.any():
-            exact = np.cumsum(spelt.length[ids])
-            run = np.flatnonzero(shared)
-            ends[run] = exact[run]
+        ends = coarse
+        if shared is not None and shared.any():
+            ends = np.where(shared, np.cumsum(spelt.length[ids]), coarse)
         return ends if not len(ends) or ends[-1] == size else np.cumsum(spelt.length[ids])
 
     def _read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,29 +148,26 @@ class Aligner:
         raw = np.frombuffer(text.encode(), np.uint8)
         e = self.a.encode(text, add_special_tokens=False)
         a = np.array(e.ids, np.int64)
-        char_end = np.array(e.offsets, np.int64).reshape(-1, 2)
-        if len(raw) == len(text):
-            place = char_end
+        if len(raw) == len(text):  # one byte a character: no token shares one
+            a_end = self._ends(np.array([o[1] for o in e.offsets], np.int64), None, self.a_spelt, a, len(raw))
         else:
             points = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-            place = points[char_end]
-        shared = np.zeros(len(a), bool)
-        shared[:-1] = place[1:, 0] < place[:-1, 1]
-        a_end = self._ends(place[:, 1], shared, self.a_spelt, a, len(raw))
+            place = points[np.array(e.offsets, np.int64).reshape(-1, 2)]
+            shared = np.append(place[1:, 0] < place[:-1, 1], False)
+            a_end = self._ends(place[:, 1], shared, self.a_spelt, a, len(raw))
         pieces = self.b.encode(text[1:], return_type="proto").pieces
         b = np.array([p.id for p in pieces], np.int64)
         stop = np.array([p.end for p in pieces], np.int64) + 1  # the space in front
         # the pieces of a byte fallback end where their character begins, or share its end
         byte = self.b_spelt.length[b] == 1
-        shared = np.zeros(len(b), bool)
-        shared[:-1] = byte[:-1] & ((stop[:-1] == stop[1:]) | (np.diff(stop) != self.b_spelt.length[b[1:]]))
+        shared = np.append(byte[:-1] & ((stop[:-1] == stop[1:]) | (np.diff(stop) != self.b_spelt.length[b[1:]])), False)[: len(b)]
         b_end = self._ends(stop, shared, self.b_spelt, b, len(raw))
         return raw, a, a_end, b, b_end
 
     def align(self, texts: list[str]) -> dict:
         """Per text: counts, digest text and links; ``ok`` where both spellings equal the text.
 
-        Each text begins with a space, or is a part that may begin with a line break.
+        Each text begins with a space, or is a part of a text (``parts``).
         """
         calls: list[list[int]] = []
         size, now = 0, []
@@ -192,21 +204,29 @@ class Aligner:
 
     def _call(self, texts: list[str]) -> dict | None:
         """Several texts in one call; None unless both spellings equal them and cut between them."""
-        lead = " x" if self.cuts else ""  # B drops the space it puts in front of nothing
-        bounds = np.cumsum([len(lead)] + [len(t.encode()) for t in texts])
-        raw, a, a_end, b, b_end = self._read(lead + "".join(texts))
+        parts, real = [], []
+        for t in texts:  # B drops the space it puts in front of nothing, and punctuation follows a letter
+            if self.cuts and (not parts or t[0] not in " \n"):
+                parts.append(" x")
+                real.append(False)
+            parts.append(t)
+            real.append(True)
+        bounds = np.cumsum([0] + [len(t.encode()) for t in parts])
+        raw, a, a_end, b, b_end = self._read("".join(parts))
         for ids, ends, spelt in ((a, a_end, self.a_spelt), (b, b_end, self.b_spelt)):
             got = spelt.join(ids)
-            if not np.array_equal(got, raw) or not np.isin(bounds, np.append(0, ends)).all():
+            if not np.array_equal(got, raw) or not np.array_equal(ends[np.searchsorted(ends, bounds[1:])], bounds[1:]):
                 return None
-        return self._links(a, a_end, b, b_end, bounds)
+        one = self._links(a, a_end, b, b_end, bounds)
+        keep = np.array(real)
+        one["links"] = one["links"][np.repeat(keep, one["n_links"])]
+        one["digest"] = [d for d, r in zip(one["digest"], real) if r]
+        return {k: v[keep] if k in ("n_a", "n_b", "n_groups", "n_links") else v for k, v in one.items()}
 
     def _links(self, a, a_end, b, b_end, bounds) -> dict:
         """Groups and links of one call, by part; parts begin and end where tokens of both do."""
-        skip_a, skip_b = np.searchsorted(a_end, bounds[0], side="right"), np.searchsorted(b_end, bounds[0], side="right")
-        a, a_end, b, b_end = a[skip_a:], a_end[skip_a:], b[skip_b:], b_end[skip_b:]
-        a_begin, b_begin = np.append(bounds[0], a_end)[:-1], np.append(bounds[0], b_end)[:-1]
-        cut = np.intersect1d(a_end, b_end)
+        a_begin, b_begin = np.append(0, a_end)[:-1], np.append(0, b_end)[:-1]
+        cut = a_end[b_end[np.searchsorted(b_end, a_end)] == a_end]  # both end with the text
         a_group, b_group = np.searchsorted(cut, a_end), np.searchsorted(cut, b_end)
         # B tokens that overlap an A token stand side by side
         first = np.searchsorted(b_end, a_begin, side="right")
@@ -237,6 +257,37 @@ class Aligner:
         }
 
 
+class Kept:
+    """Aligned parts of a task, in flat arrays: the place of a part, its counts, digest and links."""
+
+    def __init__(self, aligner: Aligner):
+        self._aligner = aligner
+        self._clear()
+
+    def _clear(self) -> None:
+        self._place: dict[str, int] = {}
+        self._numbers = {k: np.zeros(0, np.int64) for k in ("ok", "n_a", "n_b", "n_groups", "n_links")}
+        self._digest: list[str] = []
+        self._links = np.zeros(0, np.int64)
+
+    def align(self, texts: list[str]) -> dict:
+        if len(self._place) > KEPT_PARTS:
+            self._clear()
+        new = [t for t in texts if t not in self._place]
+        if new:
+            got = self._aligner.align(new)
+            self._place.update(zip(new, range(len(self._digest), len(self._digest) + len(new))))
+            self._numbers = {k: np.concatenate([v, got[k]]) for k, v in self._numbers.items()}
+            self._digest += got["digest"]
+            self._links = np.concatenate([self._links, got["links"]])
+        at = np.fromiter(map(self._place.__getitem__, texts), np.int64, len(texts))
+        out = {k: v[at] for k, v in self._numbers.items()}
+        n = out["n_links"]
+        first = (np.cumsum(self._numbers["n_links"]) - self._numbers["n_links"])[at]
+        links = self._links[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return {**out, "digest": [self._digest[i] for i in at.tolist()], "links": links}
+
+
 def _spread(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive ends."""
     total = np.append(0, np.cumsum(values))[np.append(0, ends)]
@@ -251,6 +302,7 @@ def _bundles(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches):
         aligner = Aligner(a_path, b_path)
+        kept = Kept(aligner)
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string()).fill_null("")
             empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -262,9 +314,9 @@ def _bundles(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 spans = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(raw)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
                 coded = spans.dictionary_encode()
                 part = coded.indices.to_numpy().astype(np.int64)
-                got = aligner.align(coded.dictionary.to_pylist())
+                got = kept.align(coded.dictionary.to_pylist())
                 doc_end = np.searchsorted(begins, offsets[1:])
-                bad = (_spread(~got["ok"][part], doc_end) > 0) | empty
+                bad = (_spread(got["ok"][part] == 0, doc_end) > 0) | empty
                 digest, sha = got["digest"], []
                 numbers, begin = part.tolist(), 0
                 for end, skip in zip(doc_end.tolist(), bad.tolist()):
