@@ -28,6 +28,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -63,7 +64,7 @@ _ASCII_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 BUNDLE = (
     "doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
-    "doc_end array<int>, part array<int>, link_end array<int>, link array<long>"
+    "doc_end array<int>, part array<int>, link_end array<int>, link array<int>, pair array<long>, pair_n array<long>"
 )
 
 
@@ -89,6 +90,8 @@ class Spelling:
 
 
 class Aligner:
+    """Both tokenizers and the bytes of their ids."""
+
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -257,6 +260,12 @@ class Aligner:
         }
 
 
+@functools.lru_cache(1)
+def loaded(a_path: str, b_path: str) -> Aligner:
+    """One per worker process: loading takes about a second."""
+    return Aligner(a_path, b_path)
+
+
 class Kept:
     """Aligned parts of a task, in flat arrays: the place of a part, its counts, digest and links."""
 
@@ -297,11 +306,11 @@ def _spread(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _bundles(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     schema = pa.schema(
         [(n, pa.list_(t)) for n, t in [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
-         ("groups_sha256", pa.string()), ("doc_end", pa.int32()), ("part", pa.int32()), ("link_end", pa.int32()), ("link", pa.int64())]]
+         ("groups_sha256", pa.string()), ("doc_end", pa.int32()), ("part", pa.int32()), ("link_end", pa.int32()), ("link", pa.int32()), ("pair", pa.int64()), ("pair_n", pa.int64())]]
     )
 
     def run(batches):
-        aligner = Aligner(a_path, b_path)
+        aligner = loaded(a_path, b_path)
         kept = Kept(aligner)
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string()).fill_null("")
@@ -325,7 +334,10 @@ def _bundles(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 used = np.repeat(~bad, np.diff(np.append(0, doc_end)))
                 sums = [np.where(bad, 0, _spread(got[k][part], doc_end)) for k in ("n_a", "n_b", "n_groups", "n_links")]
                 kept_end = np.cumsum(_spread(used, doc_end))
-                row = [batch.column("doc_id"), *sums, sha, kept_end.astype(np.int32), part[used].astype(np.int32), np.cumsum(got["n_links"]).astype(np.int32), got["links"]]
+                row = [batch.column("doc_id"), *sums, sha, kept_end.astype(np.int32), part[used].astype(np.int32), np.cumsum(got["n_links"]).astype(np.int32)]
+                pairs, link = np.unique(got["links"], return_inverse=True)
+                times = np.repeat(np.bincount(part[used], minlength=len(got["n_links"])), got["n_links"])
+                row += [link.astype(np.int32), pairs, np.bincount(link, weights=times, minlength=len(pairs)).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, f.type.value_type) if not isinstance(v, pa.Array) else v) for v, f in zip(row, schema)], schema=schema
                 )
@@ -344,23 +356,9 @@ def _rows(batches):
             }
 
 
-def _bundle_links(b: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct links, times) over the documents of a bundle."""
-    times = np.repeat(np.bincount(b["part"], minlength=len(b["link_end"])), np.diff(np.append(0, b["link_end"])))
-    pairs, back = np.unique(b["link"], return_inverse=True)
-    total = np.bincount(back, weights=times, minlength=len(pairs)).astype(np.int64)
-    return pairs[total > 0], total[total > 0]
-
-
 def pair_counts(bundles: DataFrame) -> DataFrame:
     """(pair, n, top): links of each id pair over the corpus, and whether none of its B id has more."""
-
-    def run(batches):
-        for b in _rows(batches):
-            pairs, n = _bundle_links(b)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
-
-    per = bundles.select("doc_end", "part", "link_end", "link").mapInArrow(tidy(run), "pair long, n long")
+    per = bundles.select(F.explode(F.arrays_zip("pair", "pair_n")).alias("x")).select("x.pair", F.col("x.pair_n").alias("n")).where("n > 0")
     sums = written(per.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     b_id = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
     top = sums.groupBy(b_id.alias("b")).agg(F.max("n").alias("most"))
@@ -378,16 +376,17 @@ def _with_table(bundles: DataFrame, sums: DataFrame) -> DataFrame:
     def run(batches):
         keys, n, top = held.value
         for b in _rows(batches):
-            at = np.searchsorted(keys, b["link"])
+            at = np.searchsorted(keys, b["pair"])
             at[at == len(keys)] = 0
-            known = keys[at] == b["link"] if len(keys) else np.zeros(len(at), bool)  # links of failed texts alone have no sum
-            weight = _spread(np.where(known, n[at], 0) if len(keys) else at, b["link_end"])
-            best = _spread((known & top[at]) if len(keys) else known, b["link_end"])
+            known = keys[at] == b["pair"] if len(keys) else np.zeros(len(at), bool)  # links of failed texts alone have no sum
+            weight, best = np.zeros((2, len(at)), np.int64)
+            weight[known], best[known] = n[at[known]], top[at[known]]
+            weight, best = (_spread(v[b["link"]], b["link_end"]) for v in (weight, best))
             cols = [b["doc_id"], *[pa.array(b[k]) for k in ("n_a", "n_b", "n_groups", "n_links")]]
             cols += [pa.array(_spread(v[b["part"]], b["doc_end"])) for v in (best, weight)] + [b["groups_sha256"]]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    return bundles.mapInArrow(tidy(run), RESULT)
+    return bundles.drop("pair_n").mapInArrow(tidy(run), RESULT)
 
 
 def _with_join(bundles: DataFrame, sums: DataFrame, per_salt: int) -> DataFrame:
@@ -405,10 +404,10 @@ def _with_join(bundles: DataFrame, sums: DataFrame, per_salt: int) -> DataFrame:
                     part = b["part"][s:t]
                     n = size[part]
                     at = np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    pairs, times = np.unique(b["link"][at], return_counts=True)
+                    pairs, times = np.unique(b["pair"][b["link"][at]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([key] * len(pairs), pa.string()), pa.array(np.full(len(pairs), d, np.int32)), pa.array(pairs), pa.array(times)], ["bundle", "place", "pair", "times"])
 
-    links = written(keyed.select("bundle", "doc_end", "part", "link_end", "link").mapInArrow(tidy(explode), "bundle string, place int, pair long, times long"), "doc-links")
+    links = written(keyed.select("bundle", "doc_end", "part", "link_end", "link", "pair").mapInArrow(tidy(explode), "bundle string, place int, pair long, times long"), "doc-links")
     held = links.groupBy("pair").agg(F.count(F.lit(1)).alias("docs"))
     salts = F.ceil(F.col("docs") / F.lit(max(per_salt, links.count() // HOT_PAIRS + 1))).cast("int")
     table = sums.join(held, "pair").withColumn("salts", salts)
