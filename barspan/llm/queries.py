@@ -18,6 +18,7 @@ from barspan.llm import (
     op8_neural_partitions,
     op9_jaccard,
     op10_decontamination,
+    op12_whitening,
     op13_token_alignment,
 )
 from barspan.llm.common import table
@@ -177,6 +178,11 @@ def op10(spark, sf_dir):
     return op10_decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+@query("op12_whitening")
+def op12(spark, sf_dir):
+    return op12_whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
 @query("op13_token_alignment")
 def op13(spark, sf_dir):
     return op13_token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
