@@ -18,6 +18,7 @@ from barspan.llm import (
     op8_neural_partitions,
     op9_jaccard,
     op10_decontamination,
+    op11_html_main_text,
     op12_whitening,
     op13_token_alignment,
 )
@@ -178,6 +179,11 @@ def op10(spark, sf_dir):
     return op10_decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+@query("op11_html_main_text")
+def op11(spark, sf_dir):
+    return op11_html_main_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op12_whitening")
 def op12(spark, sf_dir):
     return op12_whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
