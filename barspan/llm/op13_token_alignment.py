@@ -40,12 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barspan.llm.common import written
-from barspan.llm.textops import tidy
+from barspan.llm.textops import give_back, tidy
 
 #: Characters joined into one call of a tokenizer; both slow down on longer texts.
 CALL_BYTES = 1 << 12
 #: Aligned parts that a task keeps for its next batches (about 300 bytes each); beyond that it starts anew.
-KEPT_PARTS = 600_000
+KEPT_PARTS = 200_000
+#: Bytes of text of one bundle; a longer document is a bundle of its own.
+BUNDLE_BYTES = 4 << 20
 #: Sums of more id pairs than this are joined instead of sent to every worker (16 bytes a pair).
 BROADCAST_PAIRS = 2_000_000
 #: Rows of one pair that meet in one task, in the joined form; more if else over ``HOT_PAIRS`` pairs had several copies.
@@ -270,7 +272,7 @@ class Kept:
     """Aligned parts of a task, in flat arrays: the place of a part, its counts, digest and links."""
 
     def __init__(self, aligner: Aligner):
-        self._aligner = aligner
+        self.aligner = aligner
         self._clear()
 
     def _clear(self) -> None:
@@ -284,7 +286,7 @@ class Kept:
             self._clear()
         new = [t for t in texts if t not in self._place]
         if new:
-            got = self._aligner.align(new)
+            got = self.aligner.align(new)
             self._place.update(zip(new, range(len(self._digest), len(self._digest) + len(new))))
             self._numbers = {k: np.concatenate([v, got[k]]) for k, v in self._numbers.items()}
             self._digest += got["digest"]
@@ -309,38 +311,45 @@ def _bundles(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
          ("groups_sha256", pa.string()), ("doc_end", pa.int32()), ("part", pa.int32()), ("link_end", pa.int32()), ("link", pa.int32()), ("pair", pa.int64()), ("pair_n", pa.int64())]]
     )
 
+    def bundle(kept, ids, empty, raw, offsets):
+        begins = kept.aligner.parts(raw, offsets)
+        spans = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(raw)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
+        coded = spans.dictionary_encode()
+        part = coded.indices.to_numpy().astype(np.int64)
+        got = kept.align(coded.dictionary.to_pylist())
+        doc_end = np.searchsorted(begins, offsets[1:])
+        bad = (_spread(got["ok"][part] == 0, doc_end) > 0) | empty
+        digest, sha, begin = got["digest"], [], 0
+        for end, skip in zip(doc_end.tolist(), bad.tolist()):
+            sha.append("" if skip else hashlib.sha256("".join([digest[p] for p in part[begin:end].tolist()])[:-1].encode()).hexdigest())
+            begin = end
+        used = np.repeat(~bad, np.diff(np.append(0, doc_end)))
+        sums = [np.where(bad, 0, _spread(got[k][part], doc_end)) for k in ("n_a", "n_b", "n_groups", "n_links")]
+        kept_end = np.cumsum(_spread(used, doc_end))
+        row = [ids, *sums, sha, kept_end.astype(np.int32), part[used].astype(np.int32), np.cumsum(got["n_links"]).astype(np.int32)]
+        pairs, link = np.unique(got["links"], return_inverse=True)
+        times = np.repeat(np.bincount(part[used], minlength=len(got["n_links"])), got["n_links"])
+        row += [link.astype(np.int32), pairs, np.bincount(link, weights=times, minlength=len(pairs)).astype(np.int64)]
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, f.type.value_type) if not isinstance(v, pa.Array) else v) for v, f in zip(row, schema)], schema=schema
+        )
+
     def run(batches):
-        aligner = loaded(a_path, b_path)
-        kept = Kept(aligner)
+        kept = Kept(loaded(a_path, b_path))
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string()).fill_null("")
             empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             texts = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
-            if len(texts):
-                n, (_, offs, data) = len(texts), texts.buffers()
-                offsets, raw = np.frombuffer(offs, np.int64, n + 1), np.frombuffer(data, np.uint8)
-                begins = aligner.parts(raw, offsets)
-                spans = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(raw)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
-                coded = spans.dictionary_encode()
-                part = coded.indices.to_numpy().astype(np.int64)
-                got = kept.align(coded.dictionary.to_pylist())
-                doc_end = np.searchsorted(begins, offsets[1:])
-                bad = (_spread(got["ok"][part] == 0, doc_end) > 0) | empty
-                digest, sha = got["digest"], []
-                numbers, begin = part.tolist(), 0
-                for end, skip in zip(doc_end.tolist(), bad.tolist()):
-                    sha.append("" if skip else hashlib.sha256("".join([digest[p] for p in numbers[begin:end]])[:-1].encode()).hexdigest())
-                    begin = end
-                used = np.repeat(~bad, np.diff(np.append(0, doc_end)))
-                sums = [np.where(bad, 0, _spread(got[k][part], doc_end)) for k in ("n_a", "n_b", "n_groups", "n_links")]
-                kept_end = np.cumsum(_spread(used, doc_end))
-                row = [batch.column("doc_id"), *sums, sha, kept_end.astype(np.int32), part[used].astype(np.int32), np.cumsum(got["n_links"]).astype(np.int32)]
-                pairs, link = np.unique(got["links"], return_inverse=True)
-                times = np.repeat(np.bincount(part[used], minlength=len(got["n_links"])), got["n_links"])
-                row += [link.astype(np.int32), pairs, np.bincount(link, weights=times, minlength=len(pairs)).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, f.type.value_type) if not isinstance(v, pa.Array) else v) for v, f in zip(row, schema)], schema=schema
-                )
+            n, (_, offs, data) = len(texts), texts.buffers()
+            if not n:
+                continue
+            offsets, raw = np.frombuffer(offs, np.int64, n + 1), np.frombuffer(data, np.uint8)
+            at = 0
+            while at < n:
+                to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + BUNDLE_BYTES, side="right")) - 1))
+                yield bundle(kept, batch.column("doc_id").slice(at, to - at), empty[at:to], raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+                at = to
+                give_back()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return written(src.mapInArrow(tidy(run), BUNDLE), "aligned")
