@@ -104,7 +104,8 @@ def scan(docs: DataFrame, ledger_path: str, version: str | None = None) -> DataF
     texts = docs.select(_text().alias("text")).withColumn("blob", F.sha2("text", 256)).select("blob", "text")
     fresh = texts.dropDuplicates(["blob"]).join(seen, "blob", "left_anti").select("blob", "text")
     _scanned(fresh, version).write.mode("append").parquet(ledger_path)
-    found = read_ledger(spark, ledger_path).where(F.col("rule_version") == version).select("blob", "findings")
+    # two writers, or a retried append, may leave a blob twice: its findings are the same
+    found = read_ledger(spark, ledger_path).where(F.col("rule_version") == version).select("blob", "findings").dropDuplicates(["blob"])
     paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(_text(), 256).alias("blob"))
     return paths.join(found, "blob")
 

@@ -56,3 +56,13 @@ def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     assert op.read_ledger(spark, path).groupBy("rule_version").count().count() == 2
     assert op.read_ledger(spark, path).count() == 5
     assert op.scan(spark.createDataFrame([], DOC), path).count() == 0
+
+
+def test_a_blob_that_stands_twice_in_the_ledger_counts_once(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "token=abcdef", ""), (2, "a", "")], DOC)
+    op.scan(docs, path)
+    op.read_ledger(spark, path).limit(9).write.mode("append").parquet(path + "-copy")
+    spark.read.parquet(path + "-copy").write.mode("append").parquet(path)  # as a second writer leaves it
+    assert op.read_ledger(spark, path).count() == 4
+    assert sorted((r.doc_id, len(r.findings)) for r in op.scan(docs, path).collect()) == [(1, 1), (2, 0)]
