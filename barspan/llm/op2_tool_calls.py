@@ -216,7 +216,7 @@ SCHEMAS: Schemas = {
     "answer": {
         "properties": {
             "after": {"type": "string"},
-            "text": {"type": "string", "minLength": 1, "maxLength": 1000},
+            "text": {"type": "string", "minLength": 1},
             "turn": {"type": "integer", "minimum": 0},
         },
         "required": ["text", "turn"],

@@ -64,7 +64,7 @@ answers AS (
 linked AS (
     SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, c.turn, c.arguments, a.result, a.result_turn,
         list_filter([
-            CASE WHEN length(c.text) < 1 OR length(c.text) > 1000 THEN 'range:text' END,
+            CASE WHEN length(c.text) < 1 THEN 'range:text' END,
             CASE WHEN c.turn >= 2 AND p.call_id IS NULL THEN 'unknown_reference' END,
             CASE WHEN c.call_id IS NOT NULL AND a.answered IS NULL THEN 'no_result' END,
             CASE WHEN c.call_id IS NULL THEN 'orphan_result' END], lambda x: x IS NOT NULL) AS problems
@@ -165,13 +165,13 @@ reach AS (
     SELECT doc_id, doc_id AS to_id FROM words
     UNION
     SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.to_id)
-SELECT r.doc_id, CAST(coalesce(any_value(s.n), 0) AS INTEGER) AS n_shingles, min(r.to_id) AS component_id
+SELECT r.doc_id, CAST(coalesce(any_value(s.n), 0) AS BIGINT) AS n_shingles, min(r.to_id) AS component_id
 FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
 """,
 )
 def op9(spark, sf_dir):
     got = op9_jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
-    return got.select("doc_id", "n_shingles", "component_id")
+    return got.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
 @query("op10_template_leaks")

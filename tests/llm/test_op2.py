@@ -82,3 +82,13 @@ def test_canonical_json(spark):
 
 def test_empty_tables(spark):
     assert run(spark, [], []).count() == 0
+
+
+def test_long_turns_have_a_record(spark):
+    from barspan.llm.op2_tool_calls import SCHEMAS as PLAIN
+    from barspan.llm.op2_tool_calls import calls_of
+
+    text = "word " * 200_000
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    row = link(*calls_of(turns), PLAIN, references=["after"]).first()
+    assert row.problems == [] and json.loads(row.record)["arguments"]["text"] == text == json.loads(row.record)["result"]

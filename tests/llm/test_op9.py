@@ -123,3 +123,10 @@ def test_repeated_rows_are_read_once(spark, monkeypatch):
     got = op.jaccard_components(spark.createDataFrame(rows, SCHEMA), 3, 90, 100).collect()
     assert len(got) == 61 and {r.component_id for r in got} == {1}
     assert max(counts) <= 3
+
+
+def test_registered_query_counts_in_longs(spark, sf_dir):
+    from barspan.llm.queries import QUERIES
+
+    got = QUERIES["op9_jaccard_components"](spark, sf_dir)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"}
