@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspan.functions.frames import safe_corr
-from barspan.functions.ranks import average_ranks, group_quantile, row_order, value_positions
+from barspan.functions.ranks import average_rank, average_ranks, long_form, position_quantile, positioned, row_order
 from barspan.functions.scalars import finite
 from barspan.operators.clean import safe_features
 from barspan.operators.tables import top_rows
@@ -176,12 +176,10 @@ def boundary_summary(df: DataFrame, boundary, tail: int = 5) -> DataFrame:
 # -- scaling and assembly -----------------------------------------------------------
 def impute_train_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fill with the training median; a column without training values gets 0."""
-    train = df.where("split = 'train'").withColumn("_all", F.lit(1))
-    fills = {}
-    for c in columns:
-        median = group_quantile(train, ["_all"], c, 0.5, "m").select("m").scalar()
-        fills[c] = F.coalesce(F.col(c), median, F.lit(0.0))
-    return df.withColumns(fills)
+    tall = long_form(df.where("split = 'train'"), [], columns)
+    medians = position_quantile(positioned(tall, ["measure"], "value"), ["measure"], "value", 0.5, "m")
+    row = medians.agg(*[F.max(F.when(F.col("measure") == i, F.col("m"))).alias(c) for i, c in enumerate(columns)])
+    return df.withColumns({c: F.coalesce(F.col(c), row.select(c).scalar(), F.lit(0.0)) for c in columns})
 
 
 def scale_on_train(df: DataFrame, columns: list[str], kind: str = "standard") -> DataFrame:
@@ -235,9 +233,9 @@ def classification_metrics(df: DataFrame, threshold: float = 0.5) -> DataFrame:
         F.count(F.when(~hit & y, 1)).alias("fn"),
         F.count(F.when(~hit & ~y, 1)).alias("tn"),
     )
-    pos = value_positions(df.withColumn("_all", F.lit(1)), ["_all"], "probability")
-    mass = df.groupBy("probability").agg(F.sum("label").alias("_p"))
-    rank_sum = pos.join(mass, "probability").agg(F.sum(F.col("_p") * (F.col("less") + (F.col("ties") + 1) / 2)).alias("s"))
+    mass = df.groupBy("probability").agg(F.count(F.lit(1)).alias("_count"), F.sum("label").alias("_p"))
+    placed = positioned(mass, [], "probability", weight="_count")
+    rank_sum = placed.agg(F.sum(F.col("_p") * average_rank()).alias("s"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     p, n = tp + fn, fp + tn
     precision, recall = F.try_divide(tp, tp + fp), F.try_divide(tp, p)

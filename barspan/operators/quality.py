@@ -91,21 +91,56 @@ def inactive_reason(day: Column) -> Column:
     return F.when(day < F.col("list_date"), "PRE_LISTING").when(day >= F.col("delist_date"), "POST_DELISTING")
 
 
-def overlaps(left: DataFrame, right: DataFrame, days: int = 32) -> DataFrame:
-    """Interval-overlap join without a cross product.
+def _pieces(first: Column, last: Column) -> Column:
+    """The fewest dyadic blocks (level, index) of days that make up ``first`` to ``last``: two a level at most."""
+    none = F.array().cast("array<struct<level:int,block:int>>")
+    start = F.struct(first.alias("a"), (last + 1).alias("b"), none.alias("out"))
+
+    def step(acc, level):
+        a, b = acc["a"], acc["b"]
+        odd_a, odd_b = (a < b) & (a % 2 == 1), (a + a % 2 < b) & (b % 2 == 1)
+        low = F.when(odd_a, F.array(F.struct(level.alias("level"), a.alias("block")))).otherwise(none)
+        high = F.when(odd_b, F.array(F.struct(level.alias("level"), (b - 1).alias("block")))).otherwise(none)
+        go = a < b
+        return F.struct(
+            F.when(go, F.shiftright(a + a % 2, 1)).otherwise(a).alias("a"),
+            F.when(go, F.shiftright(b - b % 2, 1)).otherwise(b).alias("b"),
+            F.concat(acc["out"], low, high).alias("out"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS)), start, step, lambda acc: acc["out"])
+
+
+#: Days since the year 1, so that blocks count from 0, fit so many binary digits.
+_EPOCH, _LEVELS = 719_162, 22
 
-    Both sides are cut into day buckets; a pair meets in every shared bucket but is kept
-    only in the first one, so the result is exact and free of duplicates.
+
+def _starts_inside(spans: DataFrame, points: DataFrame, on: list[str], first: Column, last: Column, point: Column) -> DataFrame:
+    """Spans joined with the points from ``first`` to ``last``: one equality join, one match per pair.
+
+    A span is cut into disjoint dyadic blocks and a point names every block above it, up to the largest
+    block any span uses; so a point meets a span exactly once, and only if it lies inside.
     """
+    cut = spans.where(first <= last).withColumn("_p", F.explode(_pieces(first + _EPOCH, last + _EPOCH))).select("*", "_p.level", "_p.block").drop("_p")
+    top = cut.agg(F.coalesce(F.max("level"), F.lit(0)).alias("m")).select("m").scalar()
+    named = points.withColumn("level", F.explode(F.sequence(F.lit(0), top)))
+    named = named.withColumn("block", F.floor((point + _EPOCH) / F.pow(F.lit(2.0), F.col("level"))).cast("int"))
+    return cut.join(named, [*on, "level", "block"]).drop("level", "block")
 
-    def cut(df, side):
-        lo, hi = (F.floor(F.unix_date(f"{side}_{n}") / days) for n in ("start", "end"))
-        return df.withColumns({f"_{side}": lo, "_bucket": F.explode(F.sequence(lo, hi))})
 
-    met = cut(left, "left").join(cut(right, "right"), "_bucket")
-    first = F.col("_bucket") == F.greatest("_left", "_right")
-    touch = (F.col("left_start") <= F.col("right_end")) & (F.col("left_end") >= F.col("right_start"))
-    return met.where(first & touch).drop("_bucket", "_left", "_right")
+def overlaps(left: DataFrame, right: DataFrame, days: int | None = None, on: list[str] | tuple = ()) -> DataFrame:
+    """Interval-overlap join, with equality on ``on``: no pair is formed that is not a result.
+
+    ``days`` was the width of the buckets of an earlier form and has no effect.
+    Two closed intervals overlap either because the right one starts inside the left one, or
+    because the left one starts after the right one's start and inside it; never both.
+    """
+    on = list(on)
+    a, b, c, d = (F.unix_date(n) for n in ("left_start", "left_end", "right_start", "right_end"))
+    sound = F.col("right_start") <= F.col("right_end")
+    one = _starts_inside(left, right.where(sound), on, a, b, c)
+    two = _starts_inside(right, left.where(F.col("left_start") <= F.col("left_end")), on, c + 1, d, a)
+    return one.unionByName(two.select(one.columns))
 
 
 # -- suspensions and attribution ----------------------------------------------------

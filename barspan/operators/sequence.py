@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from barspan.functions.frames import by_code, change, following, last_rows, previous, rolling
-from barspan.functions.ranks import group_quantile, position_quantile, ranked_measures, with_average_rank
+from barspan.functions.ranks import average_rank, position_quantile, positioned, ranked_measures
 from barspan.functions.scalars import finite
 from barspan.operators.technical import _mean_seeded, ema_values, macd_values, rsi_values
+from barspan.session import cut_lineage
 
 EPS = 1e-12
 WINDOWS = (5, 10, 20, 30, 60)
@@ -218,13 +220,55 @@ def trend_family(w: int) -> dict[str, Column]:
     }
 
 
+def _extremes(values: np.ndarray, windows) -> dict[int, np.ndarray]:
+    """Per window length the first place of the largest value among the last rows, for all lengths in one sweep.
+
+    Places of the maximum over 1, 2, 4... rows are doubled; a window is two such blocks that overlap.
+    Rows without a full window keep place -1.
+    """
+    n = len(values)
+    best, out, size = np.arange(n), {}, 1
+    for w in sorted(windows):
+        while 2 * size <= w and n > size:
+            later, earlier = best[size:], best[:-size]
+            best = np.concatenate([best[:size], np.where(values[later] > values[earlier], later, earlier)])
+            size *= 2
+        place = np.full(n, -1, np.int64)
+        if n >= w:
+            late, early = best[w - 1 :], best[size - 1 : n - w + size]
+            place[w - 1 :] = np.where(values[late] > values[early], late, early)
+        out[w] = place
+    return out
+
+
+def _range_group(windows):
+    def per_code(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("trade_date")
+        for column, sign, name in (("high", 1.0, "_mx"), ("low", -1.0, "_mn")):
+            values = rows[column].to_numpy().astype(np.float64)
+            for w, place in _extremes(sign * values, windows).items():
+                known = place >= 0
+                rows = rows.append_column(f"{name}{w}", pa.array(np.where(known, values[place], 0.0), mask=~known))
+                rows = rows.append_column(f"{name}_at{w}", pa.array(place + 1.0, mask=~known))
+        return rows
+
+    return per_code
+
+
+def with_extremes(df: DataFrame, windows) -> DataFrame:
+    """Highest high and lowest low of the last rows with their first places (from 1), for every window length.
+
+    One pass over each instrument's rows, at most one per session.
+    """
+    names = [f"{n}{w}" for n in ("_mx", "_mx_at", "_mn", "_mn_at") for w in windows]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"{n}{e}{w}", T.DoubleType()) for n in ("_mx", "_mn") for w in sorted(windows) for e in ("", "_at")]])
+    return df.groupBy("ts_code").applyInArrow(_range_group(windows), schema).select(*df.columns, *names)
+
+
 def range_family(w: int) -> dict[str, Column]:
-    """Extremes, their first positions, and the place of the close between them."""
-    over, unit, c, n = _framed(w), F.col("close") + EPS, F.col("close"), F.col("_n")
-    top, bottom = over(F.max("high")), over(F.min("low"))
-    # earliest row of the extreme: largest (high, -n), smallest (low, n)
-    at_top = -over(F.max(F.struct("high", (-n).alias("at"))))["at"]
-    at_bottom = over(F.min(F.struct("low", n.alias("at"))))["at"]
+    """Extremes, their first places, and the place of the close between them; needs ``with_extremes``."""
+    unit, c, n = F.col("close") + EPS, F.col("close"), F.col("_n")
+    top, bottom, at_top, at_bottom = (F.col(f"{x}{w}") for x in ("_mx", "_mn", "_mx_at", "_mn_at"))
     first = n - (w - 1)
     return {
         f"MAX{w}": top / unit,
@@ -298,6 +342,8 @@ def features_158(df: DataFrame, families=FAMILIES, windows=WINDOWS) -> DataFrame
     """Candle shapes plus the windowed families; one select per family keeps methods small."""
     keep = df.columns
     out = df.withColumns(candle_shapes()).withColumns(_steps())
+    if range_family in families:
+        out = with_extremes(out, windows)
     names = list(candle_shapes())
     for family in families:
         columns = reduce(lambda a, b: a | b, (family(w) for w in windows))
@@ -353,34 +399,60 @@ def open_to_open_label(df: DataFrame) -> DataFrame:
     )
 
 
-def sequence_windows(df: DataFrame, features: list[str], length: int, minimum: int = 10) -> DataFrame:
-    """One row per instrument-date owning ``length`` finite rows and a finite label.
+def window_index(df: DataFrame, features: list[str], length: int, minimum: int = 10) -> DataFrame:
+    """Which windows there are: one small row per instrument-date that owns ``length`` finite rows and a finite label.
 
     Dates keep only if at least ``minimum`` instruments qualify. Relevance counts down
-    from the best label; two binary labels compare with the date's median and with zero.
+    from the best label; two binary labels compare with the date's median and with zero. A window is named by
+    its last row (``last_row``, from 0 within the instrument), so an index grows with the panel and not with the length.
     """
     w = last_rows(length)
     ok = reduce(lambda a, b: a & b, [finite(c).isNotNull() for c in features])
-    rows = df.withColumn("_ok", F.when(ok, 1).otherwise(0)).withColumns(
-        {
-            "_good": F.sum("_ok").over(w),
-            "window": F.collect_list(F.array(*[F.col(c).cast("float") for c in features])).over(w),
-        }
-    )
-    eligible = rows.where((F.col("_good") == length) & finite("label").isNotNull()).select(*KEY, "label", "window")
+    rows = df.withColumn("_ok", F.when(ok, 1).otherwise(0)).withColumns({"_good": F.sum("_ok").over(w), "last_row": F.row_number().over(by_code()) - 1})
+    eligible = cut_lineage(rows.where((F.col("_good") == length) & finite("label").isNotNull()).select(*KEY, "label", "last_row"), "eligible")
     sizes = eligible.groupBy("trade_date").agg(F.count(F.lit(1)).alias("instruments")).where(F.col("instruments") >= minimum)
-    kept = eligible.join(F.broadcast(sizes), "trade_date")
-    labels = kept.select(*KEY, "label")
-    # a day's labels are ranked without their windows, then joined back on the key
-    ranked = with_average_rank(labels, ["trade_date"], "label", "relevance")
-    median = group_quantile(labels, ["trade_date"], "label", 0.5, "median_label")
-    marks = ranked.join(F.broadcast(median), "trade_date").select(
+    kept = eligible.join(F.broadcast(sizes), "trade_date")  # one row per session
+    pos = positioned(kept, ["trade_date"], "label")
+    median = position_quantile(pos, ["trade_date"], "label", 0.5, "median_label")
+    marked = pos.join(F.broadcast(median), "trade_date")  # one row per session
+    return marked.select(
         *KEY,
-        "relevance",
+        "label",
+        "last_row",
+        "instruments",
+        average_rank().alias("relevance"),
         (F.col("label") > F.col("median_label")).cast("int").alias("above_median"),
         (F.col("label") > 0).cast("int").alias("rises"),
     )
-    return kept.join(marks, KEY)
+
+
+def _gather(features: list[str], length: int, schema: pa.Schema):
+    def per_code(index: pa.Table, panel: pa.Table) -> pa.Table:
+        panel = panel.sort_by("trade_date")
+        values = np.column_stack([panel[c].to_numpy().astype(np.float32) for c in features])
+        rows = index["last_row"].to_numpy()[:, None] + np.arange(1 - length, 1)
+        flat = pa.array(values[rows].ravel())
+        steps = pa.FixedSizeListArray.from_arrays(flat, len(features)).cast(pa.list_(pa.float32()))
+        windows = pa.FixedSizeListArray.from_arrays(steps, length).cast(pa.list_(pa.list_(pa.float32())))
+        return index.append_column("window", windows).select(schema.names)
+
+    return per_code
+
+
+def gather_windows(index: DataFrame, df: DataFrame, features: list[str], length: int) -> DataFrame:
+    """The indexed windows as arrays, cut out of the panel when they are read.
+
+    Panel and index meet per instrument; a window is copied only into the rows that are handed on.
+    """
+    panel = df.select(*KEY, *[F.col(c).cast("float").alias(c) for c in features])
+    out = T.StructType([*index.schema.fields, T.StructField("window", T.ArrayType(T.ArrayType(T.FloatType())))])
+    gather = _gather(features, length, to_arrow_schema(out))
+    return index.groupBy("ts_code").cogroup(panel.groupBy("ts_code")).applyInArrow(gather, out)
+
+
+def sequence_windows(df: DataFrame, features: list[str], length: int, minimum: int = 10) -> DataFrame:
+    """``window_index`` with the windows themselves."""
+    return gather_windows(window_index(df, features, length, minimum), df, features, length).drop("last_row")
 
 
 def common_session_windows(df: DataFrame, features: list[str], length: int) -> DataFrame:

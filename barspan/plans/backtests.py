@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barspan.functions.frames import change, previous
 from barspan.operators import backtest as B
 from barspan.operators import learning as L
-from barspan.operators import models as D
 from barspan.operators import quality as Q
 from barspan.operators.market import forward_label
+from barspan.operators.walkforward import walk_forward_scores, window_coefficients
 from barspan.plans.oracle import R
 from barspan.plans.registry import query, rounded
 from barspan.plans.technical import K, OVER
@@ -153,10 +155,10 @@ _WACC = {
 }
 
 
-def _weighted(t, scores=None):
+def _weighted(t, scores=None, start=1):
     prices = _regions(t)
     sessions = cut_lineage(B.panel_sessions(prices), "sessions")
-    plan = B.rebalance_schedule(sessions, 1, 5, 1, None)
+    plan = B.rebalance_schedule(sessions, start, 5, 1, None)
     scores = prices.withColumn("score", change("close")).select(*K, "score") if scores is None else scores
     strategy, _ = B.cycle_account(prices, sessions, B.score_weighted_picks(scores, plan, 3), plan)
     benchmark, _ = B.cycle_account(prices, sessions, B.pool_picks(prices, plan), plan)
@@ -231,8 +233,8 @@ def _(t):
 
 
 # -- market account -----------------------------------------------------------------
-def _market(bars, calendar, slip):
-    """Nations as instruments: a session without a quote is a proven halt."""
+def _markets(bars, calendar, slips):
+    """Nations as instruments, one copy per slippage: a session without a quote is a proven halt."""
     sessions = cut_lineage(Q.session_ordinals(calendar), "sessions")
     factors = bars.select(*K, (1 + F.floor(F.year("trade_date") - 1995) / 10).alias("adj_factor"))
     lives = bars.groupBy("ts_code").agg(F.min("trade_date").alias("list_date")).withColumn("delist_date", F.lit(None).cast("date"))
@@ -240,7 +242,13 @@ def _market(bars, calendar, slip):
     limits = price_limits(bars).select(
         *K, F.coalesce("up_limit", F.lit(1e9)).alias("up_limit"), F.coalesce("down_limit", F.lit(0.01)).alias("down_limit")
     )
-    return cut_lineage(B.market_days(bars, factors, limits, sessions, halts, slip), "market"), sessions
+    days = [B.market_days(bars, factors, limits, sessions, halts, x).withColumn("slip", F.lit(float(x))) for x in slips]
+    return cut_lineage(reduce(DataFrame.unionByName, days), "market"), sessions
+
+
+def _market(bars, calendar, slip):
+    days, sessions = _markets(bars, calendar, [slip])
+    return days.drop("slip"), sessions
 
 
 _FILLS = {
@@ -266,59 +274,62 @@ def _(t):
     return rounded(days.select(*K, "buy_block", "sell_block", "mark"), 4)
 
 
-def _account(market, bars, fee, top_n=5, zero=False):
-    days, sessions = market
-    scores = bars.select(*K, change("close").alias("score")).where("score IS NOT NULL")
-    if zero:
-        scores = scores.withColumn("score", F.lit(0.0))
-    return B.market_account(days, scores, sessions, top_n=top_n, fee=fee)
+_WALK = ["ret", "range", "place"]
+WINDOW_DAYS, WINDOW_STEP = 365, 5
 
 
-@query("b7_account_equity")
-def _(t):
-    bars = _nations(t)
-    e = _account(_market(bars, t.calendar, 0.001), bars, 0.0003)["equity"]
-    return rounded(e.select("trade_date", F.log("equity").alias("log_equity"), "stale_positions"))
+def _walk(t):
+    """The panel with its features, and the fits of every rebalance over the trailing window."""
+    prices = _regions(t)
+    df = forward_label(prices.withColumn("ret", change("close")))
+    df = df.withColumns({"range": (F.col("high") - F.col("low")) / F.col("close"), "place": (F.col("close") - F.col("low")) / (F.col("high") - F.col("low") + 1e-12)})
+    ready = cut_lineage(df.na.drop(subset=_WALK), "walk")
+    sessions = cut_lineage(B.panel_sessions(prices), "sessions")
+    return ready, cut_lineage(window_coefficients(ready, _WALK, sessions, WINDOW_DAYS, WINDOW_STEP), "fits")
 
 
-@query("b7_account_lots")
-def _(t):
-    bars = _nations(t)
-    lots = _account(_market(bars, t.calendar, 0.001), bars, 0.0003)["lots"]
-    return lots.select("cycle", "ts_code", "entry_date", "exit_date", "ending", "end_ordinal")
+_FITS = {
+    **_SES,
+    "wsam": f"""SELECT b.ts_code, b.trade_date, s.o AS d, t.o AS t, ret AS x1, (high - low) / close AS x2, (close - low) / (high - low + 1e-12::DOUBLE) AS x3, y FROM
+      (SELECT *, lead(close, 5) {OVER} / close - 1 AS y, lead(trade_date, 5) {OVER} AS target FROM rrets) b JOIN rs s USING (trade_date) LEFT JOIN rs t ON t.trade_date = target WHERE ret IS NOT NULL""",
+    "wsig": f"SELECT trade_date, o FROM rs WHERE o >= {WINDOW_DAYS} AND (o - {WINDOW_DAYS}) % {WINDOW_STEP} = 0",
+    "wmom": f"""SELECT wsig.trade_date, wsig.o, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, stddev_pop(x3) AS s3,
+      covar_pop(x1, x2) AS c12, covar_pop(x1, x3) AS c13, covar_pop(x2, x3) AS c23, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, covar_pop(x3, y) AS c3
+      FROM wsig JOIN wsam ON d >= wsig.o - {WINDOW_DAYS} AND d < wsig.o AND wsam.t < wsig.o WHERE y IS NOT NULL GROUP BY 1, 2""",
+    # the scaled system is symmetric with n + 1 on the diagonal: Cramer's rule
+    "wsys": "SELECT *, n + 1.0::DOUBLE AS k, n * c12 / (s1 * s2) AS a, n * c13 / (s1 * s3) AS b, n * c23 / (s2 * s3) AS c, n * c1 / s1 AS u, n * c2 / s2 AS v, n * c3 / s3 AS w FROM wmom",
+    "wdet": """SELECT *, k * (k * k - c * c) - a * (a * k - b * c) + b * (a * c - b * k) AS det, u * (k * k - c * c) - a * (v * k - c * w) + b * (v * c - k * w) AS d1,
+      k * (v * k - c * w) - u * (a * k - b * c) + b * (a * w - b * v) AS d2, k * (k * w - v * c) - a * (a * w - v * b) + u * (a * c - k * b) AS d3 FROM wsys""",
+    "wfit": "SELECT trade_date, o, n, d1 / det / s1 AS w1, d2 / det / s2 AS w2, d3 / det / s3 AS w3, my - d1 / det / s1 * m1 - d2 / det / s2 * m2 - d3 / det / s3 * m3 AS w0 FROM wdet",
+    "wscore": "SELECT ts_code, trade_date, w0 + w1 * x1 + w2 * x2 + w3 * x3 AS score FROM wsam JOIN wfit USING (trade_date)",
+}
 
 
-@query("b8_strategy_and_benchmark")
+@query("b6_window_coefficients", f"SELECT trade_date, n AS rows, {R('w0', 'intercept', 8)}, {R('w1', 'w1')}, {R('w2', 'w2')}, {R('w3', 'w3')} FROM wfit", **_FITS)
 def _(t):
-    bars, out = _nations(t), None
-    markets = {slip: _market(bars, t.calendar, slip) for slip in (0.0, 0.001)}
-    for name, fee, slip in (("gross", 0.0, 0.0), ("fee3", 0.0003, 0.0), ("fee3_slip10", 0.0003, 0.001)):
-        for book, top_n, zero in (("strategy", 5, False), ("benchmark", None, True)):
-            account = _account(markets[slip], bars, fee, top_n, zero)
-            m = B.account_metrics(account).select(
-                F.lit(name).alias("scenario"), F.lit(book).alias("book"), F.log("final_equity").alias("log_final"),
-                "max_drawdown", "lots", "unfilled_buys", "open_positions", "status",
-            )
-            m = cut_lineage(m, "account")
-            out = m if out is None else out.unionByName(m)
-    return rounded(out, 5)
-
-
-@query("b6_walk_forward_account")
+    fits = _walk(t)[1]
+    return rounded(fits.select("trade_date", "rows", "intercept", *[F.get("weights", F.lit(i)).alias(f"w{i + 1}") for i in range(3)]), 6, intercept=8)
+
+
+_WALK_ACCOUNT = {
+    **_FITS,
+    **{k: v for k, v in _WACC.items() if k != "rs"},
+    "plan": f"""SELECT (a.o - {WINDOW_DAYS}) // 5 AS cycle, a.trade_date AS signal_date, b.trade_date AS entry_date, c.trade_date AS exit_date, b.o AS eo, coalesce(c.o - 1, (SELECT m FROM last)) AS xo FROM rs a
+      JOIN rs b ON b.o = a.o + 1 LEFT JOIN rs c ON c.o = a.o + 6 WHERE a.o >= {WINDOW_DAYS} AND (a.o - {WINDOW_DAYS}) % 5 = 0""",
+    "sel": """SELECT cycle, ts_code, score / sum(score) OVER (PARTITION BY cycle) AS w FROM (SELECT cycle, ts_code, score, row_number() OVER (PARTITION BY cycle ORDER BY score DESC, ts_code) AS p FROM wscore JOIN plan ON signal_date = trade_date) WHERE p <= 3 AND score > 0""",
+    "picks": "SELECT 'strategy' AS book, * FROM sel",
+}
+
+
+@query(
+    "b6_walk_forward_account",
+    f"""SELECT scenario, count(*) AS days, {R('ln(arg_max(equity, trade_date))', 'log_final', 5)}, {R('min(dd)', 'max_drawdown', 5)}
+    FROM (SELECT *, equity / max(equity) OVER (PARTITION BY scenario ORDER BY trade_date) - 1 AS dd FROM eq WHERE book = 'strategy') GROUP BY 1""",
+    **_WALK_ACCOUNT,
+)
 def _(t):
-    """Refit each year on earlier, realised rows; score that year; run the weighted account."""
-    df = forward_label(_regions(t).withColumn("ret", change("close")))
-    df = df.withColumns({"range": (F.col("high") - F.col("low")) / F.col("close"), "place": (F.col("close") - F.col("low")) / (F.col("high") - F.col("low") + 1e-12)})
-    features = ["ret", "range", "place"]
-    ready = cut_lineage(df.na.drop(subset=features), "walk")
-    scores = None
-    years = ready.agg(F.min(F.year("trade_date")).alias("a"), F.max(F.year("trade_date")).alias("b")).first()
-    for year in range(years.a + 1, years.b + 1):  # the first year has nothing to learn from
-        first = F.lit(f"{year}-01-01").cast("date")
-        train = ready.where((F.col("label_target_date") < first) & F.col("label").isNotNull())
-        model = D.ridge(features, "label", max(train.count(), 1)).fit(train)
-        part = model.transform(ready.where(F.year("trade_date") == year)).select(*K, F.col("predicted").alias("score"))
-        scores = part if scores is None else scores.unionByName(part)
-    strategy, _ = _weighted(t, scores)
+    """Scores of a fit over the trailing window at every rebalance, traded as the weighted account."""
+    ready, fits = _walk(t)
+    strategy, _ = _weighted(t, walk_forward_scores(ready, fits, _WALK), WINDOW_DAYS)
     m = B.equity_metrics(strategy)
     return rounded(m.select("scenario", "days", F.log("final_equity").alias("log_final"), "max_drawdown"), 5)

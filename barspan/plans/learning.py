@@ -408,6 +408,18 @@ def _(t):
     return L.beats_noise(_importances(t))
 
 
+@query(
+    "m10_split_counts",
+    """SELECT f.name AS feature, CAST(coalesce(n, 0) AS DOUBLE) AS importance FROM (VALUES ('a', 0), ('b', 1), ('c', 2), ('d', 3), ('unused', 4)) f(name, i)
+    LEFT JOIN (SELECT l_partkey % 4 AS i, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1) USING (i)""",
+)
+def _(t):
+    """The lines as the nodes of a forest: an order is a tree, its first three lines are inner nodes."""
+    split = F.struct((F.col("l_partkey") % 4).cast("int").alias("featureIndex"))
+    node = F.struct(F.when(F.col("l_linenumber") <= 3, 2 * F.col("l_linenumber")).otherwise(-1).cast("int").alias("leftChild"), split.alias("split"))
+    return D.split_counts(t.raw("lineitem").select(F.col("l_orderkey").alias("treeID"), node.alias("nodeData")), ["a", "b", "c", "d", "unused"])
+
+
 @query(
     "a27_importance_list",
     "SELECT feature, coalesce(importance, 0) AS importance FROM (SELECT DISTINCT feature FROM imp) LEFT JOIN (SELECT feature, importance FROM imp WHERE task = 'A' AND NOT is_noise) USING (feature)",

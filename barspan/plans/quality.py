@@ -125,6 +125,20 @@ def _(t):
     return Q.overlaps(left, quarters.withColumn("right_end", F.date_add("right_start", 45)))
 
 
+@query(
+    "j7_overlap_by_instrument",
+    """SELECT l.ts_code, l.a AS left_start, l.b AS left_end, r.a AS right_start, r.b AS right_end FROM life l JOIN spells r ON r.ts_code = l.ts_code AND l.a <= r.b AND l.b >= r.a""",
+    life="SELECT ts_code, list_date AS a, coalesce(delist_date, DATE '2100-01-01') AS b FROM master",
+    spells="SELECT ts_code, trade_date AS a, CAST(trade_date + 3 AS DATE) AS b FROM (SELECT DISTINCT ts_code, trade_date FROM suspensions)",
+)
+def _(t):
+    """Halt spells of four days against the instrument's life, which may span a century."""
+    end = F.coalesce("delist_date", F.lit("2100-01-01").cast("date"))
+    life = t.master.select("ts_code", F.col("list_date").alias("left_start"), end.alias("left_end"))
+    spells = t.suspensions.select("ts_code", F.col("trade_date").alias("right_start")).distinct()
+    return Q.overlaps(life, spells.withColumn("right_end", F.date_add("right_start", 3)), on=["ts_code"])
+
+
 # -- attribution --------------------------------------------------------------------
 _HALT = {
     "kinds": "SELECT DISTINCT * FROM suspensions",

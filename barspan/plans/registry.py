@@ -14,7 +14,7 @@ from barspan.sources.adapter import MarketTables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("ingest", "technical", "sequence", "market", "serving", "quality", "learning", "backtests", "streams", "values")
+MODULES = ("ingest", "technical", "sequence", "market", "serving", "quality", "learning", "backtests", "accounts", "streams", "values")
 
 
 def query(name: str, sql: str | None = None, **extra: str):

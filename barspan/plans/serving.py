@@ -200,7 +200,7 @@ def _(t):
 # -- search -------------------------------------------------------------------------
 _FIELDS = ("name", "code", "code_full", "code_flat", "industry", "area")
 _SEARCH = {
-    "qs": """SELECT n_nationkey AS query_id, 1 AS pos, CASE n_nationkey % 4 WHEN 0 THEN 'nation_' || n_nationkey WHEN 1 THEN 'naton_' || n_nationkey WHEN 2 THEN 'suplier#' ELSE '0000' || n_nationkey END AS token FROM nation
+    "qs": """SELECT n_nationkey AS query_id, 1 AS pos, CASE n_nationkey % 4 WHEN 0 THEN 'nation_' || n_nationkey WHEN 1 THEN 'naton_' || n_nationkey WHEN 2 THEN 'suplier#' ELSE CASE WHEN n_nationkey % 8 = 3 THEN 'supplier#00000000' ELSE '0000' || n_nationkey END END AS token FROM nation
       UNION ALL SELECT n_nationkey, 2, left(lower(r_name), 3) || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE right(lower(r_name), 1) END FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "docs": """SELECT ts_code, lower(name) AS name, lower(split_part(ts_code, '.', 1)) AS code, lower(ts_code) AS code_full, lower(replace(ts_code, '.', '')) AS code_flat,
       lower(coalesce(industry, '')) AS industry, lower(region) AS area FROM master""",
@@ -210,7 +210,7 @@ _SEARCH = {
     "scored": r"""SELECT *, length(token) AS n, instr(body, token) - 1 AS pos_at,
       length(regexp_extract(body, array_to_string(list_transform(string_split(token, ''), lambda c: '\Q' || c || '\E'), '.*?'))) - length(token) AS gaps,
       list_min(list_transform(range(1, greatest(length(body), 1) + 1), lambda i: list_min(list_transform(range(greatest(length(token) - 2, 0), length(token) + 3), lambda m: levenshtein(substr(body, i, m), token))))) AS d FROM pairs""",
-    "layers": """SELECT *, floor(weight * CASE WHEN body = '' OR n > 12 THEN 0 WHEN token = body THEN 1000 WHEN pos_at = 0 THEN 800 WHEN pos_at > 0 THEN 600 - least(pos_at, 50)
+    "layers": """SELECT *, floor(weight * CASE WHEN body = '' THEN 0 WHEN token = body THEN 1000 WHEN pos_at = 0 THEN 800 WHEN pos_at > 0 THEN 600 - least(pos_at, 50) WHEN n > 12 THEN 0
       WHEN n >= 2 AND gaps >= 0 AND gaps <= CASE WHEN n >= 3 THEN 3 ELSE 2 END THEN 400 - gaps * 40 WHEN n BETWEEN 2 AND 8 AND d <= 1 THEN 200 WHEN n BETWEEN 6 AND 8 AND d = 2 THEN 100 ELSE 0 END + 0.5) AS s FROM scored""",
     "best": "SELECT query_id, ts_code, pos, max(s) AS s FROM layers GROUP BY 1, 2, 3",
 }
@@ -227,7 +227,7 @@ def _(t):
     n, area = F.col("n_nationkey"), F.lower("r_name")
     first = (
         F.when(n % 4 == 0, F.concat(F.lit("Nation_"), n)).when(n % 4 == 1, F.concat(F.lit("naton_"), n))
-        .when(n % 4 == 2, F.lit("SUPLIER#")).otherwise(F.concat(F.lit("0000"), n))
+        .when(n % 4 == 2, F.lit("ＳＵＰＬＩＥＲ＃")).when(n % 8 == 3, F.lit("Supplier#00000000")).otherwise(F.concat(F.lit("0000"), n))
     )
     second = F.concat(F.substring(area, 1, 3), F.when(n % 2 == 0, F.lit("")).otherwise(F.substring(area, -1, 1)))
     queries = nation.select(n.cast("long").alias("query_id"), F.concat_ws("  ", first, second).alias("text"))

@@ -95,6 +95,20 @@ def _(t):
     )
 
 
+@query(
+    "a15_streaming_counts",
+    """SELECT CASE WHEN error_type = 'JSON_PARSE' THEN 'deserialization' WHEN bad AND k % 8 = 7 THEN 'unsupported_schema'
+    WHEN error_type IS NOT NULL THEN 'validation' ELSE 'success' END AS outcome, count(*) AS records, min("offset") AS first_offset, max("offset") AS last_offset FROM msgs GROUP BY 1""",
+    **_STREAM,
+)
+def _(t):
+    """Two runs over one checkpoint: the counters go on where they stopped."""
+    path, out, checkpoint = _write_messages(t, "counted"), scratch_dir(t.spark, "counters"), scratch_dir(t.spark, "counter-state")
+    for _ in range(2):
+        I.run_counters(_read_stream(t, path), out, checkpoint)
+    return I.counters(t.spark, out)
+
+
 @query(
     "a15_newest_errors",
     "SELECT \"offset\", key, error_type, position FROM (SELECT *, row_number() OVER (PARTITION BY error_type ORDER BY \"offset\" DESC) AS position FROM msgs WHERE error_type IS NOT NULL) WHERE position <= 100",
@@ -162,6 +176,13 @@ def _write_messages(t, name):
     return path
 
 
+def _any_order(t, rows, name):
+    """Files as their tasks finish; the job itself puts the offsets in order."""
+    path = scratch_dir(t.spark, name)
+    rows.write.parquet(path)
+    return _read_stream(t, path)
+
+
 def _read_stream(t, path):
     schema = "topic string, partition int, offset long, key string, payload string"
     return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path)
@@ -169,7 +190,7 @@ def _read_stream(t, path):
 
 def _run(t, messages):
     out, checkpoint = scratch_dir(t.spark, "stream-out"), scratch_dir(t.spark, "stream-state")
-    I.run_job(messages, out, checkpoint)
+    I.run_ordered_job(messages, out, checkpoint)
     return I.job_output(t.spark, out)
 
 
@@ -184,7 +205,7 @@ def _bodies(rows, tag):
 
 @query("t3_stateful_stream", _ROWS, **_STREAM)
 def _(t):
-    rows = _run(t, _read_stream(t, _write_messages(t, "messages")))
+    rows = _run(t, _any_order(t, t.messages, "messages"))
     return _doubles(_bodies(rows, "main"), *KEYS, "offset", "window_size")
 
 
@@ -195,7 +216,7 @@ def _(t):
     **_STREAM,
 )
 def _(t):
-    rows = _run(t, _read_stream(t, _write_messages(t, "messages")))
+    rows = _run(t, _any_order(t, t.messages, "messages"))
     return rows.groupBy("tag").agg(F.count(F.lit(1)).alias("records"))
 
 
@@ -237,10 +258,8 @@ def _(t):
     bars = t.nation_bars.withColumn("pre_close", F.coalesce(previous("close"), F.col("open")))
     m = replay(bars, "stock-daily", source="database", trace="replay", ingest_time="2024-01-01 00:00:00")
     day = F.unix_date(F.to_date(F.get_json_object("value", "$.tradeDate")))
-    path = scratch_dir(t.spark, "replay")
     rows = m.select("topic", F.lit(0).alias("partition"), day.cast("long").alias("offset"), "key", F.col("value").alias("payload"))
-    K.write_in_order(rows, path, "offset")
-    main = _bodies(_run(t, _read_stream(t, path)), "main")
+    main = _bodies(_run(t, _any_order(t, rows, "replay")), "main")
     return main.select(*KEYS, "window_size", F.col("ma5").cast("double").alias("ma5"), F.col("ma20").cast("double").alias("ma20"))
 
 
@@ -262,6 +281,46 @@ def _(t):
     return manifest.drop("digest")
 
 
-@query("q8_dataset_fingerprint")
+_CENTS = ("open", "high", "low", "close", "vol", "amount")
+_ROW = """'{"ts_code":"' || ts_code || '","trade_date":"' || trade_date || '\"' || """ + " || ".join(f"""',"{c}":' || CAST(round({c} * 100) AS BIGINT)""" for c in _CENTS) + " || '}'"
+_TREE = {
+    "hashed": f"SELECT ts_code, trade_date, ts_code || ' ' || year(trade_date) AS leaf, left(ts_code, 3) AS prefix, sha256({_ROW}) AS d FROM bars",
+    "leaves": "SELECT leaf, ts_code, prefix, count(*) AS n, min(trade_date) AS a, max(trade_date) AS b, sha256(string_agg(d, '' ORDER BY trade_date)) AS d FROM hashed GROUP BY ALL",
+    "codes": "SELECT ts_code, prefix, sum(n) AS n, min(a) AS a, max(b) AS b, sha256(string_agg(d, '' ORDER BY leaf)) AS d FROM leaves GROUP BY ALL",
+    "prefixes": "SELECT prefix, sum(n) AS n, sha256(string_agg(d, '' ORDER BY ts_code)) AS d FROM codes GROUP BY ALL",
+}
+
+
+def _digest_tree(bars):
+    """Years of an instrument, instruments, instruments of one prefix, everything: prices as whole cents."""
+    cents = {c: F.round(F.col(c) * 100).cast("long") for c in _CENTS}
+    rows = bars.withColumns({**cents, "leaf": F.concat_ws(" ", "ts_code", F.year("trade_date")), "prefix": F.substring("ts_code", 1, 3)})
+    return K.chained_digests(rows, [*KEYS, *_CENTS], ["trade_date"], ["leaf", "ts_code", "prefix"])
+
+
+@query("q8_dataset_fingerprint", "SELECT ts_code, CAST(n AS BIGINT) AS rows, a AS first_date, b AS last_date, d AS digest FROM codes", **_TREE)
+def _(t):
+    tree = _digest_tree(t.bars).where("level = 1").select(F.col("node").alias("ts_code"), "rows", "digest")
+    spans = t.bars.groupBy("ts_code").agg(F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
+    return tree.join(spans, "ts_code")
+
+
+@query(
+    "q8_digest_tree",
+    """SELECT 2 AS level, prefix AS node, CAST(n AS BIGINT) AS rows, d AS digest FROM prefixes UNION ALL
+    SELECT 3, '', CAST(sum(n) AS BIGINT), sha256(string_agg(d, '' ORDER BY prefix)) FROM prefixes""",
+    **_TREE,
+)
+def _(t):
+    return _digest_tree(t.bars).where("level >= 2")
+
+
+@query(
+    "q8_changed_shards",
+    """SELECT leaf AS node, count(*) AS rows_before, count(*) AS rows_after FROM (SELECT ts_code || ' ' || year(trade_date) AS leaf, vol FROM bars)
+    GROUP BY 1 HAVING count(*) FILTER (vol > 95) > 0""",
+)
 def _(t):
-    return K.fingerprint(t.bars, ["ts_code"], t.bars.columns)
+    """A second version with another volume on a few days: only the shards that hold one are named."""
+    changed = t.bars.withColumn("vol", F.when(F.col("vol") > 95, F.col("vol") + 1).otherwise(F.col("vol")))
+    return K.differing_nodes(_digest_tree(t.bars), _digest_tree(changed))

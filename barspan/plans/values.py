@@ -63,6 +63,23 @@ def _(t):
     return t.raw("orders").select("o_orderkey", K.row_digest(columns).alias("digest"))
 
 
+_ORDER_ROW = """'{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":' || CAST(to_json(o_orderstatus) AS VARCHAR) || '}'"""
+
+
+@query(
+    "x7_chained_digest",
+    """SELECT 0 AS level, CAST(a AS VARCHAR) AS node, n AS rows, d AS digest FROM x7a UNION ALL SELECT 1, CAST(b AS VARCHAR), CAST(n AS BIGINT), d FROM x7b
+    UNION ALL SELECT 2, '', CAST(sum(n) AS BIGINT), sha256(string_agg(d, '' ORDER BY b)) FROM x7b""",
+    x7a=f"SELECT o_orderkey // 4000 AS a, o_orderkey // 4000000 AS b, count(*) AS n, sha256(string_agg(sha256({_ORDER_ROW}), '' ORDER BY o_orderkey)) AS d FROM orders GROUP BY 1, 2",
+    x7b="SELECT b, sum(n) AS n, sha256(string_agg(d, '' ORDER BY a)) AS d FROM x7a GROUP BY 1",
+)
+def _(t):
+    """Orders in shards of 4,000 keys, a thousand shards to a node, one root."""
+    k = F.col("o_orderkey")
+    rows = t.raw("orders").withColumns({"shard": F.floor(k / 4000), "node": F.floor(k / 4_000_000)})
+    return K.chained_digests(rows, ["o_orderkey", "o_custkey", "o_orderstatus"], ["o_orderkey"], ["shard", "node"])
+
+
 @query("x8_strict_decode", 'SELECT "offset", error_type IS DISTINCT FROM \'JSON_PARSE\' AS decodable FROM msgs', **_STREAM)
 def _(t):
     return P.decode(t.messages).select("offset", F.col("event").isNotNull().alias("decodable"))

@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barspan.functions.scalars import normalize_code
-
 _MILLION = 1_000_000
 _TICK = 100  # prices are quoted in hundredths
 _WIDE = T.DecimalType(38, 0)
@@ -35,7 +33,10 @@ def code_of(key) -> Column:
     """
     k = (F.col(key) if isinstance(key, str) else key).cast("long")
     high = F.when(k >= _MILLION, ((k - k % _MILLION) / _MILLION).cast("long").cast("string")).otherwise("")
-    return normalize_code(F.concat(high, F.lpad((k % _MILLION * 7919 % _MILLION).cast("string"), 6, "0")))
+    digits = F.concat(high, F.lpad((k % _MILLION * 7919 % _MILLION).cast("string"), 6, "0"))
+    first = F.substring(digits, 1, 1)
+    beijing = first.isin("4", "8") | (F.substring(digits, 1, 3) == "920")
+    return F.concat(digits, F.when(beijing, ".BJ").when(first.isin("6", "9"), ".SH").otherwise(".SZ"))
 
 
 def _half_up(x: Column) -> Column:
@@ -289,8 +290,9 @@ class MarketTables:
         ln, flag = F.col("l_linenumber"), F.col("l_returnflag")
         px = F.col("px") / _TICK
         low = px * 0.99
-        return self.lines().select(
-            F.when(ln == 7, F.substring_index(code_of("l_suppkey"), ".", 1)).otherwise(code_of("l_suppkey")).alias("ts_code"),
+        code = F.col("_code")
+        return self.lines().withColumn("_code", code_of("l_suppkey")).select(
+            F.when(ln == 7, F.substring_index(code, ".", 1)).otherwise(code).alias("ts_code"),
             F.when((ln == 6) & (flag == "N"), "unknown").otherwise(F.date_format("trade_date", "yyyyMMdd")).alias("date"),
             F.when((ln == 5) & (flag == "A"), "--").otherwise(px.cast("string")).alias("open"),
             F.when((ln == 4) & (flag == "R"), low * 0.9).otherwise(px * 1.01).cast("string").alias("high"),

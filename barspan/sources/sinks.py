@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barspan.session import cut_lineage
+
 
 def deliver(df: DataFrame, targets: dict[str, tuple[str, str]], expected: int | None = None) -> DataFrame:
     """Write to several destinations and report what each one holds afterwards.
@@ -31,7 +36,8 @@ def write_in_order(df: DataFrame, path: str, order: str) -> None:
 
     Files hold ranges of ``order``, and their times rise with the ranges, so a stream that
     takes a few files at a time (oldest first) never sees a later range before an earlier one,
-    whichever task finished first. Only file names and times pass through the driver.
+    whichever task finished first. Only file names and times pass through the driver. A store that
+    ignores file times is an error.
     """
     df.repartitionByRange(order).sortWithinPartitions(order).write.parquet(path)
     context = df.sparkSession.sparkContext
@@ -41,6 +47,9 @@ def write_in_order(df: DataFrame, path: str, order: str) -> None:
     newest = max((s.getModificationTime() for s in files.listStatus(place)), default=0)
     for i, part in enumerate(parts):
         files.setTimes(context._jvm.org.apache.hadoop.fs.Path(part), newest - 1000 * (len(parts) - i), -1)
+    kept = {s.getPath().toString(): s.getModificationTime() for s in files.listStatus(place)}
+    if any(abs(kept[part] - (newest - 1000 * (len(parts) - i))) >= 1000 for i, part in enumerate(parts)):
+        raise ValueError(f"{path}: this store keeps no file times; read it with run_ordered_job, which needs none")
 
 
 # -- fingerprints -------------------------------------------------------------------
@@ -67,6 +76,37 @@ def fingerprint(df: DataFrame, by: list[str], columns: list[str], date: str = "t
     return agg.withColumn("digest", F.sha2(joined, 256)).drop(*[f"_w{i}" for i in range(4)])
 
 
+def chained_digests(df: DataFrame, columns: list[str], order: list[str], levels: list[str]) -> DataFrame:
+    """A tree of ordered digests: (level, node, rows, digest), the root at level ``len(levels)``.
+
+    A leaf holds the rows of one value of ``levels[0]`` and digests their row digests in ``order``; a node
+    of the next level digests its children in the order of their names, up to one root. Choose levels
+    so that a node has few children and a leaf few rows: these are what one group gathers.
+    """
+    rows = df.select(*levels, F.struct(*order).alias("_order"), row_digest(columns).alias("_digest"))
+
+    def linked(key):
+        children = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("_digest").alias("d"))))
+        return F.sha2(F.concat_ws("", F.transform(children, lambda c: c["d"])), 256).alias("_digest")
+
+    node = cut_lineage(rows.groupBy(*levels).agg(F.count(F.lit(1)).alias("rows"), linked("_order")), "leaves")
+    out = None
+    for at in range(len(levels) + 1):
+        if at:
+            node = node.groupBy(*levels[at:]).agg(F.sum("rows").alias("rows"), linked(levels[at - 1]))
+        name = F.col(levels[at]).cast("string") if at < len(levels) else F.lit("")
+        part = node.select(F.lit(at).alias("level"), name.alias("node"), "rows", F.col("_digest").alias("digest"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def differing_nodes(one: DataFrame, other: DataFrame, level: int = 0) -> DataFrame:
+    """Nodes of a level that two trees do not share, with what each side holds."""
+    a = one.where(F.col("level") == level).select("node", F.col("rows").alias("rows_before"), F.col("digest").alias("_a"))
+    b = other.where(F.col("level") == level).select("node", F.col("rows").alias("rows_after"), F.col("digest").alias("_b"))
+    return a.join(b, "node", "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).drop("_a", "_b")
+
+
 def write_snapshot(df: DataFrame, path: str, columns: list[str]) -> DataFrame:
     """Parquet split by instrument hash, sorted inside files, with a manifest per instrument."""
     df.repartition("ts_code").sortWithinPartitions("ts_code", "trade_date").write.mode("overwrite").parquet(path)
@@ -75,6 +115,37 @@ def write_snapshot(df: DataFrame, path: str, columns: list[str]) -> DataFrame:
 
 
 # -- feature store ------------------------------------------------------------------
+class LostRace(RuntimeError):
+    """Another writer took the step."""
+
+
+def create_exclusively(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file unless it exists: true for the one writer who made it.
+
+    A local path uses the operating system's exclusive create. Elsewhere the store's create without
+    overwrite decides, which is atomic where the store offers that (a name node does).
+    """
+    context = spark.sparkContext
+    jvm, data = context._jvm, bytearray(text.encode())
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    try:
+        if files.getScheme() == "file":
+            options = context._gateway.new_array(jvm.java.nio.file.OpenOption, 2)
+            options[0], options[1] = jvm.java.nio.file.StandardOpenOption.CREATE_NEW, jvm.java.nio.file.StandardOpenOption.WRITE
+            jvm.java.nio.file.Files.write(jvm.java.nio.file.Path.of(place.toUri().getPath(), context._gateway.new_array(jvm.java.lang.String, 0)), data, options)
+            return True
+        stream = files.create(place, False)
+        stream.write(data)
+        stream.close()
+        return True
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+
+
 class FeatureStore:
     """Builds are partitions ``build_id=<id>``; one pointer row names the active build.
 
@@ -100,17 +171,20 @@ class FeatureStore:
         one = a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").join(keys.withColumn("_k", F.lit(1)), "_k")
         return one.select("source_rows", "stored_rows", "duplicate_keys", (F.col("_a") == F.col("_b")).alias("same_content"))
 
-    def publish(self, source: DataFrame, build_id: str) -> None:
+    def publish(self, source: DataFrame, build_id: str, seen: int | None = None) -> None:
+        """Verify a build and make it active, unless another build became active since ``seen``."""
+        seen = self.step() if seen is None else seen
         row = self.verify(source, build_id).first()
         if row["source_rows"] != row["stored_rows"] or row["duplicate_keys"] or not row["same_content"]:
             raise ValueError(f"build {build_id} failed verification: {row.asDict()}")
-        self._activate(build_id)
+        self._activate(build_id, seen)
 
     def rollback(self) -> str:
+        seen = self.step()
         log = self.activations().orderBy(F.desc("step")).select("build_id").take(2)
         if len(log) < 2:
             raise ValueError("no earlier build to return to")
-        self._activate(log[1]["build_id"])
+        self._activate(log[1]["build_id"], seen)
         return log[1]["build_id"]
 
     def _has_log(self) -> bool:
@@ -120,13 +194,17 @@ class FeatureStore:
         return path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
 
     def activations(self) -> DataFrame:
-        return self.spark.read.schema("step long, build_id string").json(f"{self.root}/activations/*")
+        return self.spark.read.schema("step long, build_id string").json(f"{self.root}/activations")
+
+    def step(self) -> int:
+        """The newest step of the activation log, 0 if there is none."""
+        return (self.activations().agg(F.max("step")).first()[0] or 0) if self._has_log() else 0
 
-    def _activate(self, build_id: str) -> None:
-        """Take the next step; two writers that choose the same one collide on its folder."""
-        step = (self.activations().agg(F.max("step")).first()[0] if self._has_log() else 0) + 1
-        log = self.spark.range(1).select(F.lit(step).cast("long").alias("step"), F.lit(build_id).alias("build_id"))
-        log.coalesce(1).write.mode("errorifexists").json(f"{self.root}/activations/{step:012d}")
+    def _activate(self, build_id: str, seen: int) -> None:
+        """Take the step after the one this writer has seen; if another writer took it, this one loses."""
+        line = json.dumps({"step": seen + 1, "build_id": build_id}) + "\n"
+        if not create_exclusively(self.spark, f"{self.root}/activations/{seen + 1:012d}.json", line):
+            raise LostRace(f"step {seen + 1} was taken by another writer; {build_id} is not active")
 
     def active(self) -> str:
         return self.activations().orderBy(F.desc("step")).first()["build_id"]

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import Context, Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from barspan.functions.frames import by_code
 from barspan.functions.scalars import INDICATOR
 from barspan.operators.clean import keep_last
-from barspan.streaming.parse import accepted, dead_letters, parse
+from barspan.streaming.parse import accepted, consumer_error, dead_letters, decode, parse
 
 WINDOW = 20
 _SUM = T.DecimalType(24, 6)
@@ -125,62 +127,162 @@ OUTPUT = T.StructType(
         *[T.StructField(m, _DECIMAL) for m in MEASURES],
     ]
 )
-STATE = T.StructType(
-    [
-        T.StructField("dates", T.ArrayType(T.DateType())),
-        T.StructField("closes", T.ArrayType(T.StringType())),
-        T.StructField("volumes", T.ArrayType(T.StringType())),
-    ]
-)
-_UNIT = Decimal("0.000001")
+#: Offsets up to here fit the logical clock, whose microseconds are offsets.
+ANY_ORDER = 10**15
+_WIDE = Context(prec=60)
+_POINTS = "dates array<date>, closes array<string>, volumes array<string>"
+_HELD = "trade_date date, partition int, offset long, close string, volume string"
 
 
-def _round(x: Decimal) -> Decimal:
-    return x.quantize(_UNIT, rounding=ROUND_HALF_UP)
+def _scaled(values) -> np.ndarray:
+    """Decimals as integers of millionths, of any size."""
+    return np.array([int(Decimal(v).scaleb(6, _WIDE)) for v in values], dtype=object)
 
 
-def _tail_mean(values: list[Decimal], n: int) -> Decimal | None:
-    return _round(sum(values[-n:]) / n) if len(values) >= n else None
+def _half_up(total: np.ndarray, n) -> np.ndarray:
+    """Rounded quotient, ties away from zero, in integers."""
+    down = (2 * np.abs(total) + n) // (2 * n)
+    return np.where(total < 0, -down, down)
 
 
-def _step(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """One key's rows of a micro-batch, in (partition, offset) order.
+def _decimals(values: np.ndarray, known: np.ndarray | None = None) -> list[Decimal | None]:
+    return [Decimal(int(v)).scaleb(-6, _WIDE) if known is None or known[i] else None for i, v in enumerate(values)]
+
+
+def advance(key: str, rows: pd.DataFrame, stored: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    """Outputs of a key's next rows, which stand in (partition, offset) order, and its new state.
 
     Late rows leave the state alone, an equal date replaces the last point, a newer date
-    appends and evicts beyond 20. The source's admission limit bounds the batch.
+    appends and evicts beyond 20. Dates of rows in time never fall, so every window consists of the last
+    version of earlier dates and the row itself, and all rows are computed at once from running sums.
+    """
+    dates = np.array(list(stored[0]) if stored else [], dtype="datetime64[D]")
+    closes, volumes = (_scaled(stored[i]) if stored else np.array([], dtype=object) for i in (1, 2))
+    day = rows["trade_date"].to_numpy().astype("datetime64[D]")
+    newest = np.maximum.accumulate(np.concatenate([dates[-1:], day]))
+    before = newest[:-1] if len(dates) else np.concatenate([day[:1], newest[:-1]])
+    late = day < before
+    live = np.flatnonzero(~late)
+    c, v = _scaled(rows["close"]), _scaled(rows["volume"])
+    # one point a date: what the state holds, then the last version of each date of this batch
+    all_days = np.concatenate([dates, day[live]])
+    all_c, all_v = np.concatenate([closes, c[live]]), np.concatenate([volumes, v[live]])
+    last = np.append(all_days[1:] != all_days[:-1], True) if len(all_days) else np.zeros(0, bool)
+    days, day_c, day_v = all_days[last], all_c[last], all_v[last]
+    sum_c, sum_v = (np.concatenate([np.zeros(1, object), np.cumsum(x)]) if len(x) else np.zeros(1, object) for x in (day_c, day_v))
+    place = np.searchsorted(days, day[live])  # earlier points, at most the last 19 of them count
+    size = np.minimum(place + 1, WINDOW)
+
+    def mean(sums, own, n):
+        from_ = np.maximum(place - (n - 1), 0)
+        return _half_up(sums[place] - sums[from_] + own, n)
+
+    own_c, own_v = c[live], v[live]
+    v5 = mean(sum_v, own_v, 5)
+    has_base = (size >= 5) & (v5 != 0)
+    ratio = _half_up(own_v * 1_000_000, np.where(has_base, v5, 1))
+    means = [(mean(sum_c, own_c, n), size >= n) for n in (5, 10, 20)] + [(v5, size >= 5), (mean(sum_v, own_v, 10), size >= 10), (ratio, has_base)]
+    parts = []
+    for tag, which, latest, sizes in (("main", live, day[live], size.tolist()), ("late", np.flatnonzero(late), before[late], [None] * int(late.sum()))):
+        part = rows.iloc[which][["trade_date", "partition", "offset"]].assign(tag=tag, ts_code=key, close=_decimals(c[which]), volume=_decimals(v[which]), latest_date=list(latest.astype(object)))
+        part["window_size"] = pd.array(sizes, dtype="Int32")
+        for name, (values, known) in zip(MEASURES, means):
+            part[name] = _decimals(values, known) if tag == "main" else None
+        if len(part):
+            parts.append(part[OUTPUT.names])
+    state = list(days[-WINDOW:].astype(object)), list(map(str, _decimals(day_c[-WINDOW:]))), list(map(str, _decimals(day_v[-WINDOW:])))
+    return pd.concat(parts), state
+
+
+def _clock(offset):
+    """Microseconds of the logical clock; the watermark starts at 0 and must be behind offset 0."""
+    return offset + 1000
+
+
+class IndicatorWindow(StatefulProcessor):
+    """The window of one key in a value state; with ``hold``, arrivals wait in a list state for their turn.
+
+    A held row has a timer on the logical clock (its offset). The watermark passes it when no row
+    with a smaller offset can still come, then all rows up to the watermark leave the list in offset order.
     """
-    rows = pd.concat(list(chunks)).sort_values(["partition", "offset"])
-    dates, closes, volumes = [], [], []
-    if state.exists:
-        stored = state.get
-        dates = list(stored[0])
-        closes, volumes = [Decimal(x) for x in stored[1]], [Decimal(x) for x in stored[2]]
-    out = []
-    for r in rows.itertuples(index=False):
-        if dates and r.trade_date < dates[-1]:
-            out.append(("late", key[0], r.trade_date, r.partition, r.offset, r.close, r.volume, dates[-1], None, *[None] * 6))
-            continue
-        if dates and r.trade_date == dates[-1]:
-            closes[-1], volumes[-1] = r.close, r.volume
+
+    def __init__(self, hold: bool):
+        self.hold = hold
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.points = handle.getValueState("points", _POINTS)
+        if self.hold:
+            self.held = handle.getListState("held", _HELD)
+
+    def _advance(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        out, state = advance(key[0], rows.sort_values(["partition", "offset"]), self.points.get() if self.points.exists() else None)
+        if state[0]:
+            self.points.update(state)
+        yield out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] == "":  # the closing mark
+            for _ in rows:
+                pass
+            return
+        if not self.hold:
+            yield from self._advance(key, pd.concat(list(rows)))
+            return
+        new = pd.concat(list(rows))
+        self.held.appendList(list(zip(new["trade_date"], new["partition"].tolist(), new["offset"].tolist(), map(str, new["close"]), map(str, new["volume"]))))
+        self._wait(int(new["offset"].min()))
+
+    def _wait(self, offset: int) -> None:
+        """One timer a key, just after its smallest held offset."""
+        clock = _clock(offset) // 1000 + 1
+        due = [int(t) for t in self.handle.listTimers()]
+        if not due or clock < min(due):
+            for t in due:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(clock)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame(list(self.held.get()), columns=["trade_date", "partition", "offset", "close", "volume"])
+        ready = _clock(rows["offset"]) <= upto * 1000
+        rest = rows[~ready]
+        if len(rest):
+            self.held.put([tuple(r) for r in rest.itertuples(index=False)])
+            self._wait(int(rest["offset"].min()))
         else:
-            dates, closes, volumes = (
-                [*dates, r.trade_date][-WINDOW:],
-                [*closes, r.close][-WINDOW:],
-                [*volumes, r.volume][-WINDOW:],
-            )
-        v5 = _tail_mean(volumes, 5)
-        ratio = _round(r.volume / v5) if v5 else None
-        means = [_tail_mean(closes, n) for n in (5, 10, 20)] + [v5, _tail_mean(volumes, 10), ratio]
-        out.append(("main", key[0], r.trade_date, r.partition, r.offset, r.close, r.volume, dates[-1], len(dates), *means))
-    state.update((dates, [str(x) for x in closes], [str(x) for x in volumes]))
-    frame = pd.DataFrame(out, columns=OUTPUT.names)
-    frame["window_size"] = frame["window_size"].astype("Int32")
-    yield frame
-
-
-def stateful_indicators(events: DataFrame) -> DataFrame:
-    """Streaming main and late rows, tagged; ``events`` comes from :func:`parse.accepted`."""
-    return events.groupBy("ts_code").applyInPandasWithState(_step, OUTPUT, STATE, "append", "NoTimeout")
+            self.held.clear()
+        if ready.any():
+            yield from self._advance(key, rows[ready])
+
+    def close(self) -> None:
+        pass
+
+
+def stateful_indicators(events: DataFrame, hold: bool = False) -> DataFrame:
+    """Streaming main and late rows, tagged; ``events`` comes from :func:`parse.accepted`.
+
+    Without ``hold`` the rows of a micro-batch are taken in offset order, which is enough for a source that
+    delivers a key's offsets in order. With it ``events`` carries a watermark on ``clock`` (:func:`on_clock`).
+    """
+    columns = ["ts_code", "trade_date", "partition", "offset", "close", "volume"]
+    rows = events.select(*columns, "clock") if hold else events.select(*columns)
+    return rows.groupBy("ts_code").transformWithStateInPandas(
+        statefulProcessor=IndicatorWindow(hold), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime" if hold else "None"
+    )
+
+
+def on_clock(events: DataFrame, marks: DataFrame, disorder: int | None) -> DataFrame:
+    """Events and closing marks on one logical clock, whose unit is an offset.
+
+    ``disorder``: by how many offsets a row may come after a greater one; None for any order, then rows
+    wait until the stream is closed.
+    """
+    clock = F.timestamp_micros(_clock(F.col("offset"))).alias("clock")
+    real = events.select("*", clock)
+    empty = {"offset": F.col("offset"), "ts_code": F.lit("")}  # no valid event has a blank code
+    end = marks.select(*[empty.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in events.schema.fields], clock)
+    return real.unionByName(end).withWatermark("clock", f"{(ANY_ORDER if disorder is None else disorder) // 1000 + 1} milliseconds")
 
 
 def read_messages(spark, fmt: str = "kafka", **options) -> DataFrame:
@@ -196,10 +298,11 @@ def read_messages(spark, fmt: str = "kafka", **options) -> DataFrame:
     )
 
 
-def tagged_stream(messages: DataFrame) -> DataFrame:
+def tagged_stream(messages: DataFrame, marks: DataFrame | None = None, disorder: int | None = None) -> DataFrame:
     """Main, late and dead rows of one query, each with its key and JSON body."""
     parsed = parse(messages)
-    live = stateful_indicators(accepted(parsed))
+    events = accepted(parsed)
+    live = stateful_indicators(events) if marks is None else stateful_indicators(on_clock(events, marks, disorder), hold=True)
     body = F.to_json(F.struct(*[c for c in OUTPUT.names if c != "tag"]))
     dead = dead_letters(parsed)
     return live.select("tag", F.col("ts_code").alias("key"), "offset", body.alias("value")).unionByName(
@@ -207,20 +310,88 @@ def tagged_stream(messages: DataFrame) -> DataFrame:
     )
 
 
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.numRecentProgressUpdates": "100000",  # every trigger's count of dropped rows
+}
+
+
+def _finish_run(rows: DataFrame, write, checkpoint: str) -> None:
+    """Run to the end of the available input with state in RocksDB; rows behind the watermark are an error."""
+    conf = rows.sparkSession.conf
+    before = {k: conf.get(k) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        conf.set(k, v)
+    try:
+        query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+    query.awaitTermination()
+    lost = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    if lost:
+        raise ValueError(f"{lost} rows came later than the stated disorder allows")
+
+
 def run_job(messages: DataFrame, out: str, checkpoint: str) -> None:
-    """Run to the end of the available input; replaying a batch overwrites its own folder."""
+    """Run to the end of the available input; replaying a batch overwrites its own folder.
+
+    For sources that deliver the offsets of a key in order.
+    """
+    _finish_run(tagged_stream(messages), _writer(out), checkpoint)
 
+
+def _writer(out: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").partitionBy("tag").parquet(f"{out}/batch_id={batch_id}")
 
-    query = (
-        tagged_stream(messages)
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    return write
+
+
+def run_ordered_job(messages: DataFrame, out: str, checkpoint: str, disorder: int | None = None, close: bool = True) -> None:
+    """As ``run_job`` for sources whose files arrive in any order: rows wait for their offset's turn.
+
+    ``close``: after the available input a closing mark releases what still waits; the stream then takes
+    no further rows. Without it a later call goes on from the checkpoint. Waiting rows are in the state store.
+    """
+    spark = messages.sparkSession
+    folder = f"{checkpoint}-marks"
+
+    def mark(at: list) -> None:
+        spark.createDataFrame(at, "offset long").coalesce(1).write.mode("append").parquet(folder)
+
+    mark([])
+    marks = spark.readStream.schema("offset long").parquet(folder)
+    rows = tagged_stream(messages, marks, disorder)
+    _finish_run(rows, _writer(out), checkpoint)
+    if close:
+        mark([(3 * ANY_ORDER,)])
+        _finish_run(tagged_stream(messages, marks, disorder), _writer(out), checkpoint)
+
+
+def outcome_counts(messages: DataFrame, outcome: Column) -> DataFrame:
+    """Running counts per outcome of a decoded stream, for update mode."""
+    return messages.groupBy(outcome.alias("outcome")).agg(
+        F.count(F.lit(1)).alias("records"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset")
     )
-    query.awaitTermination()
+
+
+def run_counters(messages: DataFrame, out: str, checkpoint: str) -> None:
+    """Consumer outcome counters in update mode: a trigger writes the outcomes it changed, keyed by outcome."""
+    decoded = decode(messages).withColumn("_class", F.coalesce(consumer_error(), F.lit("success")))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")  # a replayed trigger replaces its own rows
+
+    query = outcome_counts(decoded, F.col("_class")).writeStream.outputMode("update").foreachBatch(write)
+    query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def counters(spark, out: str) -> DataFrame:
+    """The keyed sink's newest row per outcome."""
+    schema = "outcome string, records long, first_offset long, last_offset long, batch_id int"
+    rows = spark.read.schema(schema).option("basePath", out).parquet(out)
+    return keep_last(rows, ["outcome"], ["batch_id"]).drop("batch_id")
 
 
 _WRITTEN = "tag string, key string, offset long, value string, batch_id int"

@@ -7,13 +7,13 @@ from barspan.plans.registry import load_all
 
 QUERIES, ORACLES = load_all()
 # too slow for a unit run; their parts have tests of their own
-SLOW = {"a26_results_over_seeds", "b8_strategy_and_benchmark", "m8_walk_forward_models", "m10_noise_probe_fit", "m9_ranking_regression"}
+SLOW = {"a26_results_over_seeds", "m8_walk_forward_models", "m10_noise_probe_fit", "m9_ranking_regression"}
 
 
 # SQL cannot express these; a further query without an oracle is a mistake
 WITHOUT_ORACLE = {
-    "w20_all_base_features", "a7_trend_significance", "q8_dataset_fingerprint", "m8_walk_forward_models", "m9_ranking_regression", "m10_noise_probe_fit",
-    "m12_frozen_model_scores", "a26_results_over_seeds", "b7_account_equity", "b7_account_lots", "b8_strategy_and_benchmark", "b6_walk_forward_account",
+    "w20_all_base_features", "a7_trend_significance", "m8_walk_forward_models", "m9_ranking_regression", "m10_noise_probe_fit",
+    "m12_frozen_model_scores", "a26_results_over_seeds",
 }
 
 
