@@ -200,11 +200,12 @@ class FeatureStore:
         """The newest step of the activation log, 0 if there is none."""
         return (self.activations().agg(F.max("step")).first()[0] or 0) if self._has_log() else 0
 
-    def _activate(self, build_id: str, seen: int) -> None:
+    def _activate(self, build_id: str, seen: int | None = None) -> None:
         """Take the step after the one this writer has seen; if another writer took it, this one loses."""
+        seen = self.step() if seen is None else seen
         line = json.dumps({"step": seen + 1, "build_id": build_id}) + "\n"
         if not create_exclusively(self.spark, f"{self.root}/activations/{seen + 1:012d}.json", line):
-            raise LostRace(f"step {seen + 1} was taken by another writer; {build_id} is not active")
+            raise LostRace(f"step {seen + 1} already exists: another writer took it, {build_id} is not active")
 
     def active(self) -> str:
         return self.activations().orderBy(F.desc("step")).first()["build_id"]
