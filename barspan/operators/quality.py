@@ -237,6 +237,36 @@ def attribute_facts(master: DataFrame, sessions: DataFrame, facts: DataFrame, ha
     )
 
 
+def attribute_valuation(master: DataFrame, sessions: DataFrame, facts: DataFrame) -> DataFrame:
+    """Where each valuation row comes from, and what a missing ratio means.
+
+    ``facts``: per key the store's ``s_pb``, ``s_pe`` and the provider's ``p_pb``, ``p_pe``; a side without a
+    row has a null ``pb``. A row of both sides is verified if all values agree, and a conflict otherwise;
+    the store's row is the one in force.
+    """
+    grid = lifetime_grid(master.withColumns({"list_date": F.lit("1900-01-01").cast("date"), "delist_date": F.lit(None).cast("date")}), sessions)
+    rows = grid.join(master.select("ts_code", "list_date"), "ts_code").join(facts, KEY, "left")
+    stored, given = F.col("s_pb").isNotNull(), F.col("p_pb").isNotNull()
+    same = F.col("s_pb").eqNullSafe(F.col("p_pb")) & F.col("s_pe").eqNullSafe(F.col("p_pe"))
+    origin = (
+        F.when(stored & ~given, "DATABASE_ROW")
+        .when(given & ~stored, "PROVIDER_ROW")
+        .when(stored & given & same, "PROVIDER_VERIFIED_EXISTING")
+        .when(stored & given, "SOURCE_CONFLICT")
+        .when(F.col("trade_date") < F.col("list_date"), "PRE_LISTING")
+        .otherwise("MISSING_BASIC_ROW")
+    )
+    pe = F.when(stored, F.col("s_pe")).otherwise(F.col("p_pe"))
+    ratio = (
+        F.when(~stored & ~given, "NO_ROW")
+        .when(F.col("basic_status") == "SOURCE_CONFLICT", "SOURCE_CONFLICT")
+        .when(pe.isNotNull(), "VALUE")
+        .when(F.col("basic_status").isin("PROVIDER_ROW", "PROVIDER_VERIFIED_EXISTING"), "PROVIDER_NULL")
+        .otherwise("DATABASE_NULL_UNVERIFIED")
+    )
+    return rows.withColumn("basic_status", origin).select(*KEY, "basic_status", ratio.alias("pe_status"))
+
+
 def missing_inventory(status: DataFrame) -> DataFrame:
     """Missing keys per source: one row per (method, code, day)."""
     basic = (F.col("basic_status") == "MISSING_BASIC_ROW") & ~F.col("daily_status").isin(
@@ -258,17 +288,22 @@ def missing_keys(grid: DataFrame, stored: DataFrame) -> DataFrame:
     return grid.join(stored.select(*KEY), KEY, "left_anti")
 
 
-def gap_plan(grid: DataFrame, stored: DataFrame, sessions: DataFrame) -> DataFrame:
+def gap_plan(grid: DataFrame, stored: DataFrame, sessions: DataFrame, excluded: DataFrame | None = None, registered_pool: bool = False) -> DataFrame:
     """Missing-only requests.
 
+    ``excluded``: keys proven to have no quote, which are not asked for. A registered pool is part of a
+    market, so it is never asked for by a full-date request.
+
     A day on which no eligible key is stored becomes one full-date request (below the
     provider's capacity); every other gap is a run of consecutive sessions of one code,
     cut at year ends.
     """
     absent = missing_keys(grid, stored)
+    if excluded is not None:
+        absent = absent.join(excluded.select(*KEY).distinct(), KEY, "left_anti")
     present = stored.join(grid, KEY, "left_semi").select("trade_date").distinct()
     per_day = absent.groupBy("trade_date").agg(F.count(F.lit(1)).alias("keys"))
-    whole = per_day.where(F.col("keys") < CAPACITY).join(F.broadcast(present), "trade_date", "left_anti")
+    whole = per_day.where((F.col("keys") < CAPACITY) & F.lit(not registered_pool)).join(F.broadcast(present), "trade_date", "left_anti")
     full = whole.select(
         F.lit("full_date").alias("mode"), F.lit(None).cast("string").alias("ts_code"),
         F.col("trade_date").alias("start_date"), F.col("trade_date").alias("end_date"), F.col("keys"),

@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barspan.operators.tables import top_rows
 
@@ -21,7 +22,7 @@ GAP_PENALTY, CONTAINS_CAP, MAX_TOKEN, MAX_FUZZY_TOKEN = 40, 50, 12, 8
 WEIGHTS = {"name": 1.0, "code": 1.0, "code_full": 1.0, "code_flat": 1.0, "industry": 0.9, "area": 0.85}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     """Compatibility normal form, lower case: the JVM's functions offer no normal form."""
     return text.map(lambda s: unicodedata.normalize("NFKC", s).lower())

@@ -63,8 +63,8 @@ def published_results(df: DataFrame, n: int = 100) -> DataFrame:
     return top_rows(good, [F.desc("published_at"), F.desc("result_id")], n, ["ts_code", "result_type"])
 
 
-def reconcile(counts: DataFrame) -> DataFrame:
-    """One row of stage counts -> the five checks and the overall verdict.
+def reconcile(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A row of stage counts (one per ``keys``) -> the five checks and the overall verdict.
 
     A store that was not exercised (null count) leaves the verdict to the message side.
     """
@@ -86,4 +86,4 @@ def reconcile(counts: DataFrame) -> DataFrame:
     first = F.col("_c")[0]["status"]
     rest = F.when(F.forall(F.slice("_c", 2, 4), lambda c: c["status"] == "PASS"), "PASS").otherwise("FAIL")
     overall = F.when(first == "NOT_EXERCISED", rest).when(first == rest, first).otherwise("PARTIAL")
-    return rows.withColumn("overall", overall).select("overall", F.explode("_c").alias("c")).select("overall", "c.*")
+    return rows.withColumn("overall", overall).select(*keys, "overall", F.explode("_c").alias("c")).select(*keys, "overall", "c.*")

@@ -136,6 +136,19 @@ def _(t):
     return rounded(c.select("scenario", "cycles", ln("total_fees").alias("log_fees"), ln("total_slippage").alias("log_slippage"), ln("traded_notional").alias("log_notional")), 4)
 
 
+@query(
+    "b3_turnover",
+    f"""SELECT scenario, trade_date, {R('ln(opening)', 'log_opening', 5)}, {R('(buy + sell) / opening', 'two_sided_turnover')}, {R('(buy + sell) / opening / 2', 'one_sided_turnover')}
+    FROM (SELECT scenario, d AS trade_date, sum(buy) AS buy, sum(sell) AS sell, coalesce(max(op), max(purse)) AS opening FROM tov GROUP BY 1, 2)""",
+    **_PORT,
+    tov="""SELECT scenario, entry_date AS d, any_value(st) * sum(u * eopen * (1 + sl)) AS buy, 0 AS sell, NULL AS op, any_value(st) AS purse FROM legs JOIN cash USING (scenario, cycle) GROUP BY scenario, cycle, entry_date
+      UNION ALL SELECT scenario, exit_date, 0, any_value(st) * sum(u * xopen * (1 - sl)), any_value(st) * sum(u * xopen), NULL FROM legs JOIN cash USING (scenario, cycle) GROUP BY scenario, cycle, exit_date""",
+)
+def _(t):
+    out = B.turnover(_portfolio(t)[1])
+    return rounded(out.select("scenario", "trade_date", F.log("opening_equity").alias("log_opening"), "two_sided_turnover", "one_sided_turnover"), 6, log_opening=5)
+
+
 _WACC = {
     **_SES,
     "costs": f"SELECT * FROM {_COSTS}",
@@ -215,16 +228,19 @@ _SELL = "b.prev = -1 AND r.pos > 0 AND r.held >= 1"
 _SHARES = "floor(r.cash * 0.95::DOUBLE / (b.open * (1 + 0.001::DOUBLE) * (1 + 0.0003::DOUBLE)))"
 
 
-@query(
-    "b1_signal_backtest",
-    f"SELECT ts_code, trade_date, {R('ln(cash + pos * close)', 'log_equity')}, pos > 0 AS invested FROM rec",
-    sig=_SIG,
-    rec=f"""SELECT ts_code, trade_date, rn, close, 1000000.0::DOUBLE AS cash, 0.0::DOUBLE AS pos, 0 AS held FROM sig WHERE rn = 1 UNION ALL
+_REC = f"""SELECT ts_code, trade_date, rn, close, 1000000.0::DOUBLE AS cash, 0.0::DOUBLE AS pos, 0 AS held FROM sig WHERE rn = 1 UNION ALL
       SELECT b.ts_code, b.trade_date, b.rn, b.close,
       CASE WHEN {_BUY} THEN r.cash - {_SHARES} * (b.open * (1 + 0.001::DOUBLE)) * (1 + 0.0003::DOUBLE) WHEN {_SELL} THEN r.cash + r.pos * (b.open * (1 - 0.001::DOUBLE)) * (1 - 0.0003::DOUBLE) ELSE r.cash END,
       CASE WHEN {_BUY} THEN {_SHARES} WHEN {_SELL} THEN 0 ELSE r.pos END,
       CASE WHEN {_BUY} THEN 1 WHEN {_SELL} THEN 0 WHEN r.pos > 0 THEN r.held + 1 ELSE r.held END
-      FROM rec r JOIN sig b ON b.ts_code = r.ts_code AND b.rn = r.rn + 1""",
+      FROM rec r JOIN sig b ON b.ts_code = r.ts_code AND b.rn = r.rn + 1"""
+
+
+@query(
+    "b1_signal_backtest",
+    f"SELECT ts_code, trade_date, {R('ln(cash + pos * close)', 'log_equity')}, pos > 0 AS invested FROM rec",
+    sig=_SIG,
+    rec=_REC,
 )
 def _(t):
     p = (F.col("close") - F.col("low")) / (F.col("high") - F.col("low") + 1e-12)
@@ -232,6 +248,41 @@ def _(t):
     return rounded(out.select(*K, F.log("equity").alias("log_equity"), (F.col("position") > 0).alias("invested")))
 
 
+def _signalled(t):
+    p = (F.col("close") - F.col("low")) / (F.col("high") - F.col("low") + 1e-12)
+    return B.signal_backtest(t.bars.withColumn("signal", L.probability_signal(p)))
+
+
+_MOVES = f"SELECT rec.*, lag(pos) {OVER} AS was, lag(trade_date) {OVER} AS signal_date FROM rec"
+
+
+@query(
+    "b1_trades",
+    f"""SELECT m.ts_code, m.trade_date, signal_date, CASE WHEN m.pos > 0 THEN 'BUY' ELSE 'SELL' END AS action, CASE WHEN m.pos > 0 THEN m.pos ELSE was END AS shares,
+    {R('b.open * CASE WHEN m.pos > 0 THEN 1 + 0.001::DOUBLE ELSE 1 - 0.001::DOUBLE END', 'price')}, {R('ln(abs(m.cash - c.cash))', 'log_amount', 5)}
+    FROM moved m JOIN bars b USING (ts_code, trade_date) JOIN rec c ON c.ts_code = m.ts_code AND c.rn = m.rn - 1 WHERE m.pos <> was""",
+    sig=_SIG,
+    rec=_REC,
+    moved=_MOVES,
+)
+def _(t):
+    out = B.signal_trades(_signalled(t))
+    return rounded(out.select(*K, "signal_date", "action", "shares", "price", F.log("cash_amount").alias("log_amount")), 6, log_amount=5)
+
+
+@query(
+    "b1_metrics",
+    f"""SELECT ts_code, count(*) AS sessions, CAST(count(*) FILTER (pos > 0 AND coalesce(was, 0) = 0) AS BIGINT) AS total_trades, {R('ln(arg_max(e, trade_date))', 'log_final')}, {R('min(dd)', 'max_drawdown')}, {R('avg(r)', 'mean_daily_return')}
+    FROM (SELECT *, e / greatest(1000000, max(e) {OVER}) - 1 AS dd, e / coalesce(lag(e) {OVER}, 1000000) - 1 AS r FROM (SELECT *, cash + pos * close AS e FROM moved)) GROUP BY 1""",
+    sig=_SIG,
+    rec=_REC,
+    moved=_MOVES,
+)
+def _(t):
+    m = B.signal_metrics(_signalled(t))
+    return rounded(m.select("ts_code", "sessions", "total_trades", F.log("final_equity").alias("log_final"), "max_drawdown", "mean_daily_return"))
+
+
 # -- market account -----------------------------------------------------------------
 def _markets(bars, calendar, slips):
     """Nations as instruments, one copy per slippage: a session without a quote is a proven halt."""

@@ -184,6 +184,21 @@ def _(t):
     return _status(t)
 
 
+@query(
+    "q5_valuation_attribution",
+    """SELECT ts_code, trade_date, basic_status, CASE WHEN spx IS NULL AND ppx IS NULL THEN 'NO_ROW' WHEN basic_status = 'SOURCE_CONFLICT' THEN 'SOURCE_CONFLICT'
+      WHEN CASE WHEN spx IS NOT NULL THEN st ELSE pt END > 0 THEN 'VALUE' WHEN basic_status IN ('PROVIDER_ROW', 'PROVIDER_VERIFIED_EXISTING') THEN 'PROVIDER_NULL' ELSE 'DATABASE_NULL_UNVERIFIED' END AS pe_status
+    FROM (SELECT *, CASE WHEN spx IS NOT NULL AND ppx IS NULL THEN 'DATABASE_ROW' WHEN ppx IS NOT NULL AND spx IS NULL THEN 'PROVIDER_ROW'
+        WHEN spx = ppx AND (CASE WHEN st > 0 THEN st END) IS NOT DISTINCT FROM (CASE WHEN pt > 0 THEN pt END) THEN 'PROVIDER_VERIFIED_EXISTING' WHEN spx IS NOT NULL THEN 'SOURCE_CONFLICT'
+        WHEN trade_date < list_date THEN 'PRE_LISTING' ELSE 'MISSING_BASIC_ROW' END AS basic_status
+      FROM (SELECT m.ts_code, s.trade_date, list_date FROM master m CROSS JOIN sessions s) LEFT JOIN vals USING (ts_code, trade_date))""",
+    vals="""SELECT ts_code, trade_date, min(px) FILTER (l_returnflag IN ('A', 'N')) AS spx, max(l_tax) FILTER (l_returnflag IN ('A', 'N')) AS st,
+      min(px) FILTER (l_returnflag IN ('N', 'R')) AS ppx, max(l_tax) FILTER (l_returnflag IN ('N', 'R')) AS pt FROM ticks WHERE l_linestatus = 'F' GROUP BY 1, 2""",
+)
+def _(t):
+    return Q.attribute_valuation(t.master, _sessions(t), t.valuation_facts)
+
+
 @query("a14_status_counts", "SELECT daily_status, basic_status, factor_status, pe_status, count(*) AS keys FROM attr GROUP BY ALL", **_STATUS)
 def _(t):
     cols = ["daily_status", "basic_status", "factor_status", "pe_status"]
@@ -219,6 +234,46 @@ def _(t):
     return Q.gap_plan(Q.lifetime_grid(t.master, _sessions(t)), t.valuation, _sessions(t))
 
 
+_REQUESTS = """SELECT 'stock_range' AS mode, ts_code, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS keys FROM
+    (SELECT a.ts_code, a.trade_date, ordinal - row_number() OVER (PARTITION BY a.ts_code ORDER BY ordinal) AS g FROM absent a JOIN sessions USING (trade_date) WHERE trade_date NOT IN (SELECT trade_date FROM whole))
+    GROUP BY ts_code, g, year(trade_date)"""
+_DAILY = {
+    **_G,
+    **_HALT,
+    "absent": "SELECT * FROM grid WHERE (ts_code, trade_date) NOT IN (SELECT (ts_code, trade_date) FROM bars) AND (ts_code, trade_date) NOT IN (SELECT (ts_code, trade_date) FROM halts WHERE full_day)",
+    "whole": """SELECT trade_date, count(*) AS keys FROM absent WHERE trade_date NOT IN (SELECT trade_date FROM bars WHERE (ts_code, trade_date) IN (SELECT (ts_code, trade_date) FROM grid))
+      GROUP BY 1 HAVING count(*) < 6000""",
+}
+
+
+@query(
+    "q7_daily_gap_plan",
+    f"SELECT 'full_date' AS mode, CAST(NULL AS VARCHAR) AS ts_code, trade_date AS start_date, trade_date AS end_date, keys FROM whole UNION ALL {_REQUESTS}",
+    **_DAILY,
+)
+def _(t):
+    """Gaps of the bars themselves; days of a proven halt are not asked for."""
+    full = Q.halt_days(t.suspensions).where("full_day")
+    return Q.gap_plan(Q.lifetime_grid(t.master, _sessions(t)), t.bars.select(*K), _sessions(t), full)
+
+
+@query(
+    "q7_registered_pool_plan",
+    _REQUESTS,
+    **{
+        **_DAILY,
+        "pool": "SELECT g.ts_code, g.trade_date FROM grid g JOIN (SELECT ts_code AS c FROM master WHERE region = 'ASIA') ON c = g.ts_code",
+        "absent": _DAILY["absent"].replace("FROM grid WHERE", "FROM pool WHERE"),
+        "whole": "SELECT trade_date FROM sessions WHERE ordinal < 0",
+    },
+)
+def _(t):
+    """The same for a registered pool: ranges only, even on days on which nothing is stored."""
+    full = Q.halt_days(t.suspensions).where("full_day")
+    grid = Q.lifetime_grid(t.master.where("region = 'ASIA'"), _sessions(t))
+    return Q.gap_plan(grid, t.bars.select(*K), _sessions(t), full, registered_pool=True)
+
+
 @query(
     "q9_pool_coverage",
     """SELECT ts_code, count(*) FILTER (e) AS eligible_sessions, count(*) FILTER (e AND b) AS daily_rows, count(*) FILTER (e AND b AND v) AS daily_basic_rows,

@@ -123,6 +123,32 @@ def _(t):
     return V.reconcile(counts)
 
 
+@query(
+    "a16_reconciliation_cases",
+    """SELECT g, "check", status, CASE WHEN c1 = 'NOT_EXERCISED' THEN rest WHEN c1 = rest THEN rest ELSE 'PARTIAL' END AS overall FROM
+    (SELECT *, CASE WHEN c2 = 'PASS' AND c3 = 'PASS' AND c5 = 'PASS' THEN 'PASS' ELSE 'FAIL' END AS rest FROM
+      (SELECT g, CASE WHEN g % 4 = 0 THEN 'NOT_EXERCISED' WHEN g % 4 = 1 AND bad > 0 THEN 'FAIL' ELSE 'PASS' END AS c1, CASE WHEN g % 6 = 5 THEN 'FAIL' ELSE 'PASS' END AS c2,
+        CASE WHEN g % 5 = 0 THEN 'FAIL' ELSE 'PASS' END AS c3, CASE WHEN g % 7 = 0 THEN 'FAIL' ELSE 'PASS' END AS c5
+       FROM (SELECT "offset" // 250 AS g, count(*) FILTER (error_type IS NOT NULL) AS bad FROM msgs GROUP BY 1))),
+    LATERAL (SELECT 'stored rows equal collected rows' AS "check", c1 AS status UNION ALL SELECT 'deliveries account for collected rows', c2 UNION ALL SELECT 'no delivery failures', c3
+      UNION ALL SELECT 'delivered equals consumed plus isolated', 'PASS' UNION ALL SELECT 'dead letters equal isolated', c5)""",
+    **_STREAM,
+)
+def _(t):
+    """Blocks of messages with stages that lose, fail or repeat rows, and stores that were not exercised."""
+    g, bad = F.floor(F.col("offset") / 250), F.col("error_type").isNotNull()
+    n = P.parse(t.messages).groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(bad, 1)).alias("bad"))
+    k = F.col("g")
+    failed = F.when(k % 5 == 0, 1).otherwise(0).cast("long")
+    lost = F.when(k % 6 == 5, 1).otherwise(0).cast("long")
+    counts = n.select(
+        "g", F.col("n").alias("collected"), F.when(k % 4 == 1, F.col("n") - F.col("bad")).when(k % 4 != 0, F.col("n")).alias("stored"),
+        (F.col("n") - failed - lost).alias("delivered"), failed.alias("failed"), (F.col("n") - failed - lost - F.col("bad")).alias("consumed"),
+        F.col("bad").alias("isolated"), (F.col("bad") + F.when(k % 7 == 0, 1).otherwise(0)).alias("dead"),
+    )
+    return V.reconcile(counts, ("g",))
+
+
 @query(
     "a24_baseline_snapshot",
     f"""SELECT ts_code, trade_date, close, ma5, ma20, raw_rows, clean_rows, raw_rows - clean_rows AS duplicates FROM (

@@ -263,6 +263,17 @@ class MarketTables:
             "h0", "h1", "h2", "h7",
         )
 
+    @cached_property
+    def valuation_facts(self) -> DataFrame:
+        """Per (code, session) the valuation row of the store (flags A and N) and that of the provider (N and R)."""
+        flag = F.col("l_returnflag")
+        sides = {"s": flag.isin("A", "N"), "p": flag.isin("N", "R")}
+        day = self.lines().where("l_linestatus = 'F'").groupBy("l_suppkey", "trade_date").agg(
+            *[agg(F.when(own, F.col(c))).alias(f"{side}_{n}") for side, own in sides.items() for agg, c, n in ((F.max, "l_tax", "tax"), (F.min, "px", "px"))]
+        )
+        pe = [F.when(F.col(f"{x}_tax") > 0, F.col(f"{x}_px") / _TICK / (1 + F.col(f"{x}_tax") * 100)).alias(f"{x}_pe") for x in sides]
+        return day.select(code_of("l_suppkey").alias("ts_code"), "trade_date", *[(F.col(f"{x}_px") / _TICK / 1000).alias(f"{x}_pb") for x in sides], *pe)
+
     def halts_of(self, facts: DataFrame) -> DataFrame:
         """The halt events of ``source_facts``, once each."""
         kinds = [("h0", "S", None), ("h1", "S", "09:30-11:30"), ("h2", "S", "13:00-15:00"), ("h7", "R", None)]

@@ -7,6 +7,7 @@ import math
 import os
 import sys
 import time
+from decimal import Decimal
 
 import duckdb
 import pandas as pd
@@ -48,9 +49,10 @@ def rows(columns, data):
 
 
 def near(x, y):
-    """Equal up to one unit of the last rounded decimal (engines round exact ties differently)."""
+    """Equal up to one unit of the last decimal that either shows (engines round exact ties differently)."""
     if isinstance(x, float) and isinstance(y, float):
-        return math.isclose(x, y, rel_tol=1e-9, abs_tol=1.1e-5)
+        shown = max(-Decimal(repr(v)).as_tuple().exponent for v in (x, y))
+        return math.isclose(x, y, rel_tol=1e-9, abs_tol=1.1 * 10.0 ** -max(shown, 5) if shown < 12 else 1e-11)
     return x == y
 
 

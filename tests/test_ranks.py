@@ -72,3 +72,28 @@ def test_constant_sides_have_no_correlation(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 3.0), (2, 1.0, 2.0), (2, 2.0, 4.0), (2, None, 9.0)], "g int, x double, y double")
     got = {r["g"]: r["c"] for r in df.groupBy("g").agg(safe_corr("x", "y").alias("c")).collect()}
     assert got[1] is None and abs(got[2] - 1) < 1e-12
+
+
+def test_ties_nulls_and_groups_that_straddle_tasks(spark):
+    """A value with most rows lies in many tasks; its ranks come from the small table."""
+    rng = random.Random(11)
+    data = [("hot" if rng.random() < 0.7 else rng.choice(["b", None]), rng.choice([1.0, 1.0, 1.0, 1.0, 0.0, -0.0, 2.5, float("nan"), None, rng.random()]), i) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, v double, k int")
+    key = lambda v: (1, 0.0) if v != v else (0, v)  # noqa: E731  NaN is largest and equals itself
+    groups = {}
+    for g, v, _ in data:
+        if v is not None:
+            groups.setdefault(g, []).append(key(v))
+    for partitions in (37, 400):
+        got = {r.k: (r.less, r.ties, r.n) for r in ranks.positioned(df, ["g"], "v", partitions=partitions).collect()}
+        assert len(got) == len(data)
+        for g, v, k in data:
+            values = groups[g]
+            want = (None, None, None) if v is None else (sum(x < key(v) for x in values), values.count(key(v)), len(values))
+            assert got[k] == want, (g, v)
+    alone = {r.k: (r.less, r.ties, r.n) for r in ranks.positioned(df.where("g = 'b'"), [], "v", partitions=9).collect()}
+    for g, v, k in data:
+        if g == "b" and v is not None:
+            assert alone[k] == (sum(x < key(v) for x in groups["b"]), groups["b"].count(key(v)), len(groups["b"]))
+    assert ranks.positioned(df.limit(0), ["g"], "v").count() == 0
+    assert ranks.positioned(df.where("v IS NULL"), [], "v").where("less IS NOT NULL").count() == 0
