@@ -258,7 +258,7 @@ _MOVES = f"SELECT rec.*, lag(pos) {OVER} AS was, lag(trade_date) {OVER} AS signa
 
 @query(
     "b1_trades",
-    f"""SELECT m.ts_code, m.trade_date, signal_date, CASE WHEN m.pos > 0 THEN 'BUY' ELSE 'SELL' END AS action, CASE WHEN m.pos > 0 THEN m.pos ELSE was END AS shares,
+    f"""SELECT m.ts_code, m.trade_date, signal_date, CASE WHEN m.pos > 0 THEN 'BUY' ELSE 'SELL' END AS action, {R('ln(CASE WHEN m.pos > 0 THEN m.pos ELSE was END)', 'log_shares')},
     {R('b.open * CASE WHEN m.pos > 0 THEN 1 + 0.001::DOUBLE ELSE 1 - 0.001::DOUBLE END', 'price')}, {R('ln(abs(m.cash - c.cash))', 'log_amount', 5)}
     FROM moved m JOIN bars b USING (ts_code, trade_date) JOIN rec c ON c.ts_code = m.ts_code AND c.rn = m.rn - 1 WHERE m.pos <> was""",
     sig=_SIG,
@@ -267,7 +267,7 @@ _MOVES = f"SELECT rec.*, lag(pos) {OVER} AS was, lag(trade_date) {OVER} AS signa
 )
 def _(t):
     out = B.signal_trades(_signalled(t))
-    return rounded(out.select(*K, "signal_date", "action", "shares", "price", F.log("cash_amount").alias("log_amount")), 6, log_amount=5)
+    return rounded(out.select(*K, "signal_date", "action", F.log("shares").alias("log_shares"), "price", F.log("cash_amount").alias("log_amount")), 6, log_amount=5)
 
 
 @query(
