@@ -13,6 +13,8 @@ from barspan.streaming import indicators as I
 from barspan.streaming import parse as P
 
 KEYS = ["ts_code", "trade_date"]
+# Fixed value: the reason that late rows carry.
+LATE_REASON = "TRADE_DATE_BEFORE_LATEST"
 
 _MSG = f"""SELECT event_id AS "offset", {code_sql('user_id')} AS code, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k,
     event_type = 'error' AS bad, CAST(ts AS DATE) AS d, value, ts FROM events"""
@@ -161,7 +163,7 @@ def _(t):
 )
 def _(t):
     late = I.tag_late(P.accepted(P.parse(t.messages))).where("is_late")
-    return late.select("offset", *KEYS, F.col("latest_before").alias("latest_date"), F.lit("TRADE_DATE_BEFORE_LATEST").alias("reason"))
+    return late.select("offset", *KEYS, F.col("latest_before").alias("latest_date"), F.lit(LATE_REASON).alias("reason"))
 
 
 @query("t6_batch_twin", _ROWS, **_STREAM)

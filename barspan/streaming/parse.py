@@ -15,6 +15,7 @@ _FIELDS = [f.name for f in EVENT_SCHEMA.fields]
 _SIGNED = ("open", "high", "low", "preClose")  # required, any sign
 
 
+# Error classes and the texts of the rules, as the event contract words them.
 def violations(event: str = "event", key: str = "key") -> Column:
     """All broken rules of a decoded event, in contract order."""
 
