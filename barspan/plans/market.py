@@ -255,7 +255,7 @@ _FEATS = ["return_1d", "bias20", "volume_ratio", "volatility_20d", "turnover_rat
 )
 def _(t):
     p = daily_panel(t.bars, t.valuation).withColumns(W._steps())
-    p = p.withColumns({**W.returns(), **W.bias((20,)), **W.volume(), **W.risk(windows=(20,)), **W.turnover()})
+    p = p.withColumns({**W.returns(), **W.moving_averages((20,)), **W.volume(), **W.risk(windows=(20,)), **W.turnover()}).withColumns(W.bias((20,)))
     return rounded(M.correlation_matrix(p, _FEATS))
 
 
