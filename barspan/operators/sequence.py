@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,34 +190,84 @@ def _steps() -> dict[str, Column]:
     }
 
 
-def _framed(w: int) -> Callable:
-    frame = last_rows(w)
-
-    def over(agg: Column, skip: int = 0) -> Column:
-        """``agg`` over the last ``w`` rows; null until ``w`` rows after the first ``skip``."""
-        return F.when(F.col("_n") >= w + skip, agg.over(frame))
-
-    return over
+class Frame:
+    """The last ``w`` rows of every row of one instrument, from its ``w``-th row on, for several columns at once.
 
+    Nulls are NaN and take no part. Values are shifted by one of the frame's own before they are summed, so a constant
+    frame has exactly no deviation. Every result has a row per column.
+    """
 
-def trend_family(w: int) -> dict[str, Column]:
+    def __init__(self, values: np.ndarray, w: int):
+        self.rows = np.lib.stride_tricks.sliding_window_view(values, w, axis=1)
+        self.whole = not np.isnan(values).any()
+        if self.whole:
+            self.n = np.full(self.rows.shape[:2], float(w))
+            self.shift = self.rows[..., 0]
+            moved = self.rows - self.shift[..., None]
+            low = np.einsum("kij->ki", moved) / w
+            moved -= low[..., None]
+        else:
+            self.known = ~np.isnan(self.rows)
+            self.n = self.known.sum(2).astype(float)
+            self.shift = np.where(self.known, self.rows, -np.inf).max(2)
+            moved = np.where(self.known, self.rows - self.shift[..., None], 0.0)
+            low = moved.sum(2) / self.n
+            moved = np.where(self.known, moved - low[..., None], 0.0)
+        self.mean, self.dev = self.shift + low, moved
+        self.squares = np.einsum("kij,kij->ki", self.dev, self.dev)
+        self.deviation = np.sqrt(self.squares / self.n)
+
+    def sample_deviation(self, k: int) -> np.ndarray:
+        return np.sqrt(self.squares[k] / np.where(self.n[k] > 1, self.n[k] - 1, np.nan))
+
+    def correlation(self, a: int, b: int) -> np.ndarray:
+        """Population covariance of the pairs of two columns over both deviations; NaN where a side is constant."""
+        if self.whole:
+            covariance = np.einsum("ij,ij->i", self.dev[a], self.dev[b]) / self.n[a]
+        else:
+            both = self.known[a] & self.known[b]
+            n = both.sum(1)
+            x, y = np.where(both, self.dev[a], 0.0), np.where(both, self.dev[b], 0.0)
+            covariance = (np.einsum("ij,ij->i", x, y) - x.sum(1) * y.sum(1) / n) / n
+        scale = self.deviation[a] * self.deviation[b]
+        return covariance / np.where(scale == 0, np.nan, scale)
+
+
+def _sums(values: np.ndarray, w: int) -> np.ndarray:
+    """Sums of each column over the last ``w`` rows, without nulls; NaN where there are only nulls."""
+    rows = np.lib.stride_tricks.sliding_window_view(values, w, axis=1)
+    if not np.isnan(values).any():
+        return np.einsum("kij->ki", rows)
+    known = ~np.isnan(rows)
+    return np.where(known.any(2), np.where(known, rows, 0.0).sum(2), np.nan)
+
+
+def _lagged(values: np.ndarray, n: int) -> np.ndarray:
+    return np.r_[np.full(min(n, len(values)), np.nan), values[:-n]]
+
+
+def trend_family(rows: dict[str, np.ndarray], w: int) -> dict[str, np.ndarray]:
     """ROC, MA, STD and the regression trio on the last ``w`` closes."""
-    over, unit, c = _framed(w), F.col("close") + EPS, F.col("close")
-    mean, dev = over(F.avg("close")), over(F.stddev_pop("close"))
+    c = rows["close"]
+    now, f = c[w - 1 :], Frame(c[None], w)
+    unit = now + EPS
     # least squares on 0..w-1: the x moments are constants of the window length
-    xbar, sxx = (w - 1) / 2, w * (w * w - 1) / 12
-    first = F.col("_n") - (w - 1)
-    sxy = over(F.sum(F.col("_n") * c)) - (first + xbar) * mean * w
+    x, sxx = np.arange(w) - (w - 1) / 2, w * (w * w - 1) / 12
+    mean, dev = f.mean[0], f.deviation[0]
+    if f.whole:
+        sxy = np.einsum("ij,j->i", f.dev[0], x)
+    else:  # absent values add nothing, the mean stands for all rows
+        held = np.where(f.known[0], f.rows[0], 0.0)
+        sxy = held @ x + (np.arange(len(held)) + (w + 1) / 2) * (held.sum(1) - mean * w)
     slope = sxy / sxx
-    share = slope * slope * sxx / F.when(dev > 0, dev * dev * w)
-    fit = F.when(share > 1, F.lit(1.0)).otherwise(share)
+    share = slope * slope * sxx / np.where(dev > 0, dev * dev * w, np.nan)
     return {
-        f"ROC{w}": previous("close", w) / unit,
+        f"ROC{w}": _lagged(c, w)[w - 1 :] / unit,
         f"MA{w}": mean / unit,
         f"STD{w}": dev / unit,
         f"BETA{w}": slope / unit,
-        f"RSQR{w}": fit,
-        f"RESI{w}": (c - (mean + slope * ((w - 1) - xbar))) / unit,
+        f"RSQR{w}": np.where(share > 1, 1.0, share),
+        f"RESI{w}": (now - (mean + slope * ((w - 1) / 2))) / unit,
     }
 
 
@@ -280,76 +331,105 @@ def range_family(w: int) -> dict[str, Column]:
     }
 
 
-def _interpolated(ordered: Column, w: int, q: float) -> Column:
-    lo = int((w - 1) * q)
-    share = (w - 1) * q - lo
-    a = F.get(ordered, F.lit(lo))
-    return a + (F.get(ordered, F.lit(min(lo + 1, w - 1))) - a) * share
-
-
-def _below(value: Column):
-    return lambda x: x < value
-
-
-def _equal(value: Column):
-    return lambda x: x == value
-
-
-def order_family(w: int) -> dict[str, Column]:
+def order_family(rows: dict[str, np.ndarray], w: int) -> dict[str, np.ndarray]:
     """Quantiles of, and average-rank share in, the last ``w`` closes (at most 60 values a row)."""
-    over, unit, c = _framed(w), F.col("close") + EPS, F.col("close")
-    values = over(F.collect_list("close"))
-    ordered = F.sort_array(values)
-    less, ties = F.size(F.filter(values, _below(c))), F.size(F.filter(values, _equal(c)))
-    return {
-        f"QTLU{w}": _interpolated(ordered, w, 0.8) / unit,
-        f"QTLD{w}": _interpolated(ordered, w, 0.2) / unit,
-        f"RANK{w}": F.when(values.isNotNull(), (less + (ties + 1) / 2) / w),
-    }
+    c = rows["close"]
+    now, seen = c[w - 1 :], np.lib.stride_tricks.sliding_window_view(c, w)
+    ordered, unit = np.sort(seen, axis=1), now + EPS  # nulls stand last
 
+    def quantile(q: float) -> np.ndarray:
+        lo = int((w - 1) * q)
+        a, b = ordered[:, lo], ordered[:, min(lo + 1, w - 1)]
+        return a + (b - a) * ((w - 1) * q - lo)
 
-def flow_family(w: int) -> dict[str, Column]:
-    """Correlations, counts of rises, and shares of gains in price and volume."""
-    over, v = _framed(w), F.col("vol")
-    up, dn = over(F.avg("_up")), over(F.avg("_dn"))
+    less, ties = (seen < now[:, None]).sum(1), (seen == now[:, None]).sum(1)
+    return {f"QTLU{w}": quantile(0.8) / unit, f"QTLD{w}": quantile(0.2) / unit, f"RANK{w}": (less + (ties + 1) / 2) / w}
 
-    def both(x, y):
-        # a constant window has no correlation: null here, 0 after the fill
-        return F.try_divide(over(F.covar_pop(x, y)), over(F.stddev_pop(x)) * over(F.stddev_pop(y)))
 
+def flow_family(rows: dict[str, np.ndarray], w: int) -> dict[str, np.ndarray]:
+    """Correlations, counts of rises, and shares of gains in price and volume."""
+    late = np.arange(len(rows["vol"]) - w + 1) > 0  # the first row has no step: frames of steps are full one row later
+    first = lambda c: np.r_[0.0, rows[c][1:]]
+    f = Frame(np.stack([rows["vol"], rows["close"], rows["_logv"], rows["_cr"], rows["_vr"], first("_wret")]), w)
+    up, dn, gain, loss, vgain, vloss = _sums(np.stack([rows["_up"], rows["_dn"], *map(first, ("_gain", "_loss", "_vgain", "_vloss"))]), w)
+    unit = rows["vol"][w - 1 :] + EPS
     out = {
-        f"CORR{w}": both("close", "_logv"),
-        f"CORD{w}": both("_cr", "_vr"),
-        f"CNTP{w}": up,
-        f"CNTN{w}": dn,
-        f"CNTD{w}": up - dn,
+        # a constant window has no correlation: null here, 0 after the fill
+        f"CORR{w}": f.correlation(1, 2),
+        f"CORD{w}": f.correlation(3, 4),
+        f"CNTP{w}": up / w,
+        f"CNTN{w}": dn / w,
+        f"CNTD{w}": up / w - dn / w,
     }
-    for tag, gain, loss in (("SUM", "_gain", "_loss"), ("VSUM", "_vgain", "_vloss")):
-        g, s = over(F.sum(gain), 1), over(F.sum(loss), 1)
-        out |= {f"{tag}P{w}": g / (g + s + EPS), f"{tag}N{w}": s / (g + s + EPS), f"{tag}D{w}": (g - s) / (g + s + EPS)}
+    for tag, g, s in (("SUM", gain, loss), ("VSUM", vgain, vloss)):
+        both = np.where(late, g + s + EPS, np.nan)
+        out |= {f"{tag}P{w}": g / both, f"{tag}N{w}": s / both, f"{tag}D{w}": (g - s) / both}
     out |= {
-        f"VMA{w}": over(F.avg("vol")) / (v + EPS),
-        f"VSTD{w}": over(F.stddev_pop("vol")) / (v + EPS),
-        f"WVMA{w}": over(F.stddev_samp("_wret"), 1) / (over(F.avg("_wret"), 1) + EPS),
+        f"VMA{w}": f.mean[0] / unit,
+        f"VSTD{w}": f.deviation[0] / unit,
+        f"WVMA{w}": np.where(late, f.sample_deviation(5) / (f.mean[5] + EPS), np.nan),
     }
     return out
 
 
+#: What a family reads of an instrument's rows.
+NEEDS = {trend_family: ("close",), order_family: ("close",), flow_family: ("close", "vol", "_logv", "_cr", "_vr", "_up", "_dn", "_gain", "_loss", "_vgain", "_vloss", "_wret")}
+
+
+def _family_names(family: Callable, windows) -> list[str]:
+    blank = {c: np.zeros(max(windows)) for c in NEEDS[family]}
+    with np.errstate(all="ignore"):
+        return [n for w in windows for n in family(blank, w)]
+
+
+def _family_group(families, windows, names: list[str]):
+    fields = {k: pa.field(k, pa.float64(), nullable=False) for k in names}
+
+    def per_code(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("trade_date", "ascending")], null_placement="at_start"))
+        n, out = rows.num_rows, {}
+        with np.errstate(all="ignore"):
+            for family in families:
+                own = {c: rows[c].to_numpy().astype(np.float64) for c in NEEDS[family]}
+                for w in (w for w in windows if w <= n):
+                    out |= family(own, w)
+        for k in names:
+            v = np.zeros(n)
+            if k in out:
+                v[n - len(out[k]) :] = np.where(np.isfinite(out[k]), out[k], 0.0)
+            rows = rows.append_column(fields[k], pa.array(v))
+        return rows
+
+    return per_code
+
+
+def with_families(df: DataFrame, families, windows) -> DataFrame:
+    """Adds the columns of trend, order and flow families, zero-filled: one pass over each instrument's rows, at most one per session."""
+    names = [n for family in families for n in _family_names(family, windows)]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType(), False) for n in names]])
+    return df.groupBy("ts_code").applyInArrow(_family_group(families, windows, names), schema)
+
+
 FAMILIES = (trend_family, range_family, order_family, flow_family)
 
 
 def features_158(df: DataFrame, families=FAMILIES, windows=WINDOWS) -> DataFrame:
-    """Candle shapes plus the windowed families; one select per family keeps methods small."""
+    """Candle shapes plus the windowed families, in grouped passes over the same partitioning."""
     keep = df.columns
-    out = df.withColumns(candle_shapes()).withColumns(_steps())
+    out = df.withColumns(_steps())
+    grouped = [f for f in families if f in NEEDS]
+    if grouped:
+        used = {c for f in grouped for c in NEEDS[f]}
+        out = with_families(out.drop(*[c for c in _steps() if c not in used and c != "_n"]), grouped, windows)
     if range_family in families:
         out = with_extremes(out, windows)
-    names = list(candle_shapes())
+        out = out.withColumns(reduce(lambda a, b: a | b, (range_family(w) for w in windows)))
+    names, ready = list(candle_shapes()), set()
     for family in families:
-        columns = reduce(lambda a, b: a | b, (family(w) for w in windows))
-        out = out.withColumns(columns)
-        names += columns
-    return zero_filled(out, names).select(*keep, *names)
+        own = _family_names(family, windows) if family in NEEDS else list(reduce(lambda a, b: a | b, (range_family(w) for w in windows)))
+        ready |= set(own) if family in NEEDS else set()
+        names += own
+    return zero_filled(out.withColumns(candle_shapes()), [n for n in names if n not in ready]).select(*keep, *names)
 
 
 # -- cross section ------------------------------------------------------------------
