@@ -119,3 +119,11 @@ def test_pages_of_the_tables(spark, sf_dir):
 
     want = {p.page_id: inside(p.html) for p in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     assert {r.page_id: r.text for r in QUERIES["op11_html_main_text"](spark, sf_dir).collect()} == want
+
+
+def test_rates_of_long_runs_count_the_whole_run():
+    runs = ["1A" * 600 + "b" * 5000 + "Ü٣" * 4000 + "." * 1200, "", "x1Y", "\U0001d7d8" * 3000]
+    counts = op11._run_counts(runs)
+    for row, t in zip(counts, runs):
+        assert row[0] == len(t)
+        assert row[3] == sum(map(str.isdigit, t)) and row[4] == sum(map(str.isupper, t))
