@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspan.functions.frames import safe_corr
-from barspan.functions.ranks import average_rank, average_ranks, long_form, position_quantile, positioned, row_order
+from barspan.functions.ranks import average_rank, average_ranks, long_form, position_quantile, positioned, row_order, with_average_rank
 from barspan.functions.scalars import finite
 from barspan.operators.clean import safe_features
 from barspan.operators.tables import top_rows
@@ -288,6 +288,25 @@ def ranking_metrics(df: DataFrame, score: str = "score", label: str = "label") -
     return ic.withColumn("rmse", rmse)
 
 
+def trial_metrics(df: DataFrame, scores: list[str], label: str = "label") -> DataFrame:
+    """(name, mean_daily_rank_ic, defined_dates, total_dates) of several scores over the rows that have them all.
+
+    The label is ranked once. The scores are ranked together, each row taking the label's rank along, so the
+    correlations are sums per date and nothing is joined back on the keys.
+    """
+    known = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*scores, label]]))
+    known = known.select("trade_date", F.hash("ts_code").alias("_row"), *scores, label)  # the hash keeps equal rows apart
+    placed = with_average_rank(known, ["trade_date"], label, "_label_rank")
+    ranked = positioned(long_form(placed, ["trade_date", "_row", "_label_rank"], scores), ["trade_date", "measure"], "value")
+    a, b = average_rank(), F.col("_label_rank")
+    live = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    day = ranked.groupBy("trade_date", "measure").agg(F.when(live, F.round(safe_corr(a, b), 12)).alias("rank_ic"))
+    name = F.get(F.array(*map(F.lit, scores)), F.col("measure"))
+    return day.groupBy(name.alias("name")).agg(
+        F.avg("rank_ic").alias("mean_daily_rank_ic"), F.count("rank_ic").alias("defined_dates"), F.count(F.lit(1)).alias("total_dates")
+    )
+
+
 def decile_diagnostics(df: DataFrame) -> DataFrame:
     """Per date: matched rows, mean label of the top and bottom decile by score, and of all."""
     matched = df.where("label IS NOT NULL")

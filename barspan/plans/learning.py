@@ -15,6 +15,7 @@ from barspan.plans.oracle import R
 from barspan.plans.registry import query, rounded
 from barspan.plans.sequence import _LAB
 from barspan.plans.technical import K, OVER, win
+from barspan.session import cut_lineage
 
 FEATURES = ["ret", "bias5", "vr"]
 
@@ -453,11 +454,8 @@ _TRIALS = {
 def _(t):
     df = _samples(t).where("ret IS NOT NULL AND bias5 IS NOT NULL AND label IS NOT NULL")
     df = df.select(*K, "label", F.col("ret").alias("control"), (-F.col("ret")).alias("reversal"), F.col("vol").alias("volume"), F.col("bias5").alias("bias"))
-    trials = None
-    for name in ("control", "reversal", "volume", "bias"):
-        row = L.ranking_metrics(df, name).select(F.lit(name).alias("name"), "mean_daily_rank_ic", "defined_dates", "total_dates")
-        trials = row if trials is None else trials.unionByName(row)
-    return rounded(L.select_trial(trials, "control"))
+    trials = L.trial_metrics(df, ["control", "reversal", "volume", "bias"])
+    return rounded(L.select_trial(cut_lineage(trials, "trials"), "control"))
 
 
 # -- models -------------------------------------------------------------------------
