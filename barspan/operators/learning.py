@@ -28,28 +28,35 @@ def date_index(df: DataFrame, date: str = "trade_date") -> DataFrame:
     return days.withColumns({"day_index": F.row_number().over(w) - 1, "days": F.count(F.lit(1)).over(Window.partitionBy())})
 
 
-def whole_date_split(df: DataFrame, train: float = 0.6, val: float = 0.2) -> DataFrame:
-    """``split`` in train/val/test by date; a date never falls into two sets."""
+def _date_splits(df: DataFrame, train: float, val: float) -> DataFrame:
+    """(trade_date, split) of the distinct dates: one row per session."""
     days, i = date_index(df), F.col("day_index")
     a, b = F.floor(F.col("days") * F.lit(train)), F.floor(F.col("days") * F.lit(train + val))
     split = F.when(i < a, "train").when(i < b, "val").otherwise("test")
-    return df.join(F.broadcast(days.select("trade_date", split.alias("split"))), "trade_date")
+    return days.select("trade_date", split.alias("split"))
 
 
-def _starts(df: DataFrame) -> dict[str, Column]:
-    """First date of every split as scalars."""
-    first = df.groupBy("split").agg(F.min("trade_date").alias("d"))
-    return {s: first.where(F.col("split") == s).select("d").scalar() for s in ("val", "test")}
+def whole_date_split(df: DataFrame, train: float = 0.6, val: float = 0.2) -> DataFrame:
+    """``split`` in train/val/test by date; a date never falls into two sets."""
+    return df.join(F.broadcast(_date_splits(df, train, val)), "trade_date")
 
 
 def purged_split(samples: DataFrame, train: float = 0.6, val: float = 0.2) -> DataFrame:
-    """A label must be realised before the next split starts, else the sample is ``purged``."""
-    df = whole_date_split(samples.where("label IS NOT NULL AND label_target_date IS NOT NULL"), train, val)
-    first = _starts(df)
-    touches = F.when(F.col("split") == "train", F.col("label_target_date") >= first["val"]).when(
-        F.col("split") == "val", F.col("label_target_date") >= first["test"]
-    )
-    return df.withColumn("split", F.when(F.coalesce(touches, F.lit(False)), "purged").otherwise(F.col("split")))
+    """A label must be realised before the next split starts, else the sample is ``purged``.
+
+    The splits' first dates come from the table of dates, so the samples are read for it once.
+    """
+    known = samples.where("label IS NOT NULL AND label_target_date IS NOT NULL")
+    days = _date_splits(known, train, val)
+
+    def first(split):
+        return F.min(F.when(F.col("split") == split, F.col("trade_date"))).over(Window.partitionBy())  # one row per session
+
+    days = days.withColumns({"_val": first("val"), "_test": first("test")})
+    df = known.join(F.broadcast(days), "trade_date")
+    target = F.col("label_target_date")
+    touches = F.when(F.col("split") == "train", target >= F.col("_val")).when(F.col("split") == "val", target >= F.col("_test"))
+    return df.withColumn("split", F.when(F.coalesce(touches, F.lit(False)), "purged").otherwise(F.col("split"))).drop("_val", "_test")
 
 
 def split_summary(samples: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """Calendars, lifecycles, coverage, attribution, gap planning and readiness.
 
 Calendar tables hold one row per day and are broadcast; grids of expected keys come from
-exploding each member's own lifetime and an equi-join with the open days.
+exploding each member's own lifetime and an equi-join with the open days. Where a grid takes
+facts along, the stored rows of a code stand in order and each fills the days up to the next,
+so the grid itself is neither shuffled nor sorted (``filled_grid``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,17 +80,52 @@ def select_cutoff(calendar: DataFrame, bars: DataFrame, as_of, factors: DataFram
 
 
 # -- lifecycles ---------------------------------------------------------------------
-def lifetime_grid(master: DataFrame, sessions: DataFrame, floor=None) -> DataFrame:
-    """One row per member and open session in [max(list, floor), delist)."""
+def _lives(master: DataFrame, sessions: DataFrame, floor=None) -> DataFrame:
+    """Members with the first and last day of [max(list, floor), delist) inside the calendar, ``_a`` and ``_b``."""
     span = sessions.agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi"))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     first = F.greatest(F.col("list_date"), lo if floor is None else F.greatest(lo, F.lit(floor).cast("date")))
     last = F.least(F.date_sub("delist_date", 1), hi)
-    lives = master.withColumns({"_a": first, "_b": last}).where(F.col("_a") <= F.col("_b"))
+    return master.withColumns({"_a": first, "_b": last}).where(F.col("_a") <= F.col("_b"))
+
+
+def lifetime_grid(master: DataFrame, sessions: DataFrame, floor=None) -> DataFrame:
+    """One row per member and open session in [max(list, floor), delist)."""
+    lives = _lives(master, sessions, floor)
     days = lives.select("ts_code", F.explode(F.sequence("_a", "_b")).alias("trade_date"))
     return days.join(F.broadcast(sessions.select("trade_date")), "trade_date", "left_semi")
 
 
+def keyed_facts(*sources: DataFrame) -> DataFrame:
+    """One row per (code, day) with the columns of all ``sources``, null where a source has no row.
+
+    The sources move together and once, by code: a code has at most a row per day of each.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources).where(F.col("ts_code").isNotNull())
+    return rows.repartition("ts_code").groupBy(*KEY).agg(*[F.max(c).alias(c) for c in rows.columns if c not in KEY])
+
+
+def filled_grid(master: DataFrame, sessions: DataFrame, facts: DataFrame, floor=None) -> DataFrame:
+    """``lifetime_grid`` with the member's columns and, where a day has a row in ``facts``, that row's columns.
+
+    A stored row stands for its own day and the days without a row up to the next one, a code's first row also
+    for the days before it, a member without any for its whole life. What moves are members and facts.
+    """
+    names = [c for c in facts.columns if c not in KEY]
+    known = facts.select("ts_code", F.col("trade_date").alias("_day"), *names).where("_day IS NOT NULL")
+    w = Window.partitionBy("ts_code").orderBy("_day")  # at most one row per calendar day
+    stored = known.withColumns({"_first": F.row_number().over(w) == 1, "_next": F.lead("_day").over(w)})
+    rows = _lives(master, sessions, floor).join(stored, "ts_code", "left")
+    start = F.when(F.coalesce("_first", F.lit(True)), F.col("_a")).otherwise(F.greatest("_a", "_day"))
+    until = F.least("_b", F.greatest("_day", F.date_sub("_next", 1)))
+    end = F.when(F.col("_next").isNull(), F.col("_b")).otherwise(until)
+    spans = rows.withColumns({"_from": start, "_to": end}).where(F.col("_from") <= F.col("_to"))
+    days = spans.withColumn("trade_date", F.explode(F.sequence("_from", "_to")))
+    own = F.col("trade_date") == F.col("_day")
+    days = days.join(F.broadcast(sessions.select("trade_date")), "trade_date", "left_semi")
+    return days.select(*master.columns, "trade_date", *[F.when(own, F.col(c)).alias(c) for c in names])
+
+
 def inactive_reason(day: Column) -> Column:
     return F.when(day < F.col("list_date"), "PRE_LISTING").when(day >= F.col("delist_date"), "POST_DELISTING")
 
@@ -214,10 +253,9 @@ def attribute_sources(
 
 def attribute_facts(master: DataFrame, sessions: DataFrame, facts: DataFrame, halts: DataFrame) -> DataFrame:
     """Status of every (code, session): ``facts`` has ``origin``, ``basic``, ``pe`` and ``factor`` per key, null where absent."""
-    grid = lifetime_grid(master.withColumns({"list_date": F.lit("1900-01-01").cast("date"), "delist_date": F.lit(None).cast("date")}), sessions)
     facts = facts.select(*KEY, "origin", "pe", F.col("basic").alias("_basic"), F.col("factor").alias("_factor"))
-    rows = grid.join(master.select("ts_code", "list_date"), "ts_code").join(facts, KEY, "left").join(halt_days(halts), KEY, "left")
-    early = F.col("trade_date") < F.col("list_date")
+    rows = filled_grid(_whole_lives(master, "list_date"), sessions, keyed_facts(facts, halt_days(halts)))
+    early = F.col("trade_date") < F.col("_list_date")
     full, mixed = F.coalesce("full_day", F.lit(False)), F.coalesce("mixed", F.lit(False))
     quoted = F.col("origin").isNotNull()
     confirmed = F.coalesce("intraday_only", F.lit(False)) & F.col("origin").isin("PROVIDER_ROW", "PROVIDER_VERIFIED_EXISTING")
@@ -237,6 +275,12 @@ def attribute_facts(master: DataFrame, sessions: DataFrame, facts: DataFrame, ha
     )
 
 
+def _whole_lives(master: DataFrame, *columns: str) -> DataFrame:
+    """Members that are asked for on every session, each with its own ``columns`` under a leading underscore."""
+    every = master.select("ts_code", F.lit("1900-01-01").cast("date").alias("list_date"), F.lit(None).cast("date").alias("delist_date"))
+    return every.join(master.select("ts_code", *[F.col(c).alias(f"_{c}") for c in columns]), "ts_code")
+
+
 def attribute_valuation(master: DataFrame, sessions: DataFrame, facts: DataFrame) -> DataFrame:
     """Where each valuation row comes from, and what a missing ratio means.
 
@@ -244,8 +288,7 @@ def attribute_valuation(master: DataFrame, sessions: DataFrame, facts: DataFrame
     row has a null ``pb``. A row of both sides is verified if all values agree, and a conflict otherwise;
     the store's row is the one in force.
     """
-    grid = lifetime_grid(master.withColumns({"list_date": F.lit("1900-01-01").cast("date"), "delist_date": F.lit(None).cast("date")}), sessions)
-    rows = grid.join(master.select("ts_code", "list_date"), "ts_code").join(facts, KEY, "left")
+    rows = filled_grid(_whole_lives(master, "list_date"), sessions, facts)
     stored, given = F.col("s_pb").isNotNull(), F.col("p_pb").isNotNull()
     same = F.col("s_pb").eqNullSafe(F.col("p_pb")) & F.col("s_pe").eqNullSafe(F.col("p_pe"))
     origin = (
@@ -253,7 +296,7 @@ def attribute_valuation(master: DataFrame, sessions: DataFrame, facts: DataFrame
         .when(given & ~stored, "PROVIDER_ROW")
         .when(stored & given & same, "PROVIDER_VERIFIED_EXISTING")
         .when(stored & given, "SOURCE_CONFLICT")
-        .when(F.col("trade_date") < F.col("list_date"), "PRE_LISTING")
+        .when(F.col("trade_date") < F.col("_list_date"), "PRE_LISTING")
         .otherwise("MISSING_BASIC_ROW")
     )
     pe = F.when(stored, F.col("s_pe")).otherwise(F.col("p_pe"))
@@ -427,15 +470,15 @@ def qualify_samples(master: DataFrame, sessions: DataFrame, bars: DataFrame, hal
     The label is the exact ``horizon``-th calendar session. A missing quote without a
     proven halt is reported as UNEXPLAINED_QUOTE_GAP instead of being skipped.
     """
-    full = halts.select(*KEY).distinct().withColumn("_halt", F.lit(True))
     w = Window.partitionBy("ts_code").orderBy("trade_date")
-    quotes = bars.select(*KEY, "close").withColumn("_age", F.row_number().over(w) - 1)
-    whole_life = master.withColumns({"list_date": F.lit("1900-01-01").cast("date"), "delist_date": F.lit(None).cast("date")})
-    asked = lifetime_grid(whole_life, sessions).where(F.col("trade_date") <= F.lit(end).cast("date"))
-    rows = target_session(asked, sessions, horizon).join(master.select("ts_code", "list_date", "delist_date"), "ts_code")
-    rows = rows.join(quotes, KEY, "left").join(full, KEY, "left")
-    later = bars.select("ts_code", F.col("trade_date").alias("target_date"), F.col("close").alias("target_close"))
-    rows = rows.join(later, ["ts_code", "target_date"], "left")
+    quotes = bars.select(*KEY, "close", F.lit(1).alias("_bar"))
+    facts = keyed_facts(quotes, halts.select(*KEY, F.lit(True).alias("_halt"))).withColumn("_age", F.sum("_bar").over(w) - 1)
+    placed = facts.join(F.broadcast(sessions.select("trade_date", "ordinal")), "trade_date")  # one row per calendar day
+    later = Window.partitionBy("ts_code").orderBy("ordinal").rangeBetween(horizon, horizon)
+    facts = placed.withColumn("target_close", F.max("close").over(later)).drop("_bar", "ordinal")
+    rows = filled_grid(_whole_lives(master, "list_date", "delist_date"), sessions, facts).where(F.col("trade_date") <= F.lit(end).cast("date"))
+    rows = rows.withColumns({"list_date": F.col("_list_date"), "delist_date": F.col("_delist_date")})
+    rows = target_session(rows, sessions, horizon)
     quoted, target = F.col("close").isNotNull(), F.col("target_date")
     reason = F.coalesce(
         inactive_reason(F.col("trade_date")),

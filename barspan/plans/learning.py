@@ -183,6 +183,7 @@ def _(t):
 def _(t):
     q = Q.qualify_samples(t.master, Q.session_ordinals(t.calendar), t.bars, Q.halt_days(t.suspensions).where("full_day"), "2001-06-29")
     eligible = q.where("reason IS NULL").withColumnRenamed("target_date", "label_target_date")
+    eligible = cut_lineage(eligible.select("trade_date", "label_target_date", "label"), "eligible")  # the split reads it twice
     return L.split_summary(L.purged_split(eligible))
 
 

@@ -103,8 +103,7 @@ def _(t):
     **_G,
 )
 def _(t):
-    g = Q.lifetime_grid(t.master, _sessions(t))
-    g = g.join(t.bars.select(*K, "close"), K, "left").join(t.valuation.select(*K, "total_mv"), K, "left")
+    g = Q.filled_grid(t.master, _sessions(t), t.expected_facts)
     return g.select(*K, F.col("close").isNotNull().alias("has_bar"), F.col("total_mv").isNotNull().alias("has_valuation"))
 
 

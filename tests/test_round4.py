@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from barspan.operators import learning as L
+from barspan.operators import quality as Q
 from barspan.operators import sequence as S
 from barspan.operators import technical as W
 from barspan.sources.adapter import MarketTables
@@ -126,3 +127,41 @@ def test_trials_equal_one_ranking_each(spark):
         want = L.ranking_metrics(df, name).first()
         assert (got[name].defined_dates, got[name].total_dates) == (want.defined_dates, want.total_dates)
         assert got[name].mean_daily_rank_ic == pytest.approx(want.mean_daily_rank_ic) if want.defined_dates else got[name].mean_daily_rank_ic is None
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grid_takes_its_facts_along_without_being_shuffled(spark):
+    """Facts outside the calendar or the life, none at all, off sessions, and a member listed twice."""
+    day = lambda n: dt.date(2024, 1, n)
+    sessions = Q.session_ordinals(spark.createDataFrame([(day(n), int(n not in (6, 7))) for n in range(1, 13)], "cal_date date, is_open int"))
+    lives = [("a", day(2), None), ("b", dt.date(2020, 1, 1), day(9)), ("c", day(3), None), ("d", day(30), None), ("e", day(4), None), ("e", day(10), None)]
+    master = spark.createDataFrame(lives, "ts_code string, list_date date, delist_date date")
+    left = [("a", day(1), 1), ("a", day(4), 2), ("a", day(6), 3), ("a", day(8), 4), ("b", day(2), 5), ("b", day(11), 6), ("e", day(10), 7), (None, day(3), 8), ("a", None, 9)]
+    right = [("a", day(4), True), ("a", day(12), True), ("e", day(5), True), ("x", day(5), True)]
+    one, two = spark.createDataFrame(left, "ts_code string, trade_date date, v int"), spark.createDataFrame(right, "ts_code string, trade_date date, h boolean")
+    got = Q.filled_grid(master, sessions, Q.keyed_facts(one, two))
+    want = Q.lifetime_grid(master, sessions).join(one, Q.KEY, "left").join(two, Q.KEY, "left")
+    row = ["ts_code", "trade_date", "v", "h"]
+    assert sorted(map(str, got.select(*row).collect())) == sorted(map(str, want.select(*row).collect()))
+    assert "hashpartitioning(ts_code" in _plan(got) and "trade_date#" not in "".join(x for x in _plan(got).splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_grid_queries_do_not_shuffle_their_grid(spark, sf_dir):
+    """Below the step that unfolds the days there are exchanges, above it there are none by code and day."""
+    from barspan.plans.registry import load_all
+
+    queries, _ = load_all()
+    for name in ("j12_expected_key_grid", "q6_missing_inventory"):
+        above = _plan(queries[name](spark, sf_dir)).split("Generate explode(sequence(_from")[0]
+        assert "Exchange hashpartitioning" not in above, name
+
+
+def test_purged_split_plans_its_samples_twice(spark, sf_dir):
+    from barspan.sources.adapter import MarketTables
+
+    t = MarketTables(spark, sf_dir)
+    samples = t.raw("lineitem").selectExpr("cast(l_shipdate as date) trade_date", "cast(l_shipdate as date) + 5 label_target_date", "l_tax label")
+    assert _plan(L.purged_split(samples)).count("FileScan") == 2
