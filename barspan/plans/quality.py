@@ -15,7 +15,7 @@ from barspan.plans.oracle import R, day_sql
 from barspan.plans.registry import query, rounded
 from barspan.plans.sequence import _LAB
 from barspan.plans.technical import K
-from barspan.session import scratch_dir
+from barspan.session import cut_lineage, scratch_dir
 from barspan.sources.adapter import code_of, trade_date
 from barspan.sources.sinks import FeatureStore
 from barspan.streaming import indicators as I
@@ -169,7 +169,7 @@ _STATUS = {
 
 
 def _status(t):
-    facts = t.source_facts  # one aggregation, whose exchange the calendar, the halts and the grid share
+    facts = cut_lineage(t.source_facts, "facts")  # one aggregation for the calendar, the halts and the grid, which take different columns
     return Q.attribute_facts(t.master, Q.session_ordinals(t.calendar_of(facts)), facts, t.halts_of(facts))
 
 

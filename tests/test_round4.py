@@ -165,3 +165,10 @@ def test_purged_split_plans_its_samples_twice(spark, sf_dir):
     t = MarketTables(spark, sf_dir)
     samples = t.raw("lineitem").selectExpr("cast(l_shipdate as date) trade_date", "cast(l_shipdate as date) + 5 label_target_date", "l_tax label")
     assert _plan(L.purged_split(samples)).count("FileScan") == 2
+
+
+def test_missing_inventory_adds_up_the_lines_once(spark, sf_dir):
+    """Calendar, halts and grid take different columns of the facts: they are written once."""
+    from barspan.plans.registry import load_all
+
+    assert "l_tax" not in _plan(load_all()[0]["q6_missing_inventory"](spark, sf_dir))
