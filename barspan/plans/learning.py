@@ -460,6 +460,11 @@ def _(t):
 
 
 # -- models -------------------------------------------------------------------------
+def _kept_samples(t):
+    """The samples' key, features and label, written once: a fit reads them many times."""
+    return cut_lineage(_samples(t).select(*K, *FEATURES, "label", "label_target_date"), "samples")
+
+
 @query("m8_walk_forward_models")
 def _(t):
     samples = _samples(t)
@@ -468,7 +473,7 @@ def _(t):
 
 @query("m9_ranking_regression")
 def _(t):
-    return rounded(D.ranking_regression(L.purged_split(_samples(t)), FEATURES))
+    return rounded(D.ranking_regression(L.purged_split(_kept_samples(t)), FEATURES))
 
 
 @query("m10_noise_probe_fit")
@@ -478,6 +483,6 @@ def _(t):
 
 @query("m12_frozen_model_scores")
 def _(t):
-    df = _samples(t).na.drop(subset=FEATURES)
+    df = _kept_samples(t).na.drop(subset=FEATURES)
     train = df.where("label IS NOT NULL AND label_target_date < DATE '2000-07-01'")
     return rounded(D.score_frozen(train, df, FEATURES))

@@ -172,3 +172,9 @@ def test_missing_inventory_adds_up_the_lines_once(spark, sf_dir):
     from barspan.plans.registry import load_all
 
     assert "l_tax" not in _plan(load_all()[0]["q6_missing_inventory"](spark, sf_dir))
+
+
+def test_frozen_scores_read_their_samples_from_one_written_copy(spark, sf_dir):
+    from barspan.plans.registry import load_all
+
+    assert "l_shipdate" not in _plan(load_all()[0]["m12_frozen_model_scores"](spark, sf_dir))
