@@ -29,6 +29,34 @@ def test_places_of_the_tasks_are_hashed_not_sorted(spark, monkeypatch):
         assert (r.less, r.ties, r.n) == (sum(x < key(r.v) for x in group), group.count(key(r.v)), len(group))
 
 
+def test_probe_passes_write_no_noise_and_deal_large_inputs_evenly(spark, monkeypatch):
+    from barspan.operators import models as D
+
+    written, dealt, write, deal = {}, [], D.cut_lineage, D.dealt_evenly
+
+    def record(df, name):
+        written[name] = df.columns
+        return write(df, name)
+
+    def record_deal(df, key, rows):
+        out = deal(df, key, rows)
+        dealt.append((out.rdd.getNumPartitions(), out.count() == df.count()))
+        return out
+
+    monkeypatch.setattr(D, "cut_lineage", record)
+    monkeypatch.setattr(D, "dealt_evenly", record_deal)
+    monkeypatch.setattr(D, "ROWS_PER_TASK", 50)
+    rows = [(f"{c:06d}.SZ", DAY + timedelta(d), (c * 7 + d) % 11 / 11 - 0.5, (c + d * 3) % 5 / 5.0, d) for c in range(20) for d in range(40)]
+    df = spark.createDataFrame(rows, "ts_code string, trade_date date, a double, b double, d int")
+    df = df.withColumns({"label": F.col("a") * 2 + F.col("b") / 100, "label_target_date": F.date_add("trade_date", 2), "unused": F.lit("x")}).drop("d")
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = {r.feature: r for r in D.probe_selection(df, ["a", "b"], noise=2, passes=1).collect()}
+    assert written["probe"] == ["ts_code", "trade_date", "a", "b", *D.PROBE_TASKS] and set(written) == {"probe"}
+    assert dealt == [(34 * 20 // 50 + 1, True)]
+    assert set(got) == {"a", "b"} and got["a"].removed_in is None and got["a"].best > got["b"].best
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+
+
 def test_walk_forward_query_writes_its_samples_once_without_other_columns(spark, sf_dir, monkeypatch):
     from barspan.operators import models as D
     from barspan.plans import learning as PL
