@@ -67,3 +67,57 @@ def test_walk_forward_query_writes_its_samples_once_without_other_columns(spark,
     monkeypatch.setattr(D, "walk_forward", lambda samples, features, folds: seen.append(samples.columns) or samples.limit(0))
     load_all()[0]["m8_walk_forward_models"](spark, sf_dir)
     assert written == ["samples"] and "amount" not in seen[0]
+
+
+class Handle:
+    """The state of one key in plain lists."""
+
+    def __init__(self):
+        self.value, self.entries, self.timers = None, [], []
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(exists=lambda: self.value is not None, get=lambda: self.value, update=lambda v: setattr(self, "value", v))
+
+    def getListState(self, name, schema):
+        return SimpleNamespace(
+            appendValue=self.entries.append, appendList=self.entries.extend, get=lambda: iter(self.entries),
+            put=lambda v: setattr(self, "entries", list(v)), clear=lambda: setattr(self, "entries", []),
+        )
+
+    def listTimers(self):
+        return iter(list(self.timers))
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_rows_that_came_together_are_held_as_one_entry():
+    from barspan.streaming import indicators as I
+
+    values = [Decimal("0.000001"), Decimal("-12345678901234567890123456789012.500000"), Decimal("7.000000")]
+    rows = [(DAY + timedelta(i // 2 - (3 if i % 7 == 6 else 0)), i % 2, 1000 * i, values[i % 3], Decimal(i % 4)) for i in range(60)]
+    frame = lambda some: pd.DataFrame(some, columns=["trade_date", "partition", "offset", "close", "volume"])
+    handle, window = Handle(), I.IndicatorWindow(True)
+    window.init(handle)
+    for part in (rows[40:], rows[:20][::-1], rows[20:40]):
+        assert list(window.handleInputRows(("k",), iter([frame(part)]), None)) == []
+    assert len(handle.entries) == 3 and handle.timers == [2]
+    early = SimpleNamespace(getCurrentWatermarkInMs=lambda: 31)  # offsets up to 30,000
+    handle.timers.clear()
+    first = list(window.handleExpiredTimer(("k",), early, None))
+    late = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**6)
+    assert len(handle.entries) == 1 and handle.timers == [33]
+    second = list(window.handleExpiredTimer(("k",), late, None))
+    assert not handle.entries
+    state, want = None, []
+    for part in (rows[:31], rows[31:]):
+        out, state = I.advance("k", frame(sorted(part, key=lambda r: r[1:3])), state)
+        want.append(out)
+    got, want = pd.concat([*first, *second]), pd.concat(want)
+    assert got.columns.tolist() == I.OUTPUT.names and len(got) == 60
+    for name in I.OUTPUT.names:
+        assert [None if pd.isna(v) else v for v in got[name]] == [None if pd.isna(v) else v for v in want[name]], name
+    assert handle.value == state
