@@ -39,15 +39,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspan.llm.common import written
+from barspan.llm.common import LARGE_ROWS, written
 from barspan.llm.textops import give_back, tidy
 
 #: Characters joined into one call of a tokenizer; both slow down on longer texts.
 CALL_BYTES = 1 << 12
 #: Aligned parts that a task keeps for its next batches (about 300 bytes each); beyond that it starts anew.
 KEPT_PARTS = 200_000
-#: Bytes of text of one bundle; a longer document is a bundle of its own.
-BUNDLE_BYTES = 4 << 20
+#: Bytes of text of one bundle; a longer document is a bundle of its own. A bundle is a row, and a row is in memory whole.
+BUNDLE_BYTES = 1 << 20
 #: Sums of more id pairs than this are joined instead of sent to every worker (16 bytes a pair).
 BROADCAST_PAIRS = 2_000_000
 #: Rows of one pair that meet in one task, in the joined form; more if else over ``HOT_PAIRS`` pairs had several copies.
@@ -352,7 +352,7 @@ def _bundles(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 give_back()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(src.mapInArrow(tidy(run), BUNDLE), "aligned")
+    return written(src.mapInArrow(tidy(run), BUNDLE), "aligned", LARGE_ROWS)
 
 
 def _rows(batches):
@@ -400,7 +400,7 @@ def _with_table(bundles: DataFrame, sums: DataFrame) -> DataFrame:
 
 def _with_join(bundles: DataFrame, sums: DataFrame, per_salt: int) -> DataFrame:
     """Links of each document joined with the sums; a pair that many documents hold has several copies."""
-    keyed = written(bundles.select(F.expr("uuid()").alias("bundle"), "*"), "aligned-keyed")
+    keyed = written(bundles.select(F.expr("uuid()").alias("bundle"), "*"), "aligned-keyed", LARGE_ROWS)
 
     def explode(batches):
         for batch in batches:

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -101,6 +102,25 @@ def test_whole_texts_where_the_vocabulary_allows_no_cut():
     assert cut["digest"] == whole["digest"]
 
 
+def test_what_a_reader_takes_at_once_is_bounded(spark):
+    """A row holds the parts of a megabyte of text, a row group and a page a few rows, however many a task writes."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 6))) for _ in range(20_000)]
+    texts = [" ".join(rnd.choice(words) for _ in range(50_000)) for _ in range(24)]
+    sizes = [len(t) + 1 for t in texts]
+    docs = spark.createDataFrame([(i, t, 7, 7) for i, t in enumerate(texts)], DOC).coalesce(1)
+    bundles = op13._bundles(docs, A, B)
+    ids = [d for r in bundles.select("doc_id").collect() for d in [r.doc_id]]
+    assert sorted(d for b in ids for d in b) == list(range(24))
+    assert max(sum(sizes[d] for d in b) for b in ids) <= 1 << 20
+    groups = []
+    for name in bundles.inputFiles():
+        meta = pq.ParquetFile(name.removeprefix("file:")).metadata
+        groups += [meta.row_group(i) for i in range(meta.num_row_groups)]
+    assert max(g.total_byte_size for g in groups) <= 6 << 20
+    assert sum(g.num_rows for g in groups) == len(ids)
+
+
 def test_empty_table(spark):
     assert op13.align(spark.createDataFrame([], DOC), A, B).count() == 0
 
