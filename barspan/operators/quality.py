@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from barspan.functions.ranks import value_positions
 from barspan.functions.scalars import ohlcv_valid, positive, session_completed
 from barspan.operators.market import session_runs
 from barspan.operators.tables import diff
+from barspan.session import cut_lineage
 
 KEY = ["ts_code", "trade_date"]
 
@@ -358,17 +361,71 @@ def gap_plan(grid: DataFrame, stored: DataFrame, sessions: DataFrame, excluded:
     )
 
 
+#: Words of 64 days that a task of ``request_lists`` is dealt, and that it turns into lists at once.
+WORDS_PER_TASK, WORDS_AT_ONCE = 200_000, 100_000
+_NO_DAY = -(1 << 40)
+
+
+def _day_lists(batches):
+    """Words sorted by code, turned about: per day and method the codes, in order, as pieces numbered by task and ``seq``."""
+
+    def turned(rows: pa.Table, seq: int) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        method, code = (rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("method", "ts_code"))
+        word, bits = (rows.column(c).combine_chunks() for c in ("word", "bits"))
+        dayless = word.is_null().to_numpy(zero_copy_only=False)
+        flags = np.unpackbits(bits.fill_null(1).to_numpy().astype("<i8").view(np.uint8), bitorder="little")
+        at = np.flatnonzero(flags)
+        row, day = at >> 6, at & 63
+        day = np.where(dayless[row], _NO_DAY, word.fill_null(0).to_numpy().astype(np.int64)[row] * 64 + day)
+        days, day = np.unique(day, return_inverse=True)
+        methods, codes = len(method.dictionary), len(code.dictionary)
+        key = (day * methods + method.indices.to_numpy()[row]) * codes + code.indices.to_numpy()[row]  # codes count in their order
+        key.sort()
+        group, which = np.divmod(key, codes)
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        of = group[starts]
+        date = days[of // methods]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), code.dictionary.take(pa.array(which)))
+        n, task = len(starts), rows.column("task")[0].as_py()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.where(date == _NO_DAY, 0, date).astype(np.int32), mask=date == _NO_DAY).cast(pa.date32()), method.dictionary.take(pa.array(of % methods)), pa.array([task] * n, pa.int32()), pa.array([seq] * n, pa.int32()), lists],
+            ["trade_date", "method", "task", "seq", "piece"],
+        )
+
+    held, size, seq = [], 0, 0
+    for batch in batches:
+        held, size = [*held, batch], size + batch.num_rows
+        if size >= WORDS_AT_ONCE:
+            yield turned(pa.Table.from_batches(held), seq)
+            held, size, seq = [], 0, seq + 1
+    if size:
+        yield turned(pa.Table.from_batches(held), seq)
+
+
 def request_lists(inventory: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Code lists per day and method, in chunks of the provider's capacity.
 
-    The chunk comes from a distributed position, so no day collects an unbounded list.
+    The days of a code and method are first gathered as bits, 64 to a word, where the code's rows stand; repeated keys fall
+    together. Words, not keys, are written and dealt out by code. A task then lists the codes of each day it
+    has in pieces, and a running count over the pieces of a day says where a chunk ends, so no day collects an unbounded list.
     """
-    pos = value_positions(inventory, ["trade_date", "method"], "ts_code")
-    return (
-        pos.withColumn("chunk", F.floor(F.col("less") / capacity).cast("int"))
-        .groupBy("trade_date", "method", "chunk")
-        .agg(F.count(F.lit(1)).alias("codes"), F.concat_ws(",", F.sort_array(F.collect_list("ts_code"))).alias("code_list"))
-    )
+    day = F.unix_date("trade_date")
+    words = inventory.where(F.col("ts_code").isNotNull()).groupBy("method", "ts_code", F.shiftright(day, 6).alias("word"))
+    words = cut_lineage(words.agg(F.bit_or(F.expr("shiftleft(1L, unix_date(trade_date) & 63)")).alias("bits")), "days")
+    dealt = words.repartitionByRange(words.count() // WORDS_PER_TASK + 1, "ts_code").sortWithinPartitions("ts_code").withColumn("task", F.spark_partition_id())
+    kinds = {f.name: f.dataType.simpleString() for f in inventory.schema.fields}
+    pieces = dealt.mapInArrow(_day_lists, f"trade_date date, method {kinds['method']}, task int, seq int, piece array<{kinds['ts_code']}>")
+    before = Window.partitionBy("trade_date", "method").orderBy("task", "seq").rowsBetween(Window.unboundedPreceding, -1)  # rows are pieces
+    pieces = pieces.withColumns({"_n": F.size("piece"), "_at": F.coalesce(F.sum(F.size("piece")).over(before), F.lit(0))})
+    last = F.floor((F.col("_at") + F.col("_n") - 1) / capacity).cast("int")
+    cut = pieces.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_at") / capacity).cast("int"), last)))
+    start = F.greatest(F.col("chunk").cast("long") * capacity - F.col("_at"), F.lit(0))
+    end = F.least((F.col("chunk").cast("long") + 1) * capacity - F.col("_at"), F.col("_n"))
+    own = F.slice("piece", (start + 1).cast("int"), (end - start).cast("int"))
+    chunks = cut.select("trade_date", "method", "chunk", (end - start).alias("_n"), F.struct("task", "seq", own.alias("piece")).alias("_p")).groupBy("trade_date", "method", "chunk")
+    out = chunks.agg(F.sum("_n").alias("codes"), F.sort_array(F.collect_list("_p")).alias("_p"))
+    return out.select("trade_date", "method", "chunk", "codes", F.concat_ws(",", F.flatten(F.col("_p.piece"))).alias("code_list"))
 
 
 def evidence_requests(required: DataFrame, known: DataFrame, wide: int = MARKET_WIDE) -> DataFrame:
