@@ -1,7 +1,11 @@
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 from itertools import groupby
 
 from barspan.operators import quality as Q
+from barspan.operators import technical as W
+from barspan.operators.tables import daily_panel
+from barspan.plans.registry import load_all
+from barspan.sources.adapter import MarketTables
 
 
 def test_request_lists_write_words_of_days_and_not_keys(spark, monkeypatch):
@@ -39,3 +43,29 @@ def test_request_lists_write_words_of_days_and_not_keys(spark, monkeypatch):
 def test_request_lists_of_nothing(spark):
     none = spark.createDataFrame([], "method string, ts_code string, trade_date date")
     assert Q.request_lists(none).count() == 0
+
+
+LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+
+
+def test_base_features_move_the_lines_once_and_the_bars_once(spark, tmp_path):
+    """Null suppliers, dates, prices and taxes, repeated lines, sessions without a finished line, codes with too few sessions."""
+    rows = []
+    for i in range(900):
+        day = datetime(2001, 1, 1) + timedelta(days=i * 13 % 120)
+        row = [i, 1, i % 4, i % 7 + 1, float(i % 50 + 1), float(i % 50 + 1) * (10 + i % 9), 0.01, 0.01 * (i % 3), "A", "F" if i % 3 else "O", day]
+        for at, every in ((2, 97), (4, 89), (5, 83), (7, 79), (9, 73), (10, 71)):
+            if i % every == 5:
+                row[at] = None
+        if row[2] == 3 and i % 16 != 3:
+            row[2] = 1
+        rows += [tuple(row)] * (2 if i % 50 == 0 else 1)
+    spark.createDataFrame(rows, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = MarketTables(spark, str(tmp_path))
+    assert sorted(t.valued_bars.collect(), key=str) == sorted(daily_panel(t.bars, t.valuation).collect(), key=str)
+    sizes = {r.ts_code: r["count"] for r in t.bars.groupBy("ts_code").count().collect()}
+    got = W.base_features(t.valued_bars, min_rows=60).groupBy("ts_code").count().collect()
+    kept = {c: n for c, n in sizes.items() if c is not None and n >= 60}
+    assert {r.ts_code: r["count"] for r in got} == kept and len(kept) < len(sizes) - 1
+    plan = load_all()[0]["w20_all_base_features"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
