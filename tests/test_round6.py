@@ -1,6 +1,9 @@
 from datetime import date, datetime, timedelta
 from itertools import groupby
 
+from pyspark.sql import functions as F
+
+from barspan.operators import models as D
 from barspan.operators import quality as Q
 from barspan.operators import technical as W
 from barspan.operators.tables import daily_panel
@@ -69,3 +72,21 @@ def test_base_features_move_the_lines_once_and_the_bars_once(spark, tmp_path):
     assert {r.ts_code: r["count"] for r in got} == kept and len(kept) < len(sizes) - 1
     plan = load_all()[0]["w20_all_base_features"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_probe_passes_save_no_forest(spark, monkeypatch):
+    """The counted nodes are those of the saved forest."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    df = spark.createDataFrame([(f"{c:06d}", date(2001, 1, 1) + timedelta(d), (c * 7 + d) % 11 / 11.0, (c + d * 3) % 5 / 5.0) for c in range(20) for d in range(40)], "ts_code string, trade_date date, a double, b double")
+    df = df.select("*", (F.col("a") > 0.5).cast("int").alias("label_cls"), F.col("b").alias("label_reg"), (F.col("a") > F.col("b")).cast("int").alias("label_dir"))
+    saved, write = [], D.scratch_dir
+    monkeypatch.setattr(D, "scratch_dir", lambda spark, name: saved.append(name) or write(spark, name))
+    D.probe_pass(df, ["a", "b"], 2, 7).collect()
+    assert not saved
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    for label, depth in (("label_reg", 3), ("label_dir", 5), ("label_cls", 0)):
+        model = RandomForestRegressor(labelCol=label, numTrees=4, maxDepth=depth, seed=1).fit(rows)
+        got, want = (sorted((r.feature, r.importance) for r in D.split_counts(nodes, ["a", "b"]).collect()) for nodes in (D.inner_nodes(model), D.saved_nodes(model)))
+        assert got == want and (depth == 0) == (sum(n for _, n in got) == 0)
